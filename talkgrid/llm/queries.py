@@ -22,3 +22,28 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .warc import archive_pages, read_archives, records
+
+    archives = archive_pages(table(spark, sf_dir, "pages"))
+    read = records(read_archives(archives, with_data=False))
+    # A response's digest is that of the bytes read back, a revisit's that of its header.
+    digest = F.when(F.col("record_type") == "response", F.col("running_sha1")).otherwise(F.col("payload_digest"))
+    return read.select(F.col("record_id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = fit(docs.where(~out))
+    return identify(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
