@@ -65,43 +65,58 @@ def attach(df: DataFrame, numbers: DataFrame, columns: list[tuple[str, str, str]
     return df
 
 
-def successors(keys: DataFrame) -> DataFrame:
-    """For distinct (doc_id, th): the next row in descending order (n_doc_id, n_th), the first after the last.
+def block_heads(docs: DataFrame, blocks: int) -> list[int]:
+    """The largest doc_id of each of about ``blocks`` ranges of doc_id, in descending order: one value a range."""
+    ids = docs.select("doc_id").where("doc_id is not null")
+    dealt = ids.repartitionByRange(blocks, F.col("doc_id").desc()).withColumn("part", F.spark_partition_id())
+    return sorted({r["head"] for r in dealt.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}, reverse=True)
 
-    Rows are dealt by range, so the order is found inside partitions; only each partition's first row crosses over.
+
+def _block(doc_id: Column, heads: list[int], step: int = 64) -> Column:
+    """Number of the range that a doc_id lies in, found in two levels; nulls lie in the last."""
+    if len(heads) < 2:
+        return F.lit(0)
+    every = F.array(*map(F.lit, heads))
+    outer = F.array(*map(F.lit, heads[::step]))
+    o = F.greatest(F.lit(0), F.size(F.filter(outer, lambda x: x >= doc_id)) - 1)
+    at = o * step + F.size(F.filter(F.slice(every, o * step + 1, step), lambda x: x >= doc_id)) - 1
+    return F.when(doc_id.isNull(), len(heads) - 1).otherwise(F.greatest(F.lit(0), at))
+
+
+def with_next(docs: DataFrame, columns: list[str], blocks: int | None = None) -> DataFrame:
+    """``docs`` (doc_id and others) with ``next_<c>`` of the row that follows in descending doc_id, nulls last, ties by th.
+
+    Rows are dealt once, by ranges of doc_id; the first row of a range also goes to the range before it, that of the
+    first range to the last, so every row finds its successor in its own range. Rows that repeat a doc_id follow each other.
     """
-    spark = keys.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("th").desc()]
-    dealt = cut(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
-    heads = dealt.groupBy("part").agg(F.max(F.struct("doc_id", "th")).alias("head"))
-    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ring = heads.select("part", F.coalesce(F.lead("head").over(Window.orderBy("part")), F.first("head").over(every)).alias("after"))
-    inside = dealt.withColumn("nx", F.lead(F.struct("doc_id", "th")).over(Window.partitionBy("part").orderBy(*order)))
-    joined = inside.join(F.broadcast(ring), "part")  # one row for each partition
-    nx = F.coalesce("nx", "after")
-    return joined.select(*keys.columns, nx["doc_id"].alias("n_doc_id"), nx["th"].alias("n_th"))
+    blocks = blocks or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads = block_heads(docs, blocks) or [0]
+    last = len(heads) - 1
+    at = docs.withColumn("_block", _block(F.col("doc_id"), heads))
+    lead_row = F.col("doc_id").eqNullSafe(F.element_at(F.array(*map(F.lit, heads)), F.col("_block") + 1))
+    if last == 0:  # one range: whichever row comes first may be the helper
+        lead_row = F.lit(True)
+    before = F.when(F.col("_block") == 0, last).otherwise(F.col("_block") - 1)
+    own = F.struct(F.col("_block").alias("b"), F.lit(0).alias("helper"))
+    extra = F.struct(before.alias("b"), F.lit(1).alias("helper"))
+    dealt = at.withColumn("_at", F.explode(F.when(lead_row, F.array(own, extra)).otherwise(F.array(own))))
+    w = Window.partitionBy("_at.b").orderBy("_at.helper", F.col("doc_id").desc_nulls_last(), F.col("th").desc())
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("_at.helper = 0").drop("_block", "_at")
 
 
 def edited_fingerprints(docs: DataFrame, bits: int = 128) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and whether they equal each other's and the next one's.
 
-    docs: doc_id, text. The next document follows in descending doc_id (nulls last, then by text hash; fully equal
-    rows count as one there), the first after the last. The edited text has the last floor(n_chars / 2) code points
-    replaced by the first as many of the next text. near_edited and near_next are 1.0 for equal fingerprints, else 0.0.
+    docs: doc_id, text. The next document follows in descending doc_id (nulls last, ties by text hash), the first
+    after the last. The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the
+    next text. near_edited and near_next are 1.0 for equal fingerprints, else 0.0.
     """
     form = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_form", canonical(F.col("text")))
-    base = form.select("doc_id", F.xxhash64("text").alias("th"), "text", F.char_length("text").cast("long").alias("n_chars"), wide_key(F.col("_form"), bits).alias("k"), F.sha2(F.col("_form"), 256).alias("d"))
-    keys = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), F.char_length("text").cast("long").alias("n_chars")).distinct()
-    order = successors(keys)
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    cur = order.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), F.col("n_chars").alias("c_n"), "n_doc_id", "n_th")
-    # A text that occurs in several rows of one doc_id hands its head over once.
-    heads = base.join(cur, same("doc_id", "n_doc_id") & (F.col("th") == F.col("n_th"))).select("c_id", "c_th", F.expr("substring(text, 1, cast(c_n div 2 as int))").alias("head"), F.col("k").alias("nk"), F.col("d").alias("nd")).dropDuplicates(["c_id", "c_th"])
-    both = base.join(heads, same("doc_id", "c_id") & (F.col("th") == F.col("c_th")))
-    edit = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), head)"))
-    edit = edit.select("doc_id", "n_chars", "k", "d", "nk", "nd", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("edited")).alias("_ef"))
-    rows = cut(edit.select("doc_id", "n_chars", "k", "d", "nk", "nd", "edited_sha256", wide_key(F.col("_ef"), bits).alias("ek"), F.sha2("_ef", 256).alias("ed")))
+    base = form.select("doc_id", F.xxhash64("text").alias("th"), "text", F.char_length("text").cast("long").alias("n_chars"), wide_key(F.col("_form"), bits).alias("k"), F.unhex(F.sha2("_form", 256)).alias("d"))
+    both = with_next(base, ["text", "k", "d"])
+    edit = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))"))
+    edit = edit.select("doc_id", "n_chars", "k", "d", F.col("next_k").alias("nk"), F.col("next_d").alias("nd"), F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("edited")).alias("_ef"))
+    rows = cut(edit.select("doc_id", "n_chars", "k", "d", "nk", "nd", "edited_sha256", wide_key(F.col("_ef"), bits).alias("ek"), F.unhex(F.sha2("_ef", 256)).alias("ed")))
     numbers = cut(numbered(rows.select(F.explode(F.array(F.struct(F.col("k").alias("key"), F.col("d").alias("digest")), F.struct(F.col("ek").alias("key"), F.col("ed").alias("digest")))).alias("x")).select("x.*")))
     out = attach(rows, numbers, [("k", "d", "fingerprint"), ("ek", "ed", "edited_fingerprint"), ("nk", "nd", "next_fingerprint")])
     like = lambda c: F.when(F.col("fingerprint") == F.col(c), 1.0).otherwise(0.0)
