@@ -47,3 +47,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 4, 2)
     model = fit(docs.where(~out))
     return identify(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import held_out
+    from .toxicity import fit, labelled, score
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = fit(labelled(docs.where(~out), labels.where(~out)))
+    return score(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
