@@ -67,3 +67,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simjoin import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
