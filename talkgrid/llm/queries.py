@@ -74,3 +74,16 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simjoin import similar_groups
 
     return similar_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import held_out
+    from .lm import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 7, 2)
+    model = fit(docs.where(~out))
+    return score(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
