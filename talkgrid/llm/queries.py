@@ -87,3 +87,11 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 7, 2)
     model = fit(docs.where(~out))
     return score(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import fit, scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan(docs, fit(docs)).drop("text")
