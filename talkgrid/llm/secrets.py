@@ -85,6 +85,8 @@ def shape(w: str) -> int:
         form = 12
     else:
         form = 13
+    if form <= 4:  # marks and keywords are told apart by what they are, not by how long
+        return form * (len(_LENGTHS) + 1) * 2
     size = sum(len(body) > x for x in _LENGTHS)
     return (form * (len(_LENGTHS) + 1) + size) * 2 + int(len(body) >= 8 and _entropy(body) > 3.0)
 
