@@ -95,3 +95,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs, fit(docs)).drop("text")
+
+
+@query
+def op8_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .webp import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
