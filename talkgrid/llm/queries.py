@@ -102,3 +102,10 @@ def op8_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .webp import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
