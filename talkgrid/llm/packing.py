@@ -17,6 +17,7 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,49 +37,112 @@ BLOCK = 1 << 18
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Stand in the stream of 16-bit ids behind a sentence's last chunk and behind a document; the vocabulary is smaller.
+_STOP, _DONE = 65535, 65534
+
+
 class Encoder:
     """Token ids of whole texts, with the tokenizer's own results kept for each space-separated chunk.
 
-    No token of this tokenizer spans a space or a line end, so a text's ids are those of its chunks in turn; only
-    chunks not seen before reach the tokenizer. Two results are kept for a chunk: its ids and whether it ends a sentence.
+    No token of this tokenizer spans a space or a line end, so a text's ids are those of its chunks in turn, and only
+    chunks not seen before reach the tokenizer. A chunk of letters with plain marks behind them is its word and then
+    the marks; new words go to the tokenizer together, as one text, and are told apart by its word ends.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    MARKS = ".,!?;:"
+
+    def __init__(self, path: str, limit: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab()
+        if max(vocab.values()) >= _DONE:
+            raise ValueError("the vocabulary does not fit 16 bits")
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.ids: dict = {}
         self.limit = limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words.clear()
+        self.ids.clear()
+        self.ids[None] = np.asarray([END_ID, _DONE], "<u2").tobytes()  # ends a document
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def chunks(self, texts: list[str]) -> list[list[str]]:
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache = self.cache
-        new = list({w for x in lists for w in x if w not in cache})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.asarray(e.ids, "<u4").tobytes()
-        return lists
+    def _learn_words(self, words: list[str]) -> None:
+        for i in range(0, len(words), 2048):
+            part = words[i : i + 2048]
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * 2).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                self.words.update(zip(part, (raw[x:y] for x, y in zip([0, *ends], ends, strict=False)), strict=True))
+            else:  # some word is several for the tokenizer
+                self.words.update(zip(part, self._each(part), strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        stop, words, ids = np.asarray([_STOP], "<u2").tobytes(), self.words, self.ids
+        pairs, other, marks = [], [], set()
+        for c in new:
+            w = c.rstrip(self.MARKS)
+            if w.isalpha():
+                pairs.append((c, w))
+                if c is not w and c != w:
+                    marks.add(c[len(w) :])
+            else:
+                other.append(c)
+        self._learn_words(list({w for _, w in pairs if w not in words}))
+        tails = {m: x + (stop if m[-1] in ".!?" else b"") for m, x in zip(marks, self._each(list(marks)), strict=True)}
+        tails[""] = b""
+        for c, w in pairs:
+            ids[c] = words[w] if c == w else words[w] + tails[c[len(w) :]]
+        for c, x in zip(other, self._each(other), strict=True):
+            ids[c] = x + (stop if c[-1:] in (".", "!", "?") else b"")
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text: its ids with the end mark, and the positions after sentence ends (that of the document left out)."""
-        out, mark = [], np.asarray([END_ID], "<u4").tobytes()
-        get = self.cache.__getitem__
-        for words in self.chunks(texts):
-            parts = list(map(get, words))
-            ids = np.frombuffer(b"".join(parts) + mark, "<u4")
-            ends = [i for i, w in enumerate(words) if w[-1:] in ".!?"]
-            if ends:
-                size = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) >> 2
-                ends = np.unique(size[ends])
-                ends = ends[(ends > 0) & (ends < len(ids))]
-            out.append((ids, np.asarray(ends, np.int64)))
+        if not texts:
+            return []
+        chunks: list = []
+        for t in texts:
+            chunks += t.replace("\n", " ").split(" ")
+            chunks.append(None)
+        if len(self.ids) > self.limit:
+            self._clear()
+        got = list(map(self.ids.get, chunks))
+        new = {c for c, x in zip(chunks, got, strict=True) if x is None}
+        if new:
+            self._learn(new)
+            got = list(map(self.ids.__getitem__, chunks))
+        raw = np.frombuffer(b"".join(got), "<u2")
+        stop, done = raw == _STOP, raw == _DONE
+        real = ~(stop | done)
+        ids, at = raw[real].astype("<u4"), np.cumsum(real)
+        bounds = np.concatenate([[0], at[done]]).tolist()
+        stops = at[stop]
+        cut_at = np.searchsorted(stops, bounds).tolist()
+        out = []
+        for k, (lo, hi) in enumerate(pairwise(bounds)):
+            e = stops[cut_at[k] : cut_at[k + 1]] - lo
+            out.append((ids[lo:hi], e[(e > 0) & (e < hi - lo)]))
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this process; a worker that is used again keeps what it has learned."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def cuts(places: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
     """Indices of the chosen places, the last included, for windows that start at 0.
 
@@ -182,7 +246,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, text:
             import public_tokenizers
 
             path = str(public_tokenizers.path("word_bpe_49k.json"))
-        encoder = Encoder(path)
+        own = encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 40, size)
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -191,7 +255,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, text:
         for b in steps(batches, text, 1 << 20):
             rows = []
             ids, texts = column(b, "doc_id").to_pylist(), [t or "" for t in column(b, text).to_pylist()]
-            for doc_id, (tokens, ends) in zip(ids, encoder.encode(texts), strict=True):
+            for doc_id, (tokens, ends) in zip(ids, own.encode(texts), strict=True):
                 rows += packer.add(doc_id, tokens, ends)
             if rows:
                 yield batch(rows)
