@@ -54,6 +54,7 @@ class Encoder:
     def __init__(self, path: str, limit: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab()
@@ -61,46 +62,49 @@ class Encoder:
             raise ValueError("the vocabulary does not fit 16 bits")
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, Split(" ", "removed")
         self.ids: dict = {}
         self.limit = limit
         self._clear()
 
     def _clear(self) -> None:
-        self.words.clear()
         self.ids.clear()
         self.ids[None] = np.asarray([END_ID, _DONE], "<u2").tobytes()  # ends a document
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn_words(self, words: list[str], tok) -> None:
         for i in range(0, len(words), 2048):
             part = words[i : i + 2048]
-            ids = np.asarray(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+            ids = np.asarray(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
             ends = ((np.flatnonzero(self.closes[ids]) + 1) * 2).tolist()
             if len(ends) == len(part):
                 raw = ids.tobytes()
-                self.words.update(zip(part, (raw[x:y] for x, y in zip([0, *ends], ends, strict=False)), strict=True))
+                self.ids.update(zip(part, [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
             else:  # some word is several for the tokenizer
-                self.words.update(zip(part, self._each(part), strict=True))
+                self.ids.update(zip(part, self._each(part), strict=True))
 
     def _learn(self, new: set[str]) -> None:
-        stop, words, ids = np.asarray([_STOP], "<u2").tobytes(), self.words, self.ids
-        pairs, other, marks = [], [], set()
-        for c in new:
+        ids, stop = self.ids, np.asarray([_STOP], "<u2").tobytes()
+        words = {c for c in new if c.isalpha()}
+        pairs, other = [], []
+        for c in new - words:
             w = c.rstrip(self.MARKS)
             if w.isalpha():
-                pairs.append((c, w))
-                if c is not w and c != w:
-                    marks.add(c[len(w) :])
+                pairs.append((c, w, c[len(w) :]))
             else:
                 other.append(c)
-        self._learn_words(list({w for _, w in pairs if w not in words}))
-        tails = {m: x + (stop if m[-1] in ".!?" else b"") for m, x in zip(marks, self._each(list(marks)), strict=True)}
-        tails[""] = b""
-        for c, w in pairs:
-            ids[c] = words[w] if c == w else words[w] + tails[c[len(w) :]]
+        words.update([w for _, w, _ in pairs])
+        words = [w for w in words if w not in ids]
+        # Small ASCII letters need none of the tokenizer's normalising and splitting.
+        self._learn_words([w for w in words if w.isascii() and w.islower()], self.bare)
+        self._learn_words([w for w in words if not (w.isascii() and w.islower())], self.tok)
+        marks = list({m for _, _, m in pairs})
+        tails = {m: x + (stop if m[-1] in ".!?" else b"") for m, x in zip(marks, self._each(marks), strict=True)}
+        for c, w, m in pairs:
+            ids[c] = ids[w] + tails[m]
         for c, x in zip(other, self._each(other), strict=True):
             ids[c] = x + (stop if c[-1:] in (".", "!", "?") else b"")
 
@@ -115,10 +119,11 @@ class Encoder:
         if len(self.ids) > self.limit:
             self._clear()
         got = list(map(self.ids.get, chunks))
-        new = {c for c, x in zip(chunks, got, strict=True) if x is None}
-        if new:
-            self._learn(new)
-            got = list(map(self.ids.__getitem__, chunks))
+        missing = [i for i, x in enumerate(got) if x is None]
+        if missing:
+            self._learn({chunks[i] for i in missing})
+            for i in missing:
+                got[i] = self.ids[chunks[i]]
         raw = np.frombuffer(b"".join(got), "<u2")
         stop, done = raw == _STOP, raw == _DONE
         real = ~(stop | done)
@@ -152,7 +157,7 @@ def cuts(places: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]
     n = len(pos)
     best, came = [0.0] * n, [0] * n
     at = {p: i for i, p in enumerate(pos)}
-    powers = [1 << k for k in range(size.bit_length() - 3, size.bit_length()) if 1 << k <= size]
+    powers = [1 << k for k in (size.bit_length() - 2,) if k > 0]  # shorter ones make too many sequences
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # rising keys: best[i] + pos[i] is least at the head
     lookup = at.get
     for j in range(1, n):
