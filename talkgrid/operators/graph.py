@@ -179,32 +179,32 @@ def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+#: Hops that one plan takes before its paths are cut by a checkpoint and pruned by the best one found.
+HOPS_A_CUT = 3
+
+
 def shortest_path(edges: DataFrame, start, end, max_hops: int = 6) -> DataFrame:
     """The simple path of least (cost, hops, -weakest confidence, edge ids) as one row; none if there is none.
 
-    edges: id, a, b, cost, confidence (undirected). Paths grow by a join a hop; of those at one node only what no
-    other path beats in cost, hops and both tie-breakers stays, and nothing costlier than the best path to the end.
-    A path that lost on cost can win only through nodes that the winner has visited, which a shorter path never needs,
-    since costs are positive.
+    edges: id, a, b, cost, confidence (undirected, positive costs). Paths grow by a join a hop; of those of one length
+    at one node the best stays, and after a cut nothing costlier than the best path to the end.
     """
     both = edges.select("id", F.col("a").alias("x"), F.col("b").alias("y"), "cost", "confidence").union(edges.select("id", "b", "a", "cost", "confidence"))
     kind = edges.schema["a"].dataType.simpleString()
     paths = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(1.0).alias("weakest"), F.expr("cast(array() as array<string>)").alias("ids"), F.array(F.lit(start).cast(kind)).alias("seen"))
-    done, bound = None, None
-    for _ in range(max_hops):
-        grown = both.join(paths, F.col("x") == F.col("node")).where(~F.array_contains("seen", F.col("y")))
+    done = paths.where("false")
+    for hop in range(1, max_hops + 1):
+        grown = both.join(paths.where(F.col("node") != F.lit(end)), F.col("x") == F.col("node")).where(~F.array_contains("seen", F.col("y")))
         grown = grown.select(F.col("y").alias("node"), (paths["cost"] + both["cost"]).alias("cost"), F.least("weakest", "confidence").alias("weakest"), F.concat("ids", F.array(F.col("id").cast("string"))).alias("ids"), F.concat("seen", F.array("y")).alias("seen"))
-        if bound is not None:
-            grown = grown.where(F.col("cost") <= bound)
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("cost", F.desc("weakest"), "ids"))
-        paths = checkpoint(grown.withColumn("n", rank).where("n = 1").drop("n"))
-        hit = paths.where(F.col("node") == F.lit(end))
-        done = hit if done is None else done.unionByName(hit)
-        best = done.agg(F.min("cost")).first()[0]
-        bound = best if best is not None else bound
-        paths = paths.where(F.col("node") != F.lit(end))
-        if paths.isEmpty():
-            break
+        paths = grown.groupBy("node").agg(F.min_by(F.struct("cost", "weakest", "ids", "seen"), F.struct("cost", -F.col("weakest"), "ids")).alias("p")).select("node", "p.*")
+        done = done.unionByName(paths.where(F.col("node") == F.lit(end)))
+        if hop % HOPS_A_CUT == 0 and hop < max_hops:
+            state = checkpoint(paths.withColumn("live", F.lit(True)).unionByName(done.withColumn("live", F.lit(False))))
+            low = state.where(F.col("node") == F.lit(end)).agg(F.min("cost")).first()[0]
+            paths, done = (state.where(F.col("live") == live).drop("live") for live in (True, False))
+            paths = paths if low is None else paths.where(F.col("cost") <= low)
+            if paths.where(F.col("node") != F.lit(end)).isEmpty():
+                break
     return done.orderBy("cost", F.size("ids"), F.desc("weakest"), "ids").limit(1).select("cost", F.size("ids").cast("long").alias("hops"), "weakest", "ids")
 
 

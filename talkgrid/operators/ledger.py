@@ -30,11 +30,13 @@ def resolved(ids: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def resolved_before(events: DataFrame, merges: DataFrame) -> DataFrame:
-    """As-of: for each event (op_index, id) the target of the latest earlier merge of its id, else the id itself."""
-    m = merges.select(F.col("source").alias("id"), F.col("op_index").alias("m_index"), F.col("target"))
-    known = events.join(m, "id", "left")
-    best = known.groupBy("op_index", "id").agg(F.max_by("target", F.when(F.col("m_index") < F.col("op_index"), F.col("m_index"))).alias("target"))
-    return best.select("op_index", "id", F.coalesce("target", "id").alias("target"))
+    """As-of: for each event (op_index, id) the target of the latest earlier merge of its id, else the id itself.
+
+    Both tables are ordered together by id, so the work is one sort, however many merges an id has.
+    """
+    both = events.select("id", "op_index", F.lit(0).alias("m"), F.lit(None).cast(merges.schema["target"].dataType).alias("target")).unionByName(merges.select(F.col("source").alias("id"), "op_index", F.lit(1).alias("m"), "target"))
+    w = Window.partitionBy("id").orderBy("op_index", "m").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("last", F.last("target", ignorenulls=True).over(w)).where("m = 0").select("op_index", "id", F.coalesce("last", "id").alias("target"))
 
 
 def edit_if_unchanged(rows: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:

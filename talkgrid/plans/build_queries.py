@@ -125,12 +125,13 @@ def evidence_split(spark, d):
     return B.split_evidence(e, m)
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'exact' WHEN doc_id % 3 = 1 AND length(text) >= 30 AND (length(text) - length(replace(text, substr(text, 11, 15), ''))) // 15 = 1 THEN 'moved' WHEN doc_id % 3 = 1 THEN 'moved_or_stale' ELSE 'stale' END AS status FROM documents WHERE length(text) >= 30 AND doc_id % 3 <> 1""")
+@query("""WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 2 THEN 'no such quote ☃' ELSE substr(text, 11, 15) END AS q FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND length(text) >= 25 THEN 'exact' WHEN q <> '' AND (length(text) - length(replace(text, q, ''))) = length(q) THEN 'moved' ELSE 'stale' END AS status FROM q""")
 def evidence_status(spark, d):
-    """Quotes at their place, and quotes that the text doesn't have."""
-    t = V.table(spark, d, "documents").where("char_length(text) >= 30 and doc_id % 3 <> 1").select(F.col("doc_id").alias("note_id"), F.lit(0).alias("paragraph"), "text")
-    q = F.when(F.col("note_id") % 3 == 0, F.substring("text", 11, 15)).otherwise("no such quote ☃")
-    e = t.select("note_id", "paragraph", F.lit(10).alias("start"), F.lit(25).alias("end"), q.alias("quote"))
+    """Quotes at their place, quotes with wrong offsets, and quotes that the text doesn't have."""
+    t = V.table(spark, d, "documents").select(F.col("doc_id").alias("note_id"), F.lit(0).alias("paragraph"), "text")
+    q = F.when(F.col("note_id") % 3 == 2, "no such quote ☃").otherwise(F.substring("text", 11, 15))
+    start = F.when(F.col("note_id") % 3 == 0, 10).otherwise(3)
+    e = t.select("note_id", "paragraph", start.alias("start"), (start + 15).alias("end"), q.alias("quote"))
     return B.resolve_evidence(e, t).select(F.col("note_id").alias("doc_id"), "status")
 
 

@@ -61,10 +61,10 @@ def cooccurrence(spark, d):
     return G.cooccurrence(V.note_entities(spark, d)).withColumnRenamed("weight", "shared").orderBy(F.desc("shared"), "a", "b")
 
 
-@query(f"WITH {V.NE} SELECT x.note_id AS a, y.note_id AS b, count(DISTINCT x.entity_id) AS shared FROM ne x JOIN ne y ON x.entity_id = y.entity_id AND x.note_id < y.note_id WHERE x.entity_id % 20 = 0 GROUP BY 1, 2")
+@query(f"WITH {V.NE} SELECT x.note_id AS a, y.note_id AS b, count(DISTINCT x.entity_id) AS shared FROM ne x JOIN ne y ON x.entity_id = y.entity_id AND x.note_id < y.note_id GROUP BY 1, 2")
 def note_overlaps(spark, d):
-    """J07, for the stated entities: those whose id is divisible by 20."""
-    return G.note_overlaps(V.note_entities(spark, d).where("entity_id % 20 = 0"))
+    """J07"""
+    return G.note_overlaps(V.note_entities(spark, d))
 
 
 @query(f"WITH {V.NE} SELECT y.note_id, count(*) AS shared FROM ne x JOIN ne y USING (entity_id) WHERE x.note_id = 1 AND y.note_id <> 1 GROUP BY 1 ORDER BY shared DESC, y.note_id")

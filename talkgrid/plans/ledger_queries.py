@@ -33,12 +33,12 @@ def ledger_targets(spark, d):
     return L.resolved(V.entities(spark, d).select(F.col("id").cast("string").alias("id")), _ops(spark, d))
 
 
-@query("""SELECT o.o_orderkey AS op_index, o.o_custkey % 50 AS id, coalesce((SELECT arg_max(m.o_orderkey % 7 + 100, m.o_orderkey) FROM orders m WHERE m.o_orderkey % 50 = 0 AND m.o_custkey % 50 = o.o_custkey % 50 AND m.o_orderkey < o.o_orderkey), o.o_custkey % 50) AS target FROM orders o WHERE o.o_orderkey % 20 = 0""")
+@query("""SELECT op_index, id, coalesce(m % 7 + 100, id) AS target FROM (SELECT o_orderkey AS op_index, o_custkey % 50 AS id, max(CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM orders)""")
 def prefix_resolution(spark, d):
-    """The stated events are those whose id is divisible by 20."""
+    """Every fiftieth order is a merge, all are events."""
     o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("op_index"), (F.col("o_custkey") % 50).alias("id"))
     merges = o.where("op_index % 50 = 0").select(F.col("id").alias("source"), "op_index", (F.col("op_index") % 7 + 100).alias("target"))
-    return L.resolved_before(o.where("op_index % 20 = 0"), merges)
+    return L.resolved_before(o, merges)
 
 
 @query("""SELECT conv_id AS note_id, turn AS seq, turn % 3 = 0 AS applied, CASE WHEN turn % 3 = 0 THEN 'edited' ELSE text END AS text FROM conversations""")
