@@ -125,7 +125,7 @@ def evidence_split(spark, d):
     return B.split_evidence(e, m)
 
 
-@query("""WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 2 THEN 'no such quote ☃' ELSE substr(text, 11, 15) END AS q FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND length(text) >= 25 THEN 'exact' WHEN q <> '' AND (length(text) - length(replace(text, q, ''))) = length(q) THEN 'moved' ELSE 'stale' END AS status FROM q""")
+@query("""WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 2 THEN 'no such quote ☃' ELSE substr(text, 11, 15) END AS q FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND length(text) >= 25 THEN 'exact' WHEN doc_id % 3 = 1 AND length(text) >= 18 AND substr(text, 4, 15) = q THEN 'exact' WHEN q <> '' AND (length(text) - length(replace(text, q, ''))) = length(q) THEN 'moved' ELSE 'stale' END AS status FROM q""")
 def evidence_status(spark, d):
     """Quotes at their place, quotes with wrong offsets, and quotes that the text doesn't have."""
     t = V.table(spark, d, "documents").select(F.col("doc_id").alias("note_id"), F.lit(0).alias("paragraph"), "text")
