@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,22 +185,33 @@ def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 #: Hops that one plan takes before its paths are cut by a checkpoint and pruned by the best one found.
 HOPS_A_CUT = 3
+#: Edges up to which one task searches the whole graph; larger graphs are searched by joins.
+SMALL_GRAPH = 500_000
+_PATH = "cost long, hops long, weakest double, ids array<string>"
 
 
-def shortest_path(edges: DataFrame, start, end, max_hops: int = 6) -> DataFrame:
+def shortest_path(edges: DataFrame, start, end, max_hops: int = 6, small: int = SMALL_GRAPH) -> DataFrame:
     """The simple path of least (cost, hops, -weakest confidence, edge ids) as one row; none if there is none.
 
-    edges: id, a, b, cost, confidence (undirected, positive costs). Paths grow by a join a hop; of those of one length
-    at one node the best stays, and after a cut nothing costlier than the best path to the end.
+    edges: id, a, b, cost, confidence (undirected, positive costs). The edges are counted first: a small graph is one
+    task's work, a large one's paths grow by a join a hop. Of the paths of one length at one node those of least cost
+    stay, and of these the ones that no other beats in both tie-breakers; a costlier prefix is never part of the best path.
     """
+    edges = edges.select("id", "a", "b", "cost", "confidence")
+    if edges.limit(small + 1).count() <= small:
+        return edges.coalesce(1).mapInPandas(_search(start, end, max_hops), _PATH)
+    edges = checkpoint(edges)
     both = edges.select("id", F.col("a").alias("x"), F.col("b").alias("y"), "cost", "confidence").union(edges.select("id", "b", "a", "cost", "confidence"))
     kind = edges.schema["a"].dataType.simpleString()
     paths = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(1.0).alias("weakest"), F.expr("cast(array() as array<string>)").alias("ids"), F.array(F.lit(start).cast(kind)).alias("seen"))
     done = paths.where("false")
+    at = Window.partitionBy("node")
     for hop in range(1, max_hops + 1):
         grown = both.join(paths.where(F.col("node") != F.lit(end)), F.col("x") == F.col("node")).where(~F.array_contains("seen", F.col("y")))
         grown = grown.select(F.col("y").alias("node"), (paths["cost"] + both["cost"]).alias("cost"), F.least("weakest", "confidence").alias("weakest"), F.concat("ids", F.array(F.col("id").cast("string"))).alias("ids"), F.concat("seen", F.array("y")).alias("seen"))
-        paths = grown.groupBy("node").agg(F.min_by(F.struct("cost", "weakest", "ids", "seen"), F.struct("cost", -F.col("weakest"), "ids")).alias("p")).select("node", "p.*")
+        least = grown.withColumn("low", F.min("cost").over(at)).where("cost = low")
+        earlier = F.max("weakest").over(at.orderBy("ids").rowsBetween(Window.unboundedPreceding, -1))
+        paths = least.withColumn("earlier", earlier).where("earlier is null or weakest > earlier").drop("low", "earlier")
         done = done.unionByName(paths.where(F.col("node") == F.lit(end)))
         if hop % HOPS_A_CUT == 0 and hop < max_hops:
             state = checkpoint(paths.withColumn("live", F.lit(True)).unionByName(done.withColumn("live", F.lit(False))))
@@ -208,6 +223,33 @@ def shortest_path(edges: DataFrame, start, end, max_hops: int = 6) -> DataFrame:
     return done.orderBy("cost", F.size("ids"), F.desc("weakest"), "ids").limit(1).select("cost", F.size("ids").cast("long").alias("hops"), "weakest", "ids")
 
 
+def _search(start, end, max_hops: int):
+    """The search of a small graph: best labels first, with the tie-breakers kept apart where neither beats the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near: dict = {}
+        for g in batches:
+            for i, a, b, cost, conf in zip(g["id"].astype(str), g["a"], g["b"], g["cost"], g["confidence"], strict=True):
+                near.setdefault(a, []).append((i, b, int(cost), float(conf)))
+                near.setdefault(b, []).append((i, a, int(cost), float(conf)))
+        heap, settled = [(0, 0, -1.0, (), start, (start,))], {}
+        while heap:
+            cost, hops, weak, ids, node, seen = heapq.heappop(heap)
+            if node == end:
+                yield pd.DataFrame({"cost": [cost], "hops": [hops], "weakest": [-weak], "ids": [list(ids)]})
+                return
+            front = settled.setdefault((node, hops), [])
+            if any(c < cost or (c == cost and w <= weak and i <= ids) for c, w, i in front):
+                continue
+            front.append((cost, weak, ids))
+            if hops < max_hops:
+                for i, n, c, f in near.get(node, ()):
+                    if n not in seen:
+                        heapq.heappush(heap, (cost + c, hops + 1, max(weak, -f), (*ids, i), n, (*seen, n)))
+
+    return run
+
+
 def active_operations(ops: DataFrame) -> DataFrame:
     """The ledger's operations with ``active``: an active undo turns its earlier target off; later ones count first.
 
