@@ -100,7 +100,7 @@ def open_input(uri: str) -> Iterator:
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash; forgets everything once it holds ``limit`` words, so memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -115,6 +115,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system, where the C library can; workers are used again and would keep it."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the result (fixed odd constants of splitmix64)."""
     h = h.astype(np.uint64, copy=True)

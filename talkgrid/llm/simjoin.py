@@ -2,15 +2,18 @@
 
 Sets are joined by size bands. For a band, H bounds the symmetric difference of any pair that links; the shingle
 universe is dealt by hash into H + 1 segments. Giving each segment an allowance of 1 (equal segments match), 2
-(segments that differ by one deletion match as well) or 0 (not looked at), with allowances adding up to H + 1, any
+(segments of two or more elements that differ by one deletion match as well) or 0 (not looked at), with allowances adding up to H + 1, any
 linking pair matches in a segment. Allowances follow cost: a segment's bucket grows as the segment shrinks, so an
 empty one gets 0, made up for by a 2 on one of the reserved segments, for which every set also files its
 one-deletion neighbours. A set with more empty segments than reserved ones to make up for them files the empty ones
 too; a pair of which one side keeps its allowances is found by that side, other pairs by the filed empty segments.
 
-Equal keys join sets to the smallest set of the key (stars, reduced before and after the shuffle, so a key of any
-frequency costs one row a task); the stars' components hold every linking pair. Each component is verified exactly,
-in blocks of bounded size against each other, and gives a spanning forest and link counts instead of pairs.
+The sets of a key are compared by parity sketches (one bit a hash bucket, in memory-mapped shared files): the number of
+differing bits never exceeds the symmetric difference, so no linking pair is lost, while sets that share only a common
+line or passage drop out. Of what remains a key gives a spanning forest, never its pairs; a sixteenth of the keys comes
+first, and the other keys add only what those have not joined. The forests' components hold
+every linking pair; each is verified exactly, in blocks of bounded size against each other, and gives a spanning
+forest and link counts.
 
 Sets are known by a 64-bit hash of their sorted 64-bit shingle hashes, so copies are one set throughout.
 
@@ -20,6 +23,7 @@ takes, the whole sequence is one. Repeated rows are copies. A null id never is t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -29,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column, cut, mix, pair_hash, steps, utf8
+from .common import WordHashes, column, cut, give_back, map_array, mix, new_shared_folder, pair_hash, put_bytes, steps, utf8
 from .graph import components
 from .idset import NULL_ID, filter_by_ids, write_ids
 
 #: Sets of a component that are verified against as many others at once.
 BLOCK = 256
-#: Signatures gathered before a worker hands them on.
-FLUSH = 1_500_000
+#: Keys gathered before a worker hands them on.
+FLUSH = 700_000
 _SEG, _EL, _DEL = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -89,10 +93,13 @@ class Bands:
         return 2 * largest * (100 - self.percent) // (100 + self.percent) + 1
 
 
-def reserved(m: np.ndarray, empty_share: float) -> np.ndarray:
-    """Reserved segments of m: two, plus what the expected number of empty ones and three deviations ask for."""
+def reserved(m: int, empty_share: float) -> int:
+    """Reserved segments of m: all of a few, else the expected number of empty ones with five deviations, and one more.
+
+    Any number is correct; with these, sets that have to file their empty segments are next to none.
+    """
     e = m * empty_share
-    return np.minimum(m, np.where(m <= 3, 1, np.ceil(1 + e + 3 * np.sqrt(e)).astype(np.int64)))
+    return m if m <= 8 else min(m, math.ceil(1 + e + 5 * math.sqrt(e)))
 
 
 def signatures(sets: list[np.ndarray], bands: Bands, shift: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,15 +134,16 @@ def signatures(sets: list[np.ndarray], bands: Bands, shift: int) -> tuple[np.nda
     r = np.minimum(m, np.fromiter((_reserve_of(int(b), bands) for b in band), np.int64, len(band)))
     is_reserved = number >= (m - r)[of]
     empty = np.bincount(of[~here], minlength=len(use))
-    good = np.bincount(of[here & is_reserved], minlength=len(use))
+    held = np.zeros(base[-1], np.int64)
+    held[filled] = np.diff(np.append(start, len(slot_sorted)))
+    good = np.bincount(of[(held >= 2) & is_reserved], minlength=len(use))
     forced = empty > good
     file = here | forced[of]
     sigs, who = [sig[file]], [of[file]]
-    # One-deletion neighbours of the reserved segments.
-    el_slot = slot_sorted
-    res = is_reserved[el_slot]
+    # One-deletion neighbours of the reserved segments; those of one element make up for nothing and have none.
+    res = is_reserved[slot_sorted] & (held[slot_sorted] >= 2)
     if res.any():
-        at = el_slot[res]
+        at = slot_sorted[res]
         sigs.append(mix(sums[at] - el[res] + salt[at]))
         who.append(of[at])
     return np.concatenate(sigs), use[np.concatenate(who)]
@@ -145,52 +153,260 @@ def _reserve_of(band: int, bands: Bands) -> int:
     """The same for every set of a scheme: by the scheme's number of segments and its smallest sets."""
     m = bands.segments(band)
     low = bands.lows[max(0, band - 1)]
-    return int(reserved(np.asarray([m]), float(np.exp(-low / m)))[0])
+    return reserved(m, math.exp(-low / m))
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's elements by hash bucket: a power of two of bits, 512 or as many as elements."""
+    bits = max(512, 1 << (len(s) - 1).bit_length())
+    at = (mix(s ^ _SEG) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(words: np.ndarray, bits: int) -> np.ndarray:
+    """A sketch of more bits as one of fewer: parities of buckets that fall together."""
+    return np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0)
+
+
+class Sketches:
+    """Sizes and sketches of sets in shared files, sharded by the set's hash and memory-mapped."""
+
+    def __init__(self, folder: str, shards: int, full: list[int]):
+        self.folder, self.shards, self.full, self.maps = folder, shards, set(full), {}
+
+    def _open(self, k: int) -> tuple[np.ndarray, ...]:
+        if k not in self.maps:
+            self.maps[k] = tuple(map_array(f"{self.folder}/{k}.{x}", t) for x, t in (("node", np.int64), ("size", np.int64), ("at", np.int64), ("bits", np.uint64)))
+        return self.maps[k]
+
+    def get(self, nodes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Sizes and sketch words of nodes."""
+        size, words, shard = np.zeros(len(nodes), np.int64), [None] * len(nodes), np.mod(nodes, self.shards)
+        for k in np.unique(shard).tolist():
+            names, sizes, at, bits = self._open(k)
+            mine = np.flatnonzero(shard == k)
+            where = np.searchsorted(names, nodes[mine])
+            size[mine] = sizes[where]
+            for i, w in zip(mine.tolist(), where.tolist(), strict=True):
+                words[i] = bits[at[w] : at[w + 1]]
+        return size, words
+
+
+def write_sketches(reps: DataFrame) -> Sketches:
+    """reps: node, n_shingles, sketch; one row a node."""
+    spark = reps.sparkSession
+    folder, shards = new_shared_folder(spark, "sketches"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        k, node = key[0].as_py(), np.asarray(group.column("node"), np.int64)
+        order = np.argsort(node)
+        raw = [group.column("sketch")[int(i)].as_py() for i in order]
+        put_bytes(f"{folder}/{k}.node", node[order].tobytes())
+        put_bytes(f"{folder}/{k}.size", np.asarray(group.column("n_shingles"), np.int64)[order].tobytes())
+        put_bytes(f"{folder}/{k}.at", np.concatenate([[0], np.cumsum(list(map(len, raw))) // 8]).astype(np.int64).tobytes())
+        put_bytes(f"{folder}/{k}.bits", *raw)
+        return pa.table({"shard": pa.array([k], pa.int32())})
+
+    keyed = reps.select("node", "n_shingles", "sketch", F.pmod("node", F.lit(shards)).cast("int").alias("shard"))
+    done = cut(keyed.groupBy("shard").applyInArrow(write, "shard int"))
+    return Sketches(folder, shards, [r["shard"] for r in done.collect()])
+
+
+class Labels:
+    """Node to component in shared files, sharded by the node; what isn't listed is its own component."""
+
+    def __init__(self, folder: str, shards: int, full: list[int]):
+        self.folder, self.shards, self.full = folder, shards, set(full)
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        out, shard = nodes.copy(), np.mod(nodes, self.shards)
+        for k in np.unique(shard).tolist():
+            if k in self.full:
+                names, labels = (map_array(f"{self.folder}/{k}.{x}", np.int64) for x in ("node", "label"))
+                mine = np.flatnonzero(shard == k)
+                at = np.minimum(np.searchsorted(names, nodes[mine]), len(names) - 1)
+                hit = names[at] == nodes[mine]
+                out[mine[hit]] = labels[at[hit]]
+        return out
 
 
-def _pack(sig: np.ndarray, node: np.ndarray, shards: int) -> Iterator[dict]:
-    """Star edges of keys that meet here, and for each shard its keys with their smallest node."""
+def write_labels(components_: DataFrame) -> Labels:
+    spark = components_.sparkSession
+    folder, shards = new_shared_folder(spark, "labels"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        k, node, label = key[0].as_py(), np.asarray(group.column("node"), np.int64), np.asarray(group.column("component"), np.int64)
+        order = np.argsort(node)
+        put_bytes(f"{folder}/{k}.node", node[order].tobytes())
+        put_bytes(f"{folder}/{k}.label", label[order].tobytes())
+        return pa.table({"shard": pa.array([k], pa.int32())})
+
+    keyed = components_.select("node", "component", F.pmod("node", F.lit(shards)).cast("int").alias("shard"))
+    done = cut(keyed.groupBy("shard").applyInArrow(write, "shard int"))
+    return Labels(folder, shards, [r["shard"] for r in done.collect()])
+
+
+class Closeness:
+    """Which pairs of nodes can link, by their sketches."""
+
+    def __init__(self, sketches: Sketches, nodes: np.ndarray, percent: int):
+        self.size, words = sketches.get(nodes)
+        self.words, self.percent = words, percent
+        self.width = np.asarray([len(w) for w in words], np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _table(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sketches of at least ``width`` words, folded to it, and the row of each node."""
+        if width not in self.tables:
+            have = np.flatnonzero((self.width >= width) & (self.width <= 4 * width))  # sizes of a pair are within one band
+            row = np.full(len(self.words), -1, np.int64)
+            row[have] = np.arange(len(have))
+            self.tables[width] = np.stack([fold(self.words[i], 64 * width) for i in have]) if len(have) else np.zeros((0, width), np.uint64), row
+        return self.tables[width]
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the nodes' sketches differ in no more bits than a linking pair's sets may differ in elements."""
+        out = np.zeros(len(i), bool)
+        most = (self.size[i] + self.size[j]) * (100 - self.percent) // (100 + self.percent)
+        fits = np.abs(self.size[i] - self.size[j]) <= most
+        small, large = np.minimum(self.width[i], self.width[j]), np.maximum(self.width[i], self.width[j])
+        fits &= large <= 4 * small
+        for width in np.unique(small[fits]).tolist():
+            at = np.flatnonzero(fits & (small == width))
+            table, row = self._table(width)
+            step = max(1, (8 << 20) // (8 * width))
+            for k in range(0, len(at), step):
+                x = at[k : k + step]
+                out[x] = np.bitwise_count(table[row[i[x]]] ^ table[row[j[x]]]).sum(1, dtype=np.int64) <= most[x]
+        return out
+
+
+class Forest:
+    """Union-find over small integers; keeps the edges that joined."""
+
+    def __init__(self, n: int):
+        self.parent, self.edges = list(range(n)), []
+
+    def find(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    def merge(self, labels: np.ndarray) -> None:
+        """Joins what has one label, without edges."""
+        first: dict[int, int] = {}
+        for i, k in enumerate(labels.tolist()):
+            self.parent[i] = first.setdefault(k, i)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = self.find(a), self.find(b)
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                self.edges.append((a, b))
+
+
+def bucket_edges(sig: np.ndarray, node: np.ndarray, sketches: Sketches, percent: int, known: Labels | None = None) -> np.ndarray:
+    """(2, n) spanning edges of the pairs that share a key and are close by their sketches; none between nodes of which
+    it is known that they belong together."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]])
-    low = node[first][np.cumsum(first) - 1]
-    meet = low != node
-    if meet.any():
-        e = np.unique(np.stack([node[meet], low[meet]]), axis=1)
-        yield {"shard": int(abs(int(e[0, 0])) % shards), "edges": e.tobytes(), "nodes": None, "which": None, "hi": None, "lo": None}
-    sig, node = sig[first], node[first]
+    keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+    sig, node = sig[keep], node[keep]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    count = np.diff(np.append(first, len(sig)))
+    if not (count > 1).any():
+        return np.zeros((2, 0), np.int64)
+    nodes, member = np.unique(node[np.repeat(count > 1, count)], return_inverse=True)
+    count = count[count > 1]
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    near, forest = Closeness(sketches, nodes, percent), Forest(len(nodes))
+    if known is not None:
+        forest.merge(known.of(nodes))
+    # Keys of few sets: their pairs, each once.
+    pairs = []
+    for n in range(2, 33):
+        at = first[count == n]
+        if len(at):
+            m = np.unique(member[at[:, None] + np.arange(n)], axis=0)
+            i, j = np.triu_indices(n, 1)
+            pairs.append((m[:, i].ravel() << 32) | m[:, j].ravel())
+    if pairs:
+        p = np.unique(np.concatenate(pairs))
+        i, j = p >> 32, p & 0xFFFFFFFF
+        root = np.asarray([forest.find(v) for v in range(len(nodes))], np.int64)
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        ok = near.close(i, j)
+        forest.join(i[ok], j[ok])
+    # Keys of many: block by block, each set of members once; sets that are joined already are not compared again.
+    known = set()
+    for a, n in zip(first[count > 32].tolist(), count[count > 32].tolist(), strict=True):
+        m = member[a : a + n]
+        if (h := m.tobytes()) in known:
+            continue
+        known.add(h)
+        for x in range(0, n, BLOCK):
+            for y in range(x, n, BLOCK):
+                i, j = np.meshgrid(m[x : x + BLOCK], m[y : y + BLOCK], indexing="ij")
+                root = np.asarray([forest.find(v) for v in m.tolist()], np.int64)
+                ri, rj = np.meshgrid(root[x : x + BLOCK], root[y : y + BLOCK], indexing="ij")
+                open_ = (i < j) & (ri != rj)
+                i, j = i[open_], j[open_]
+                ok = near.close(i, j)
+                forest.join(i[ok], j[ok])
+    if not forest.edges:
+        return np.zeros((2, 0), np.int64)
+    return nodes[np.asarray(forest.edges).T]
+
+
+def _pack(sig: np.ndarray, node: np.ndarray, shards: int) -> Iterator[dict]:
+    """For each shard the keys with their sets: the low 40 bits of a key and the set's number among the shard's here."""
+    order = np.argsort(sig, kind="stable")
+    sig, node = sig[order], node[order]
     shard = ((sig >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     at = np.searchsorted(shard, np.arange(shards + 1))
     for k, (i, j) in enumerate(pairwise(at)):
         if i < j:
             names, which = np.unique(node[i:j], return_inverse=True)
-            yield {"shard": k, "edges": None, "nodes": names.tobytes(), "which": which.astype(np.uint16 if len(names) < 1 << 16 else np.uint32).tobytes(), "hi": (sig[i:j] >> np.uint64(32)).astype(np.uint8).tobytes(), "lo": sig[i:j].astype(np.uint32).tobytes()}
+            yield {"shard": k, "nodes": names.tobytes(), "which": which.astype(np.uint16 if len(names) < 1 << 16 else np.uint32).tobytes(), "hi": (sig[i:j] >> np.uint64(32)).astype(np.uint8).tobytes(), "lo": sig[i:j].astype(np.uint32).tobytes()}
+
+
+_BLOB = pa.schema([("shard", pa.int32()), ("nodes", pa.binary()), ("which", pa.binary()), ("hi", pa.binary()), ("lo", pa.binary())])
 
 
-_BLOB = pa.schema([("shard", pa.int32()), ("edges", pa.binary()), ("nodes", pa.binary()), ("which", pa.binary()), ("hi", pa.binary()), ("lo", pa.binary())])
+#: One key in so many is looked at first; what its buckets join needs no edges from the other keys' buckets.
+FIRST = 16
 
 
-def candidate_edges(docs: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame:
-    """(a, b) of sets that share a key: each set with the smallest of the key."""
-    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def candidate_edges(docs: DataFrame, sketches: Sketches, k: int, percent: int, text: str = "text", first: bool | None = None, known: Labels | None = None) -> DataFrame:
+    """(a, b): spanning edges, key by key, of the sets that share a key and may link. ``first`` takes one key in FIRST,
+    or the others."""
+    shards = (1 if first else 4) * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bands = WordHashes(), Bands(percent)
-        sigs, nodes, held = [], [], 0
+        sigs, nodes, held, seen = [], [], 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             for row in _pack(np.concatenate(sigs), np.concatenate(nodes), shards):
                 yield pa.RecordBatch.from_pylist([row], _BLOB)
             sigs.clear()
             nodes.clear()
+            seen.clear()
 
         for b in steps(batches, text, 1 << 20):
             sets = shingle_sets(utf8(b, text), words, k)
-            names = np.fromiter(map(set_hash, sets), np.int64, len(sets))
-            _, one = np.unique(names, return_index=True)
-            sets, names = [sets[i] for i in one], names[one]
-            for shift in (0, 1):
+            names = list(map(set_hash, sets))
+            new = [i for i, h in enumerate(names) if len(sets[i]) and h not in seen and not seen.add(h)]  # copies file once
+            sets, names = [sets[i] for i in new], np.asarray([names[i] for i in new], np.int64)
+            for shift in (0, 1) if new else ():
                 sig, who = signatures(sets, bands, shift)
+                if first is not None:
+                    mine = (mix(sig) % np.uint64(FIRST) == 0) == first
+                    sig, who = sig[mine], who[mine]
                 sigs.append(sig)
                 nodes.append(names[who])
                 held += len(sig)
@@ -199,43 +415,39 @@ def candidate_edges(docs: DataFrame, k: int, percent: int, text: str = "text") -
                 held = 0
         if held:
             yield from flush()
+        del words
+        give_back()
 
     def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        edges, sig, node = [], [], []
+        sig, node = [], []
         for r in group.to_batches():
-            for row in r.select(["edges", "nodes", "which", "hi", "lo"]).to_pylist():
-                if row["edges"] is not None:
-                    edges.append(np.frombuffer(row["edges"], np.int64).reshape(2, -1))
-                    continue
+            for row in r.select(["nodes", "which", "hi", "lo"]).to_pylist():
                 n = len(row["hi"])
                 hi, lo = np.frombuffer(row["hi"], np.uint8), np.frombuffer(row["lo"], np.uint32)
                 which = np.frombuffer(row["which"], np.uint16 if len(row["which"]) == 2 * n else np.uint32)
                 sig.append((hi.astype(np.uint64) << np.uint64(32)) | lo)
                 node.append(np.frombuffer(row["nodes"], np.int64)[which])
-        if sig:
-            s, v = np.concatenate(sig), np.concatenate(node)
-            order = np.argsort(s, kind="stable")
-            s, v = s[order], v[order]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            low = np.repeat(np.minimum.reduceat(v, first), np.diff(np.append(first, len(s))))
-            edges.append(np.stack([v, low])[:, v != low])
-        e = np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.zeros((2, 0), np.int64)
+        e = bucket_edges(np.concatenate(sig), np.concatenate(node), sketches, percent, known)
+        del sig, node
+        give_back()
         return pa.table({"a": pa.array(e[0]), "b": pa.array(e[1])})
 
-    blobs = docs.select(text).mapInArrow(make, "shard int, edges binary, nodes binary, which binary, hi binary, lo binary")
+    blobs = docs.select(text).mapInArrow(make, "shard int, nodes binary, which binary, hi binary, lo binary")
     return blobs.groupBy("shard").applyInArrow(meet, "a long, b long")
 
 
 def sets_of(docs: DataFrame, k: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, node, n_shingles) of every row; node is null without shingles."""
+    """(doc_id, node, n_shingles, sketch) of every row; node and sketch are null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in steps(batches, text):
             sets = shingle_sets(utf8(b, text), words, k)
-            yield pa.RecordBatch.from_arrays([column(b, id_col).cast(pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([column(b, id_col).cast(pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "node", "n_shingles", "sketch"])
+        del words
+        give_back()
 
-    return docs.select(id_col, text).mapInArrow(run, "doc_id long, node long, n_shingles long")
+    return docs.select(id_col, text).mapInArrow(run, "doc_id long, node long, n_shingles long, sketch binary")
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -327,6 +539,8 @@ def verified(rows: DataFrame, k: int, percent: int) -> DataFrame:
             out += links(group, words)
         if out:
             yield batch()
+        del words, group
+        give_back()
 
     dealt = rows.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
     return dealt.mapInArrow(run, "a long, b long, links long")
@@ -337,7 +551,10 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "
     included) and n_links (other rows it links with, copies included)."""
     every = cut(sets_of(docs, k, text, id_col))
     reps = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    clusters = cut(components(candidate_edges(docs, k, percent, text)))
+    sketches = write_sketches(every.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")))
+    start = cut(candidate_edges(docs, sketches, k, percent, text, first=True))
+    rest = candidate_edges(docs, sketches, k, percent, text, first=False, known=write_labels(components(start)))
+    clusters = cut(components(start.unionByName(rest)))
     blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     members = clusters.join(blocks, "component").join(reps, "node").select("node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("side"), "copies", F.coalesce("rep", F.lit(NULL_ID)).alias("key"))
     members = cut(members)
