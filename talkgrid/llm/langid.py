@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, steps
+from .common import column, cut, give_back, steps
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Labelled rows a language to learn from (expected number; chosen by hash).
-PER_LANG = 2000
+PER_LANG = 1500
+#: Occurrences in the sample from which words and n-grams are known.
+LEAST = 2
 
 
 def grams(word: str) -> Iterator[str]:
@@ -54,39 +56,52 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of (lang, word, n)."""
+    for b in batches:
+        found: dict[str, Counter] = {}
+        for lang, word, n in zip(*(column(b, c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            c = found.setdefault(lang, Counter())
+            for g in grams(word):
+                c[g] += n
+        for lang, c in found.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "word": list(c), "n": list(c.values())})
+
+
 class Model:
-    """Log frequencies of words and n-grams: dictionaries to rows of a matrix with one column a language."""
+    """Log frequencies of words and n-grams: dictionaries to rows of a matrix with one column a language.
+
+    words, gram_counts: for each language a mapping to counts; n-grams are counted from the words if not given.
+    """
 
-    def __init__(self, langs: list[str], words: dict[str, Counter], min_count: int = 2, alpha: float = 0.5):
+    def __init__(self, langs: list[str], words: dict[str, dict], gram_counts: dict[str, dict] | None = None, alpha: float = 0.5):
         self.langs = langs
-        table: dict[str, list[int]] = {}
-        for k, lang in enumerate(langs):
-            for w, n in words.get(lang, {}).items():
-                table.setdefault(w, [0] * len(langs))[k] += n
-        known = {w: c for w, c in table.items() if sum(c) >= min_count}
-        by_gram: dict[str, np.ndarray] = {}
-        for w, c in table.items():
-            c = np.asarray(c, float)
-            for g in grams(w):
-                if g in by_gram:
-                    by_gram[g] += c
-                else:
-                    by_gram[g] = c.copy()
-        by_gram = {g: c for g, c in by_gram.items() if c.sum() >= min_count}
-        self.words, self.word_logs = self._logs(known, alpha)
-        self.grams, self.gram_logs = {}, np.zeros((0, len(langs)))
-        start = 0
-        parts = []
+        if gram_counts is None:
+            gram_counts = {lang: Counter() for lang in words}
+            for lang, c in words.items():
+                for w, n in c.items():
+                    for g in grams(w):
+                        gram_counts[lang][g] += n
+        self.words, self.word_logs = self._logs(words, alpha)
+        self.grams, self.gram_logs, parts = {}, np.zeros((0, len(langs))), []
         for n in ORDERS:  # frequencies are those among n-grams of one length
-            names, logs = self._logs({g: c for g, c in by_gram.items() if len(g) == n}, alpha)
+            names, logs = self._logs({lang: {g: k for g, k in c.items() if len(g) == n} for lang, c in gram_counts.items()}, alpha)
+            start = sum(map(len, parts))
             self.grams.update({g: start + i for g, i in names.items()})
             parts.append(logs)
-            start += len(names)
-        self.gram_logs = np.concatenate(parts) if parts else self.gram_logs
-
-    def _logs(self, counts: dict, alpha: float) -> tuple[dict[str, int], np.ndarray]:
-        m = np.asarray(list(counts.values()), float).reshape(len(counts), len(self.langs))
-        return {w: i for i, w in enumerate(counts)}, np.log((m + alpha) / (m.sum(0) + alpha * max(1, len(m))))
+        if parts:
+            self.gram_logs = np.concatenate(parts)
+
+    def _logs(self, counts: dict[str, dict], alpha: float) -> tuple[dict[str, int], np.ndarray]:
+        names: dict[str, int] = {}
+        for c in counts.values():
+            for w in c:
+                names.setdefault(w, len(names))
+        m = np.zeros((len(names), len(self.langs)))
+        for k, lang in enumerate(self.langs):
+            c = counts.get(lang, {})
+            m[np.fromiter(map(names.__getitem__, c), np.int64, len(c)), k] = np.fromiter(c.values(), float, len(c))
+        return names, np.log((m + alpha) / (m.sum(0) + alpha * max(1, len(m))))
 
     def unseen(self, word: str) -> np.ndarray:
         w, at, total = f"^{word}$", 0, np.zeros(len(self.langs))
@@ -131,7 +146,8 @@ def predict(model: Model, texts: list[str | None], scorer: _Scorer | None = None
     scorer.trim()
     lists = [WORD.findall(t.lower()) if t else [] for t in texts]
     sums = np.zeros((len(texts), len(model.langs)))
-    full = [i for i, x in enumerate(lists) if x]
+    # What counts as a word character may still be no letter (superscripts, say).
+    full = [i for i, x in enumerate(lists) if any(w.isalpha() or any(map(str.isalpha, w)) for w in x)]
     if full and model.langs:
         ids = np.fromiter(map(scorer.__getitem__, (w for i in full for w in lists[i])), np.int64)
         starts = np.concatenate([[0], np.cumsum([len(lists[i]) for i in full])[:-1]])
@@ -158,12 +174,19 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
         share = F.when(F.col("lang") == lang, min(1.0, per_lang / n)).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < share).select("text", "lang")
-    table = sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words: dict[str, Counter] = {}
-    for b in table.toArrow().to_batches():  # bounded by the sample
-        for lang, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            words.setdefault(lang, Counter())[w] = n
-    return Model(langs, words)
+    counted = cut(sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+
+    def known(table: DataFrame) -> dict[str, dict]:
+        """What occurs often enough in all languages together; bounded by the sample."""
+        often = table.groupBy("word").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).select("word")
+        out: dict[str, dict] = {}
+        for b in table.join(often, "word", "left_semi").select("lang", "word", "n").toArrow().to_batches():
+            for lang, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out.setdefault(lang, {})[w] = n
+        return out
+
+    in_words = counted.mapInArrow(_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return Model(langs, known(counted), known(cut(in_words)))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -177,6 +200,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in steps(batches, text):
             langs, score = predict(m, column(b, text).to_pylist(), scorer)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
+        del scorer, m
+        give_back()
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .common import column, mix, steps
+from .common import column, give_back, mix, steps
 
 ORDERS = (3, 4, 5, 6)
-BITS = 20
+BITS = 19
 #: Labelled rows that a fit reads at most, and n-gram buckets that it keeps at most.
 MAX_ROWS = 16_000
 MAX_FEATURES = 3000
@@ -71,6 +71,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += np.bincount(y, minlength=2)
         for k in (0, 1):
             df[k] += np.bincount(buckets[y[rows] == k], minlength=1 << BITS).astype(np.int32)
+    give_back()
     if n.sum():
         yield pa.RecordBatch.from_pydict({"n": [n.tolist()], "df": [df.tobytes()]}, pa.schema([("n", pa.list_(pa.int64())), ("df", pa.binary())]))
 
@@ -102,16 +103,19 @@ def logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, d
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
     """The model of rows (doc_id, text, toxic); rows without a label 0 or 1 are left out."""
     rows = labelled.where(F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("h"))
-    sample = rows.orderBy("h", "toxic").limit(max_rows).drop("h").repartition(8)  # bounded by max_rows
+    sample = rows.orderBy("h", "toxic").limit(max_rows).drop("h").repartition(6)  # bounded by max_rows
     parts = sample.mapInArrow(_frequencies, "n array<long>, df binary").collect()
     n = sum((np.asarray(r["n"]) for r in parts), np.zeros(2, np.int64))
     if not n.all():
         return Model(float((n[1] + 0.5) / (n.sum() + 1)))
-    df = sum((np.frombuffer(r["df"], np.int32).reshape(2, -1).astype(np.int64) for r in parts), np.zeros((2, 1 << BITS), np.int64))
+    df = np.zeros((2, 1 << BITS), np.int32)
+    for r in parts:
+        df += np.frombuffer(r["df"], np.int32).reshape(2, -1)
+    df = df.astype(float)
     a, b = df[1], df[0]
     c, d = n[1] - a, n[0] - b
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.nan_to_num(n.sum() * (a * d - b * c).astype(float) ** 2 / ((a + b) * (c + d) * float(n[0]) * float(n[1])))
+        chi = np.nan_to_num(n.sum() * (a * d - b * c) ** 2 / ((a + b) * (c + d) * float(n[0]) * float(n[1])))
     chi[(a + b) < 5] = 0
     best = np.argsort(-chi, kind="stable")[:max_features]
     best = np.sort(best[chi[best] > 10.83])  # chi-square of one degree of freedom at 0.001
@@ -134,6 +138,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_F
         y += g["toxic"]
         at = len(y)
     rs, cs, y = np.concatenate(rs), np.concatenate(cs), np.asarray(y, float)
+    del parts, df, a, b, c, d, chi
     w, bias = logistic(rs, cs, ratio[cs], y, len(best))
     return Model(float((n[1] + 0.5) / (n.sum() + 1)), keep, w * ratio, bias)
 
@@ -154,6 +159,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in steps(batches, text, 1 << 20):
             s = m.scores(column(b, text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+        give_back()
 
     schema = StructType([*source.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType())
     return source.mapInArrow(run, schema)
