@@ -52,7 +52,6 @@ def test_odd_rows(spark, name):
         assert len(out) >= 8
     else:
         assert len(out) == len(ROWS)
-    assert out.equals(out)  # it ran to its end
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
