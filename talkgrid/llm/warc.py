@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_shared_folder, open_input
+from .common import cut, give_back, new_shared_folder, open_input
 
 #: Bytes of one chunk.
 CHUNK = 256 << 10
@@ -99,13 +99,14 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
         part = TaskContext.get().partitionId()
         name, records, out, writer, tmp = f"{folder}/part-{part:06d}.warc.gz", 0, None, None, None
         for b in batches:
-            for i in range(b.num_rows):
-                row = {n: b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
+            for row in (r for k in range(0, b.num_rows, 64) for r in b.slice(k, 64).to_pylist()):
                 if out is None:
                     out, tmp, close = _sink(name)
                     writer = ArchiveWriter(out)
                 writer.add(row)
                 records += row["chunk_no"] == 0
+            del b
+        give_back()
         if out is not None:
             size = out.tell()
             out.close()
@@ -208,11 +209,13 @@ def read_archives(archives: DataFrame, with_data: bool = True, size: int = CHUNK
                     for r in read_stream(raw, size):
                         held += len(r["data"]) + 200
                         rows.append(r if with_data else r | {"data": None})
-                        if held > 4 << 20:
+                        if held > 2 << 20:
                             yield pa.RecordBatch.from_pylist(rows, spec)
                             rows, held = [], 0
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, spec)
+                    del rows
+        give_back()
 
     return archives.mapInArrow(read, CHUNKS)
 
