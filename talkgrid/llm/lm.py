@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, map_array, mix, new_shared_folder, pair_hash, put_bytes, steps, utf8
+from .common import WordHashes, cut, give_back, map_array, mix, new_shared_folder, pair_hash, put_bytes, steps, utf8
 
 BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Text bytes whose pairs make one shard.
@@ -156,6 +156,8 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
                 held, n = [], 0
         if held:
             yield from _pair_rows(*(np.concatenate(x) for x in zip(*held, strict=True)), shards)
+        del words, held
+        give_back()
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         k, parts = key[0].as_py(), []
@@ -286,6 +288,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             add = lambda x: np.add.reduceat(x, start)
             cols = [pa.array(n), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
+        del words
+        give_back()
 
     from pyspark.sql.types import DoubleType, LongType, StructType
 

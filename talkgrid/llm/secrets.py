@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import column, steps
+from .common import column, give_back, steps
 
 #: The base patterns, in their order of listing: kind, pattern, group to measure and its least length.
 BASE = (
@@ -333,6 +333,8 @@ def scan(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
             cols = [pa.array([sum(s[2] == k for s in x) for x in base], pa.int64()) for k in KINDS[:3]]
             cols += [pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in base]), pa.array([joined(x) for x in every])]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
+        del shapes
+        give_back()
 
     schema = StructType([*source.schema.fields])
     for c in names:
@@ -360,5 +362,7 @@ def redact(docs: DataFrame, model: dict | None, text: str = "text", mark: str =
                 out.append(t)
             k = b.schema.get_field_index(text)
             yield b.set_column(k, b.schema.field(k), pa.array(out, b.schema.field(k).type))
+        del shapes
+        give_back()
 
     return source.mapInArrow(run, source.schema)
