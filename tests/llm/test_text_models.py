@@ -54,6 +54,8 @@ def test_cuts_are_the_cheapest():
         places = [p for i, p in enumerate(places) if p - (places[i - 1] if i else 0) <= 16]
         while any(b - a > 16 for a, b in zip([0, *places], places, strict=False)):
             places = [p for i, p in enumerate(places) if p - (places[i - 1] if i else 0) <= 16]
+        if not places:
+            continue
         pen = [r.choice([0, 1, 5]) for _ in places]
 
         def cost(chosen, places=places, pen=pen):
@@ -115,7 +117,7 @@ def test_pieces_are_the_librarys():
     texts += ["".join(own.text[r.choice(own.usable)] for _ in range(r.randrange(1, 8))).replace("▁", " ") for _ in range(800)]
     for t, got, want in zip(texts, own.encode(texts), ref.encode(texts), strict=True):
         assert got.tolist() == want, t
-        assert own.decode(got) == ref.decode(want) == t
+        assert own.decode(got) == ref.decode(want) == t.replace("▁", " ")
 
 
 def test_language_model_is_the_formula(spark, documents):
