@@ -86,10 +86,23 @@ def attendee_people(attendees: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def nearest_position(events: DataFrame, positions: DataFrame, width: int) -> DataFrame:
-    """(event_id, position_id): the position of the source nearest in time, the first of a tie; within a bucket's width."""
-    p = positions.withColumn("b", F.explode(F.array(*[F.floor(F.col("at") / width) + k for k in (-1, 0, 1)])))
-    j = events.withColumn("b", F.floor(F.col("t") / width)).join(p, ["source", "b"]).where(F.abs(F.col("t") - F.col("at")) <= width)
-    return j.groupBy("event_id").agg(F.min_by("position_id", F.struct(F.abs(F.col("t") - F.col("at")), "at", "position_id")).alias("position_id"))
+    """(event_id, position_id, apart): the position of the source nearest in time at any distance, the first of a tie; null
+    where the source has none. Every event stays. The last position before and the first after an event are found within a
+    bucket of ``width``, and beyond it from the buckets' own first and last positions; the width bounds no distance."""
+    p = positions.where(F.col("source").isNotNull() & F.col("at").isNotNull()).groupBy("source", "at").agg(F.min("position_id").alias("position_id"))
+    bucket = lambda c: F.floor(F.col(c) / width).alias("b")
+    p = p.select("source", "at", bucket("at"), F.struct("at", "position_id").alias("p"))
+    ends = p.groupBy("source", "b").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    e = events.select("source", F.col("t").alias("at"), bucket("t"), "event_id", F.lit(True).alias("event"))
+    known = e.select("source", "b").distinct().join(ends, ["source", "b"], "full")
+    fore, back = (Window.partitionBy("source").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("b"), F.desc("b")))
+    far = known.select("source", "b", F.last("high", True).over(fore).alias("far_before"), F.last("low", True).over(back).alias("far_after"))
+    both = e.unionByName(p.withColumn("event", F.lit(False)), allowMissingColumns=True)
+    upto, onward = (Window.partitionBy("source", "b").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("at"), F.desc("at")))
+    near = both.select("*", F.max("p").over(upto).alias("before"), F.min("p").over(onward).alias("after")).where("event")
+    j = near.join(far, ["source", "b"], "left").select("event_id", "at", F.coalesce("before", "far_before").alias("x"), F.coalesce("after", "far_after").alias("y"))
+    pick = lambda c: F.when(F.col(c).isNotNull() & F.col("at").isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.at")).alias("apart"), F.col(f"{c}.at").alias("at"), F.col(f"{c}.position_id").alias("position_id")))
+    return j.select("event_id", F.least(pick("x"), pick("y")).alias("z")).select("event_id", "z.position_id", "z.apart")
 
 
 def outcomes(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:

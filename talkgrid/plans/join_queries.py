@@ -92,10 +92,23 @@ def attendee_people(spark, d):
 
 @query("""WITH e AS (SELECT event_id, user_id % 3 AS source, event_id * 1000 AS t FROM events), p AS (SELECT event_id AS position_id, user_id % 3 AS source, event_id * 1000 + 300 AS pos FROM events WHERE event_id % 9 = 0), j AS (SELECT e.event_id, p.position_id, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(t - pos), pos, p.position_id) AS k FROM e JOIN p ON e.source = p.source AND abs(t - pos) <= 20000) SELECT event_id, position_id FROM j WHERE k = 1""")
 def nearest_positions(spark, d):
-    """J34"""
+    """J34, of positions within 20 s, as its SQL has them; ``nearest_positions_whole`` has no such bound."""
+    e, p = _timeline(spark, d)
+    return J.nearest_position(e, p, 20_000).where("apart <= 20000").select("event_id", "position_id")
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 3 AS source, event_id * 1000 AS t FROM events), p AS (SELECT event_id AS position_id, user_id % 3 AS source, event_id * 1000 + 300 AS pos FROM events WHERE event_id % 9 = 0), x AS (SELECT e.event_id, e.source, t, p.position_id AS before_id, t - pos AS before_ms FROM e ASOF LEFT JOIN p ON e.source = p.source AND t >= pos), y AS (SELECT e.event_id, p.position_id AS after_id, pos - t AS after_ms FROM e ASOF LEFT JOIN p ON e.source = p.source AND t <= pos)
+SELECT event_id, CASE WHEN after_ms IS NULL OR before_ms <= after_ms THEN before_id ELSE after_id END AS position_id FROM x JOIN y USING (event_id)""")
+def nearest_positions_whole(spark, d):
+    """At any distance; every event has a row."""
+    return J.nearest_position(*_timeline(spark, d), 20_000).select("event_id", "position_id")
+
+
+def _timeline(spark, d):
+    """Events, and every ninth of them, 300 ms later, as the positions of its source."""
     e = V.table(spark, d, "events").select("event_id", (F.col("user_id") % 3).alias("source"), (F.col("event_id") * 1000).alias("t"))
     p = e.where("event_id % 9 = 0").select(F.col("event_id").alias("position_id"), "source", (F.col("t") + 300).alias("at"))
-    return J.nearest_position(e, p, 20_000)
+    return e, p
 
 
 @query("SELECT doc_id, CASE WHEN t.toxic IS NULL THEN 'missing' WHEN t.toxic = q.quality THEN 'correct' ELSE 'wrong' END AS outcome FROM (SELECT doc_id, quality FROM labels) q LEFT JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 4 <> 0) t USING (doc_id)")
