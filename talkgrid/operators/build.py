@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,12 +134,31 @@ def seq_fingerprint(seqs: Column) -> Column:
     return F.substring(F.sha2(raw, 256), 1, 16)
 
 
-def hard_splits(levels: DataFrame, most: int, tail: float = 0.3) -> DataFrame:
-    """(key, at): where a session of more than ``most`` frames is cut: the quietest frame in the last part of its first
-    ``most`` frames, the earliest of a tie. levels: key, i (from 0), level, n."""
-    low = most - F.floor(F.lit(most * tail))
-    w = levels.where((F.col("n") > most) & (F.col("i") >= low) & (F.col("i") < most))
-    return w.groupBy("key").agg(F.min_by("i", F.struct("level", "i")).alias("at"))
+def hard_splits(levels: DataFrame, most: int, tail: float = 0.3, window: int = 1) -> DataFrame:
+    """(key, at): all cuts of a session of more than ``most`` frames, each counted from the one before until the rest fits.
+    A cut is the middle of the quietest ``window`` frames in the last part of the next ``most`` frames, the earliest of a
+    tie; where no frames are there, the end of those ``most``. levels: key, i (from 0), level, n."""
+    low = most - int(np.floor(most * tail))
+
+    @F.pandas_udf("array<long>")
+    def cuts(frames: pd.Series) -> pd.Series:
+        return pd.Series([_cuts(np.array([x["i"] for x in f], np.int64), np.array([x["level"] for x in f], np.float64), most, low, window) for f in frames], dtype=object)
+
+    long = levels.where(F.col("n") > most).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "level"))).alias("frames"))
+    return long.select("key", F.explode(cuts("frames")).alias("at"))
+
+
+def _cuts(i: np.ndarray, level: np.ndarray, most: int, low: int, window: int) -> list[int]:
+    level, off, out = np.where(np.isnan(level), np.inf, level), 0, []
+    while not out or i[-1] + 1 - off > most:
+        a, b = np.searchsorted(i, (off + low, off + most))
+        at = off + most if a == b else off + low
+        if b - a >= window and b > a:
+            sums = np.lib.stride_tricks.sliding_window_view(level[a:b], window).sum(1)
+            at = int(i[a + int(np.argmin(sums)) + window // 2])
+        off = at if at > off else off + most
+        out.append(off)
+    return out
 
 
 def valleys(frames: DataFrame, least: float = 0.55) -> DataFrame:

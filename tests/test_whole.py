@@ -2,6 +2,7 @@
 
 import random
 
+from talkgrid.operators import build as B
 from talkgrid.operators import joins as J
 
 
@@ -12,3 +13,24 @@ def test_nearest_position_at_any_distance(spark):
     got = {x.event_id: x.position_id for x in J.nearest_position(spark.createDataFrame(events, "event_id long, source long, t long"), spark.createDataFrame(positions, "position_id long, source long, at long"), 1000).collect()}
     plain = lambda s, t: min(((abs(t - at), at, i) for i, source, at in positions if source == s), default=(None,))[-1]
     assert got == {i: None if s is None or t is None else plain(s, t) for i, s, t in events}
+
+
+def test_long_sessions_are_cut_until_every_part_fits(spark):
+    r = random.Random(12)
+    rows = [(k, i, float(r.randrange(6)), n) for k, n in enumerate((20, 21, 45, 203)) for i in range(n)]
+
+    def plain(levels, most, low, window):
+        off, out = 0, []
+        while len(levels) - off > most:
+            starts = range(off + low, off + most - window + 1)
+            off = min(starts, key=lambda s: (sum(levels[s : s + window]), s)) + window // 2
+            out.append(off)
+        return out
+
+    df = spark.createDataFrame(rows, "key long, i long, level double, n long")
+    for window in (1, 4):
+        got = {}
+        for x in B.hard_splits(df, 20, 0.3, window).orderBy("at").collect():
+            got.setdefault(x.key, []).append(x["at"])
+        want = {k: plain([x for key, _, x, _ in rows if key == k], 20, 14, window) for k in range(1, 4)}
+        assert got == want and len(want[3]) >= 10
