@@ -183,6 +183,20 @@ def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def ranked_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, root, edges, confidence) of each node with an edge: its component's root, which is the node with the most edges,
+    then confidence, notes and mentions, then the smallest, and the component's edges and their summed confidence, by which
+    components rank. edges: a, b, confidence; nodes: id, note_count, mention_total. Self-loops and dead ends don't count."""
+    live = checkpoint(live_edges(edges.where("a <> b"), nodes).select("a", "b", "confidence"))
+    label = connected(live).withColumnRenamed("root", "component")
+    sides = live.select(F.col("a").alias("id"), "confidence").union(live.select("b", "confidence"))
+    own = sides.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("c"))
+    best = F.struct(-F.col("n"), -F.col("c"), -F.col("note_count"), -F.col("mention_total"), "id")
+    roots = label.join(own, "id").join(nodes.select("id", "note_count", "mention_total"), "id").groupBy("component").agg(F.min_by("id", best).alias("root"))
+    total = live.join(label.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("edges"), F.sum("confidence").alias("confidence"))
+    return label.join(roots.join(total, "component"), "component").select("id", "root", "edges", "confidence")
+
+
 #: Hops that one plan takes before its paths are cut by a checkpoint and pruned by the best one found.
 HOPS_A_CUT = 3
 #: Edges up to which one task searches the whole graph; larger graphs are searched by joins.

@@ -3,7 +3,11 @@
 import random
 
 from talkgrid.operators import build as B
+from talkgrid.operators import graph as G
 from talkgrid.operators import joins as J
+from talkgrid.plans.registry import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_nearest_position_at_any_distance(spark):
@@ -34,3 +38,51 @@ def test_long_sessions_are_cut_until_every_part_fits(spark):
             got.setdefault(x.key, []).append(x["at"])
         want = {k: plain([x for key, _, x, _ in rows if key == k], 20, 14, window) for k in range(1, 4)}
         assert got == want and len(want[3]) >= 10
+
+
+def plain_components(edges, nodes):
+    """[(edges, confidence, root, ids)] by rank. edges: (id, a, b, confidence); nodes: id to (notes, mentions)."""
+    near = {}
+    for _, a, b, c in edges:
+        if a != b and a in nodes and b in nodes:
+            near.setdefault(a, []).append((b, c))
+            near.setdefault(b, []).append((a, c))
+    seen, out = set(), []
+    for first in near:
+        if first not in seen:
+            ids, todo = [], [first]
+            seen.add(first)
+            while todo:
+                ids.append(x := todo.pop())
+                todo += {n for n, _ in near[x]} - seen
+                seen |= {n for n, _ in near[x]}
+            root = min(ids, key=lambda x: (-len(near[x]), -sum(c for _, c in near[x]), -nodes[x][0], -nodes[x][1], x))
+            out.append((sum(len(near[x]) for x in ids) // 2, sum(c for x in ids for _, c in near[x]) / 2, root, sorted(ids)))
+    return sorted(out, key=lambda c: (-c[0], -c[1], c[2]))
+
+
+def some_graph(seed, n, m):
+    r = random.Random(seed)
+    edges = [(f"e{i:04d}", r.randrange(n), r.randrange(n), r.randrange(1, 9) / 8) for i in range(m)]
+    return edges, {i: (r.randrange(5), r.randrange(9)) for i in range(n) if i % 17}
+
+
+def frames(spark, edges, nodes):
+    return spark.createDataFrame(edges, "id string, a long, b long, confidence double"), spark.createDataFrame([(i, *x) for i, x in nodes.items()], "id long, note_count long, mention_total long")
+
+
+def test_components_are_ranked(spark):
+    edges, nodes = some_graph(13, 120, 90)
+    got = {x.id: (x.edges, x.confidence, x.root) for x in G.ranked_components(*frames(spark, edges, nodes)).collect()}
+    assert got == {i: c[:3] for c in plain_components(edges, nodes) for i in c[3]}
+
+
+def test_components_take_all_lines(spark):
+    got = QUERIES["components_whole"](spark, SF).collect()
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect()
+    nodes = {x: (0, 0) for a, b in lines for x in (a + 1_000_000, b)}
+    want = plain_components([("", a + 1_000_000, b, 1.0) for a, b in lines], nodes)
+    groups = {}
+    for x in got:
+        groups.setdefault((x.root, x.edges), []).append(x.id)
+    assert sorted((n, sorted(ids)) for (_, n), ids in groups.items()) == sorted((c[0], c[3]) for c in want)
