@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,20 +72,36 @@ def backbone(edges: DataFrame, roots: DataFrame, per_node: int = 3, cap: int = 8
 
 def greedy_pairs(ranked: DataFrame, rounds: int = 40) -> DataFrame:
     """Of ranked pairs (a, b, rank) those that use each person once, in order of rank: every round takes the pairs that are
-    first for both of their people, and drops whatever touches them."""
+    first for both of their people, and drops whatever touches them. Pairs that are left after ``rounds`` (where all prefer
+    the same few, a round settles one) are taken in one ordered pass, which holds the people taken and no pairs."""
     from talkgrid.operators.graph import checkpoint
 
     left, out = checkpoint(ranked.select("a", "b", "rank")), None
+    order = F.struct("rank", "a", "b")
     for _ in range(rounds):
-        sides = left.select(F.col("a").alias("p"), "rank").union(left.select("b", "rank")).groupBy("p").agg(F.min("rank").alias("first"))
-        pick = lambda s: sides.select(F.col("p").alias(s), F.col("first").alias(f"{s}_first"))
-        hit = checkpoint(left.join(pick("a"), "a").join(pick("b"), "b").where("rank = a_first and rank = b_first").select("a", "b", "rank"))
-        if hit.isEmpty():
+        if left.isEmpty():
             break
+        tied = left.withColumn("order", order)
+        sides = tied.select(F.col("a").alias("p"), "order").union(tied.select("b", "order")).groupBy("p").agg(F.min("order").alias("first"))
+        pick = lambda s: sides.select(F.col("p").alias(s), F.col("first").alias(f"{s}_first"))
+        hit = checkpoint(tied.join(pick("a"), "a").join(pick("b"), "b").where("order <=> a_first and order <=> b_first").select("a", "b", "rank"))
         out = hit if out is None else out.unionByName(hit)
         used = hit.select(F.col("a").alias("p")).union(hit.select("b"))
         left = checkpoint(left.join(used.withColumnRenamed("p", "a"), "a", "left_anti").join(used.withColumnRenamed("p", "b"), "b", "left_anti").select("a", "b", "rank"))
-    return out if out is not None else left.limit(0)
+    if left.isEmpty():
+        return left if out is None else out
+    rest = left.repartition(1).sortWithinPartitions(order).mapInArrow(_first_come, left.schema)
+    return rest if out is None else out.unionByName(rest)
+
+
+def _first_come(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    used = set()
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            keep.append(a not in used and b not in used)
+            used.update((a, b) if keep[-1] else ())
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def evidence_tier(codes: Column, acoustic: Column, z: Column) -> Column:

@@ -86,3 +86,18 @@ def test_components_take_all_lines(spark):
     for x in got:
         groups.setdefault((x.root, x.edges), []).append(x.id)
     assert sorted((n, sorted(ids)) for (_, n), ids in groups.items()) == sorted((c[0], c[3]) for c in want)
+
+
+def test_greedy_pairs_leave_none(spark):
+    r = random.Random(14)
+    n = 100
+    additive = [(a, b, -(a + b) * 1.0) for a in range(n) for b in range(a + 1, n)]
+    tied = [(a, b, float(r.randrange(5))) for a in range(30) for b in range(a + 1, 30)]
+    for pairs, rounds in ((additive, 2), (additive, 40), (tied, 40), (tied, 0)):
+        used, want = set(), set()
+        for _, a, b in sorted((x, a, b) for a, b, x in pairs):
+            if not {a, b} & used:
+                used |= {a, b}
+                want.add((a, b))
+        got = [(x.a, x.b) for x in B.greedy_pairs(spark.createDataFrame(pairs, "a long, b long, rank double"), rounds).collect()]
+        assert len(got) == len(want) and set(got) == want
