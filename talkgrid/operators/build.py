@@ -61,13 +61,38 @@ def replay_events(relations: DataFrame, events: DataFrame) -> DataFrame:
     return j.where(~F.coalesce(F.col("decision") == "suppress", F.lit(False))).withColumns({"origin": F.when(F.col("decision") == "confirm", "confirmed").otherwise(F.col("origin")), "valid_to": F.coalesce("ended_at", "valid_to")}).drop("decision", "ended_at")
 
 
-def backbone(edges: DataFrame, roots: DataFrame, per_node: int = 3, cap: int = 80) -> DataFrame:
-    """Edges of a readable overview: each node's best ones, roots' first, until so many nodes are on show."""
-    both = edges.select("id", F.col("a").alias("node"), "confidence").union(edges.select("id", "b", "confidence"))
-    w = Window.partitionBy("node").orderBy(F.desc("confidence"), "id")
-    best = both.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_node)
-    first = best.join(roots.select(F.col("id").alias("node"), F.lit(0).alias("root")), "node", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("root", F.lit(1)).alias("r"), "n")).alias("at"))
-    return edges.join(first, "id").orderBy("at", F.desc("confidence"), "id").limit(cap)
+def backbone(edges: DataFrame, nodes: DataFrame, max_nodes: int = 80, per_node: int = 3) -> DataFrame:
+    """(at, id): the nodes of a readable overview in the order they come in. First the root of each component, then by turns
+    each component's next node brings in its ``per_node`` best unseen neighbours. Of these a node needs the best
+    ``max_nodes + per_node`` only, as no more can be seen, and only the nodes on show are collected. If no two nodes share an
+    edge, the best edge takes the last places. edges: id, a, b, confidence, note_count; nodes: id, note_count, mention_total."""
+    from talkgrid.operators import graph as G
+
+    live = G.checkpoint(G.live_edges(edges.where("a <> b"), nodes).select("id", "a", "b", "confidence", "note_count"))
+    ranks = G.ranked_components(live, nodes).select("root", "edges", "confidence").distinct()
+    roots = [r.root for r in ranks.orderBy(F.desc("edges"), F.desc("confidence"), "root").limit(max_nodes).collect()]
+    near = G.checkpoint(G.top_neighbours(live.select("id", F.col("a").alias("subject_id"), F.col("b").alias("object_id"), "confidence", "note_count"), max_nodes + per_node).select("node", "other", "n"))
+    shown, queues, known = dict.fromkeys(roots), [[r] for r in roots], {}
+    while len(shown) < max_nodes and per_node > 0 and any(queues):
+        for q in queues:
+            if not q or len(shown) >= max_nodes:
+                continue
+            if q[0] not in known:
+                known |= {x: [] for y in queues for x in y if x not in known}
+                for r in near.where(F.col("node").isin([x for y in queues for x in y])).orderBy("node", "n").collect():
+                    known[r.node] = [*known[r.node], r.other] if r.n > len(known[r.node]) else known[r.node]
+            for x in [x for x in known[q.pop(0)] if x not in shown][: min(per_node, max_nodes - len(shown))]:
+                shown[x] = None
+                q.append(x)
+    ids = list(shown)
+    if max_nodes >= 2 and live.where(F.col("a").isin(ids) & F.col("b").isin(ids)).isEmpty():
+        best = live.orderBy(F.desc("confidence"), F.desc("note_count"), "id").limit(1).collect()
+        ends = [x for r in best for x in (r.a, r.b)]
+        missing = [x for x in ends if x not in shown]
+        others = [x for x in ids if x not in ends]
+        gone = set(others[len(others) - max(0, len(ids) + len(missing) - max_nodes) :])
+        ids = [x for x in ids if x not in gone] + missing
+    return edges.sparkSession.createDataFrame(list(enumerate(ids)), f"at int, id {nodes.schema['id'].dataType.simpleString()}")
 
 
 def greedy_pairs(ranked: DataFrame, rounds: int = 40) -> DataFrame:

@@ -162,10 +162,10 @@ def replayed_relations(spark, d):
 
 @query(None)
 def graph_backbone(spark, d):
-    """G10, G11, G13"""
-    co = G.cooccurrence(V.note_entities(spark, d))
-    e = co.select(F.concat_ws("~", "a", "b").alias("id"), "a", "b", F.col("weight").alias("confidence"))
-    return B.backbone(e, V.entities(spark, d).where("id % 25 = 0").select("id")).select("id", "a", "b", "confidence")
+    """The nodes on show."""
+    ne = V.note_entities(spark, d)
+    e = G.cooccurrence(ne).select(F.concat_ws("~", "a", "b").alias("id"), "a", "b", F.col("weight").alias("confidence"), F.col("weight").alias("note_count"))
+    return B.backbone(e, G.entity_counts(V.entities(spark, d).select("id"), ne))
 
 
 @query(None)

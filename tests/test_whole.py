@@ -101,3 +101,37 @@ def test_greedy_pairs_leave_none(spark):
                 want.add((a, b))
         got = [(x.a, x.b) for x in B.greedy_pairs(spark.createDataFrame(pairs, "a long, b long, rank double"), rounds).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def plain_backbone(edges, nodes, most, per):
+    edges = [e for e in edges if e[1] != e[2] and e[1] in nodes and e[2] in nodes]
+    shown = [c[2] for c in plain_components(edges, nodes)][:most]
+    queues = [[x] for x in shown]
+    while len(shown) < most and any(queues):
+        for q in queues:
+            if q:
+                node, best = q.pop(0), {}
+                for i, a, b, c in edges:
+                    other = b if a == node else a if b == node else None
+                    if other is not None and other not in shown:
+                        best[other] = min(best.get(other, (9,)), (-c, i))
+                new = sorted(best, key=best.get)[:per][: most - len(shown)]
+                shown += new
+                q += new
+    if not any(a in shown and b in shown for _, a, b, _ in edges):
+        _, a, b, _ = min(edges, key=lambda e: (-e[3], e[0]))
+        for x in shown[::-1]:
+            if len({*shown, a, b}) > most and x not in (a, b):
+                shown.remove(x)
+        shown += [x for x in (a, b) if x not in shown]
+    return shown
+
+
+def test_backbone_shows_every_component(spark):
+    for seed, n, m, most in ((15, 120, 90, 80), (16, 60, 200, 30), (17, 120, 60, 6)):
+        edges, nodes = some_graph(seed, n, m)
+        e, v = frames(spark, edges, nodes)
+        got = [x.id for x in B.backbone(e.selectExpr("*", "1 AS note_count"), v, most).orderBy("at").collect()]
+        assert got == plain_backbone(edges, nodes, most, 3)
+        roots = [c[2] for c in plain_components(edges, nodes)]
+        assert len(roots) > most or set(roots) <= set(got)
