@@ -349,6 +349,14 @@ def mention_resolvability(spark, d):
     return t.select("note_id", F.explode("m").alias("m")).select("note_id", "m.k", "m.id").join(known, "id", "left").select("note_id", "k", F.coalesce("ok", F.lit(False)).alias("resolvable"))
 
 
+@query("SELECT l_orderkey AS note_id, l_linenumber AS k, l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 8 <> 0) AS resolvable FROM lineitem")
+def mention_resolvability_whole(spark, d):
+    """Mentions of all lines."""
+    t = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("note_id")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("id"))).alias("m"))
+    known = V.entities(spark, d).where("id % 8 <> 0").select("id", F.lit(True).alias("ok"))
+    return t.select("note_id", F.explode("m").alias("m")).select("note_id", "m.k", "m.id").join(known, "id", "left").select("note_id", "k", F.coalesce("ok", F.lit(False)).alias("resolvable"))
+
+
 @query(f"WITH {V.SEG} SELECT note_id, seq, coalesce(speaker, '') AS speaker, speaker IS NULL OR speaker = 'system' AS repaired FROM seg")
 def orphan_repair(spark, d):
     """Speakers that are missing from the table get an entry."""

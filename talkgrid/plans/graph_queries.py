@@ -166,6 +166,13 @@ def alias_matches(spark, d):
     return G.alias_matches(e, e.where("id % 10 = 0"))
 
 
+@query("""WITH k AS (SELECT DISTINCT p_partkey AS id, p_brand AS kind, lower(trim(x)) AS k FROM (SELECT p_partkey, p_brand, unnest([p_name, p_type]) AS x FROM part) WHERE trim(x) <> '') SELECT DISTINCT x.id, y.id AS match_id FROM k x JOIN k y USING (kind, k)""")
+def alias_matches_whole(spark, d):
+    """All entities are confirmed ones."""
+    e = V.entities(spark, d)
+    return G.alias_matches(e, e)
+
+
 @query("""WITH RECURSIVE r AS (SELECT p_partkey AS old_id, p_partkey // 2 AS new_id FROM part WHERE p_partkey % 3 = 0 AND p_partkey // 2 > 0), w AS (SELECT p_partkey AS id, p_partkey AS cur, 0 AS hop FROM part UNION ALL SELECT w.id, r.new_id, hop + 1 FROM w JOIN r ON w.cur = r.old_id WHERE hop < 9)
 SELECT id, CASE WHEN max(hop) <= 8 THEN arg_max(cur, hop) END AS target FROM w GROUP BY 1""")
 def redirect_targets(spark, d):

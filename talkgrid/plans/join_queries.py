@@ -90,6 +90,14 @@ def attendee_people(spark, d):
     return J.attendee_people(c.withColumnRenamed("id", "attendee_id"), c.where("id % 7 = 0"))
 
 
+@query("""WITH c AS (SELECT c_custkey AS id, lower(trim(c_name)) AS n, lower(trim(c_mktsegment || CAST(c_nationkey AS VARCHAR))) AS e FROM customer), m AS (SELECT x.id AS attendee_id, y.id AS person_id, 1 AS rank FROM c x JOIN (SELECT e, min(id) AS id FROM c GROUP BY 1) y ON x.e = y.e UNION ALL SELECT x.id, y.id, 2 FROM c x JOIN (SELECT n, min(id) AS id FROM c GROUP BY 1) y ON x.n = y.n)
+SELECT attendee_id, arg_min(person_id, rank * 1000000000 + person_id) AS person_id FROM m GROUP BY 1""")
+def attendee_people_whole(spark, d):
+    """All customers are people."""
+    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("email"))
+    return J.attendee_people(c.withColumnRenamed("id", "attendee_id"), c)
+
+
 @query("""WITH e AS (SELECT event_id, user_id % 3 AS source, event_id * 1000 AS t FROM events), p AS (SELECT event_id AS position_id, user_id % 3 AS source, event_id * 1000 + 300 AS pos FROM events WHERE event_id % 9 = 0), j AS (SELECT e.event_id, p.position_id, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(t - pos), pos, p.position_id) AS k FROM e JOIN p ON e.source = p.source AND abs(t - pos) <= 20000) SELECT event_id, position_id FROM j WHERE k = 1""")
 def nearest_positions(spark, d):
     """J34, of positions within 20 s, as its SQL has them; ``nearest_positions_whole`` has no such bound."""
@@ -144,6 +152,16 @@ def identity_candidates(spark, d):
     return J.candidates(a, p.select(F.col("p_partkey").alias("person_id"), F.col("p_size").alias("seen")), p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("person_id"))).select("person_id")
 
 
+@query("""WITH a AS (SELECT l_partkey AS person_id, l_suppkey AS cluster, max(l_extendedprice) AS sim FROM lineitem GROUP BY 1, 2), t AS (SELECT person_id, [0, cluster, n] AS o FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, person_id) AS n FROM a) WHERE n <= 5),
+b AS (SELECT p_partkey AS person_id, [1, -p_size, 0] AS o FROM (SELECT * FROM part ORDER BY p_size DESC, p_partkey LIMIT 10)), c AS (SELECT p_partkey AS person_id, [2, p_partkey, 0] AS o FROM part)
+SELECT person_id FROM (SELECT person_id, min(o) AS o FROM (SELECT * FROM t UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1) ORDER BY o, person_id LIMIT 30""")
+def identity_candidates_whole(spark, d):
+    """All suppliers are clusters, all parts adopted; the 30 first are the operator's result."""
+    a = V.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("person_id"), F.col("l_suppkey").alias("cluster")).agg(F.max("l_extendedprice").alias("sim"))
+    p = V.table(spark, d, "part")
+    return J.candidates(a, p.select(F.col("p_partkey").alias("person_id"), F.col("p_size").alias("seen")), p.select(F.col("p_partkey").alias("person_id"))).select("person_id")
+
+
 @query("""WITH g AS (SELECT l_orderkey AS note_id, lower(trim(p_brand)) AS k, min(l_linenumber) AS pos, arg_min(p_brand, l_linenumber) AS name, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS aliases FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
 SELECT note_id, 'ent_' || CAST(row_number() OVER (PARTITION BY note_id ORDER BY pos, k) AS VARCHAR) AS entity, name, aliases FROM g""")
 def first_seen_entities(spark, d):
@@ -161,6 +179,14 @@ def mentions_without_support(spark, d):
     return t.where("l_linenumber <= 3").select("note_id", "entity_id").join(support, ["note_id", "entity_id"], "left_anti").distinct()
 
 
+@query("SELECT l_orderkey AS note_id, l_partkey AS entity_id FROM lineitem EXCEPT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+def mentions_without_support_whole(spark, d):
+    """Mentions of all lines."""
+    t = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note_id"), F.col("l_partkey").alias("entity_id"), "l_returnflag")
+    support = t.where("l_returnflag = 'R'").select("note_id", "entity_id")
+    return t.select("note_id", "entity_id").join(support, ["note_id", "entity_id"], "left_anti").distinct()
+
+
 @query("""SELECT user_id, len(a) AS anomalies, array_to_string(a, ',') AS kinds FROM (SELECT user_id, list_filter(['high' , 'many'], lambda k: (k = 'high' AND max(value) > 400) OR (k = 'many' AND count(*) >= 12)) AS a FROM events GROUP BY user_id)""".replace("lambda k: (k = 'high' AND max(value) > 400) OR (k = 'many' AND count(*) >= 12)", "lambda k: (k = 'high' AND m > 400) OR (k = 'many' AND n >= 12)").replace("FROM events GROUP BY user_id)", "FROM (SELECT user_id, max(value) AS m, count(*) AS n FROM events GROUP BY user_id))"))
 def drift_anomalies(spark, d):
     """Rules that apply, in their order."""

@@ -135,3 +135,11 @@ def test_backbone_shows_every_component(spark):
         assert got == plain_backbone(edges, nodes, most, 3)
         roots = [c[2] for c in plain_components(edges, nodes)]
         assert len(roots) > most or set(roots) <= set(got)
+
+
+def test_whole_tables_are_taken(spark):
+    n = lambda name: QUERIES[name](spark, SF).count()
+    table = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    assert n("mention_resolvability_whole") == table("lineitem").count() and n("attendee_people_whole") == table("customer").count()
+    assert QUERIES["alias_matches_whole"](spark, SF).where("id = match_id").count() == table("part").count()
+    assert n("mentions_without_support_whole") > n("mentions_without_support")
