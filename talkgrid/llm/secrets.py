@@ -3,8 +3,8 @@
 Tokens are the runs between white space. The field tags them begin, inside or outside a secret; its features are the
 shape class of a token (characters, length, entropy, keyword) and of the two before and the one after it, and a class of
 the whole document. It is trained on windows around what the base patterns find and around other places, in at most
-``MAX_ROWS`` rows (chosen by hash; the same in every run). A decoded span that no base span touches is added with kind
-``crf``; base spans always stay.
+``MAX_ROWS`` rows (chosen by hash; the same in every run). Of a decoded span the parts that no base span covers are added
+with kind ``crf``; base spans always stay.
 
 Offsets are code points, ends exclusive, over whole texts. Null texts count as empty; empty texts have no span. Repeated
 rows get equal results; other columns pass. Without any base span to learn from, only base spans are found.
@@ -279,6 +279,19 @@ def fit(docs: DataFrame, text: str = "text", max_rows: int = MAX_ROWS) -> dict |
     return train(x[order], np.asarray(got.column("d"), np.int64)[order], y[order])
 
 
+def uncovered(text: str, start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The parts of a decoded span that base spans leave, without white space at their ends; parts of nothing but quotes,
+    brackets, commas and semicolons are no secret's. base is in order of start."""
+    out, at = [], start
+    for s, e, _ in [*base, (end, end, "")]:
+        s, e = min(s, end), min(e, end)
+        if s > at and (rest := text[at:s]).strip("\"'`()[]{}<>,; \t\r\n"):
+            left = at + len(rest) - len(rest.lstrip())
+            out.append((left, left + len(rest.strip()), "crf"))
+        at = max(at, e)
+    return out
+
+
 def scan_texts(model: dict | None, texts: list[str], shapes: Shapes) -> list[list[tuple[int, int, str]]]:
     """All spans of whole texts, by start and then by kind."""
     found = [base_spans(t) for t in texts]
@@ -306,8 +319,7 @@ def scan_texts(model: dict | None, texts: list[str], shapes: Shapes) -> list[lis
                 while z + 1 < len(labels) and labels[z + 1] == I:
                     z += 1
                 s, e = at[k][0], at[z][1]
-                if not any(s < y and x < e for x, y, _ in base):
-                    more.append((s, e, "crf"))
+                more += uncovered(texts[i], s, e, base)
                 k = z
             k += 1
         if more:
