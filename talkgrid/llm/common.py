@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import mmap
 import os
@@ -21,18 +22,42 @@ STEP_BYTES = 3 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, whose executor is the driver,
+    may do without the setting and gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='talkgrid-shared-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
-def new_shared_folder(spark: SparkSession, kind: str) -> str:
-    """A fresh folder below the shared root; created on first write."""
-    return f"{shared_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+def new_shared_folder(spark: SparkSession, kind: str, keep: bool = False) -> str:
+    """A fresh folder below the shared root; created on first write and, unless ``keep``, removed when the driver's Python
+    ends (results are lazy, so they may need it until then)."""
+    folder = f"{shared_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if not keep:
+        atexit.register(_remove, folder)
+    return folder
+
+
+def _remove(uri: str) -> None:
+    from pyarrow import fs
+
+    with contextlib.suppress(Exception):  # at the very end, and the folder may never have been written
+        store, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+        store.delete_dir(path)
+
+
+#: Tasks that a dealt stage has at most; a task then takes several groups, one after another.
+MAX_TASKS = 20_000
+
+
+def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """``df`` hashed by a group's number to as many partitions as there are groups, so tasks grow in number, not in size."""
+    return df.repartition(max(1, min(groups, MAX_TASKS)), key)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,68 +1,83 @@
-"""Sets of 64-bit ids as sorted arrays in shared files, memory-mapped by workers: filters a wide table without shuffling it."""
+"""Sets of rows as sorted arrays in shared files, memory-mapped by workers: filters a wide table without shuffling it.
+
+A row is known by two 64-bit hashes of its id and text, so rows that share an id but not the text are apart.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_array, new_shared_folder, put_bytes
+from .common import cut, dealt, map_array, new_shared_folder, put_bytes
 
-#: Stands for a null id.
-NULL_ID = -(1 << 63)
+#: Rows of one file.
+SHARD_ROWS = 1 << 21
 
 
-class IdSet:
-    """The written set: ``files`` by shard; an id's shard is its remainder."""
+def row_keys(id_col: Column, text: Column) -> tuple[Column, Column]:
+    """Two hashes of a row, made by the JVM; nulls are told apart from empty texts."""
+    parts = id_col.cast("long"), text, text.isNull()
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
-    def __init__(self, folder: str, shards: int, full: list[int]):
-        self.folder, self.shards, self.full = folder, shards, full
-
-    def open(self) -> dict[int, np.ndarray]:
-        return {k: map_array(f"{self.folder}/{k}.i64", np.int64) for k in self.full}
-
-    def has(self, ids: np.ndarray, maps: dict[int, np.ndarray]) -> np.ndarray:
-        out, shard = np.zeros(len(ids), bool), np.mod(ids, self.shards)
-        for k in np.unique(shard):
-            a = maps.get(int(k))
-            if a is not None and len(a):
-                at = shard == k
-                i = np.minimum(np.searchsorted(a, ids[at]), len(a) - 1)
-                out[at] = a[i] == ids[at]
-        return out
 
+class RowSet:
+    """The written set: files by shard, which is the remainder of the first hash."""
 
-def ids_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    col = batch.column(batch.schema.get_field_index(name)).cast(pa.int64())
-    return np.asarray(pa.compute.fill_null(col, NULL_ID), np.int64)
+    def __init__(self, folder: str, shards: int, full: list[int]):
+        self.folder, self.shards, self.full, self.maps = folder, shards, set(full), {}
+
+    def _open(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in self.maps:
+            a = map_array(f"{self.folder}/{k}.rows", np.int64)
+            self.maps[k] = a[: len(a) // 2], a[len(a) // 2 :]
+        return self.maps[k]
+
+    def has(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        out, shard = np.zeros(len(one), bool), np.mod(one, self.shards)
+        for k in np.unique(shard).tolist():
+            if k not in self.full:
+                continue
+            a, b = self._open(k)
+            at = np.flatnonzero(shard == k)
+            i, j = np.searchsorted(a, one[at]), np.searchsorted(a, one[at], "right")
+            for step in range(int((j - i).max())):  # more than one only where 64-bit hashes collide
+                here = i + step < j
+                out[at[here]] |= b[i[here] + step] == two[at[here]]
+        return out
 
 
-def write_ids(ids: DataFrame, column: str) -> IdSet:
-    """Writes the ids of a narrow table; shards follow the number of shuffle partitions."""
-    spark = ids.sparkSession
-    folder, shards = new_shared_folder(spark, "ids"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = ids.select(F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID)).alias("id")).withColumn("shard", F.pmod("id", F.lit(shards)).cast("int"))
+def write_rows(rows: DataFrame) -> RowSet:
+    """rows: k1, k2, as of :func:`row_keys`. The number of files follows the number of rows."""
+    spark = rows.sparkSession
+    rows = cut(rows.select("k1", "k2").distinct())
+    folder, shards = new_shared_folder(spark, "rows"), max(1, math.ceil(rows.count() / SHARD_ROWS))
+    keyed = rows.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
 
     def write(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        k = key[0].as_py()
-        put_bytes(f"{folder}/{k}.i64", np.unique(np.asarray(group.column("id"), np.int64)).tobytes())
+        k, a, b = key[0].as_py(), np.asarray(group.column("k1"), np.int64), np.asarray(group.column("k2"), np.int64)
+        order = np.lexsort((b, a))
+        put_bytes(f"{folder}/{k}.rows", a[order].tobytes(), b[order].tobytes())
         return pa.table({"shard": pa.array([k], pa.int32())})
 
-    done = cut(keyed.groupBy("shard").applyInArrow(write, "shard int"))
-    return IdSet(folder, shards, [r["shard"] for r in done.collect()])
+    done = cut(dealt(keyed, "shard", shards).groupBy("shard").applyInArrow(write, "shard int"))
+    return RowSet(folder, shards, [r["shard"] for r in done.collect()])
 
 
-def filter_by_ids(df: DataFrame, column: str, ids: IdSet, keep_members: bool) -> DataFrame:
-    """Rows whose id is in the set (or is not): a narrow pass, no shuffle."""
+def filter_rows(df: DataFrame, rows: RowSet, keep_members: bool, id_col: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """Rows that are in the set (or are not): a narrow pass, no shuffle. ``carry`` leaves k1 and k2 behind the columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = ids.open()
         for b in batches:
-            got = b.filter(pa.array(ids.has(ids_of(b, column), maps) == keep_members))
+            one, two = (np.asarray(b.column(b.num_columns - i), np.int64) for i in (2, 1))
+            got = b.filter(pa.array(rows.has(one, two) == keep_members))
             if got.num_rows:
-                yield got
+                yield got if carry else pa.RecordBatch.from_arrays(got.columns[:-2], names=got.schema.names[:-2])
 
-    return df.mapInArrow(run, df.schema)
+    one, two = row_keys(F.col(id_col), F.col(text))
+    keyed = df.select("*", one.alias("k1"), two.alias("k2"))
+    return keyed.mapInArrow(run, keyed.schema if carry else df.schema)

@@ -11,14 +11,20 @@ too; a pair of which one side keeps its allowances is found by that side, other
 The sets of a key are compared by parity sketches (one bit a hash bucket, in memory-mapped shared files): the number of
 differing bits never exceeds the symmetric difference, so no linking pair is lost, while sets that share only a common
 line or passage drop out. Of what remains a key gives a spanning forest, never its pairs; a sixteenth of the keys comes
-first, and the other keys add only what those have not joined. The forests' components hold
-every linking pair; each is verified exactly, in blocks of bounded size against each other, and gives a spanning
-forest and link counts.
+first, and the other keys add only what those have not joined. A key of very many sets is first compared with a few
+pivots, which joins near copies in linear time; if several trees remain, its sets go in blocks, pair by pair, to
+other tasks. The forests' components hold every linking pair; each is verified exactly, in blocks of bounded size against
+each other, and gives a spanning forest and link counts. Without link counts, blocks are verified in themselves and
+against pivots of the component, and only components that this leaves in several trees are verified block by block.
+
+Shards, files and tasks grow in number with the data, not in size.
 
 Sets are known by a 64-bit hash of their sorted 64-bit shingle hashes, so copies are one set throughout.
 
 Null or empty texts and texts without words have no shingles and link with nothing. With fewer words than a shingle
 takes, the whole sequence is one. Repeated rows are copies. A null id never is the smallest while another is there.
+Rows that share an id but not the text are documents of their own, linked or not as their texts are. An empty table
+gives an empty one. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -30,15 +36,23 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column, cut, give_back, map_array, mix, new_shared_folder, pair_hash, put_bytes, steps, utf8
+from .common import WordHashes, column, cut, dealt, give_back, map_array, mix, new_shared_folder, pair_hash, put_bytes, steps, utf8
 from .graph import components
-from .idset import NULL_ID, filter_by_ids, write_ids
-
-#: Sets of a component that are verified against as many others at once.
-BLOCK = 256
+from .idset import filter_rows, row_keys, write_rows
+
+#: Sets of a component that are verified against as many others at once, and their shingles together.
+BLOCK, BLOCK_SHINGLES = 1024, 250_000
+#: Sets that every block of a component of several blocks holds besides its own where links are not counted.
+PIVOTS = 16
+#: Sets of one key that are compared where the key is gathered; of more, blocks of so many are dealt to tasks in pairs.
+HOT = 1024
+#: Shingles of all rows for each shard of keys, bytes of sketches and rows of labels for each file.
+SHARD_SHINGLES, SHARD_BYTES, SHARD_LABELS = 3_000_000, 64 << 20, 1 << 21
+#: Files that a worker keeps mapped at once.
+OPEN_FILES = 2048
 #: Keys gathered before a worker hands them on.
 FLUSH = 700_000
 _SEG, _EL, _DEL = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -176,6 +190,8 @@ class Sketches:
 
     def _open(self, k: int) -> tuple[np.ndarray, ...]:
         if k not in self.maps:
+            if len(self.maps) >= OPEN_FILES:
+                self.maps.pop(next(iter(self.maps)))
             self.maps[k] = tuple(map_array(f"{self.folder}/{k}.{x}", t) for x, t in (("node", np.int64), ("size", np.int64), ("at", np.int64), ("bits", np.uint64)))
         return self.maps[k]
 
@@ -194,8 +210,8 @@ class Sketches:
 
 def write_sketches(reps: DataFrame) -> Sketches:
     """reps: node, n_shingles, sketch; one row a node."""
-    spark = reps.sparkSession
-    folder, shards = new_shared_folder(spark, "sketches"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = reps.agg(F.sum(F.octet_length("sketch") + 24).alias("n")).first()["n"] or 0
+    folder, shards = new_shared_folder(reps.sparkSession, "sketches"), max(4, math.ceil(size / SHARD_BYTES))
 
     def write(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         k, node = key[0].as_py(), np.asarray(group.column("node"), np.int64)
@@ -208,7 +224,7 @@ def write_sketches(reps: DataFrame) -> Sketches:
         return pa.table({"shard": pa.array([k], pa.int32())})
 
     keyed = reps.select("node", "n_shingles", "sketch", F.pmod("node", F.lit(shards)).cast("int").alias("shard"))
-    done = cut(keyed.groupBy("shard").applyInArrow(write, "shard int"))
+    done = cut(dealt(keyed, "shard", shards).groupBy("shard").applyInArrow(write, "shard int"))
     return Sketches(folder, shards, [r["shard"] for r in done.collect()])
 
 
@@ -231,8 +247,8 @@ class Labels:
 
 
 def write_labels(components_: DataFrame) -> Labels:
-    spark = components_.sparkSession
-    folder, shards = new_shared_folder(spark, "labels"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """components_ has been cut."""
+    folder, shards = new_shared_folder(components_.sparkSession, "labels"), max(1, math.ceil(components_.count() / SHARD_LABELS))
 
     def write(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         k, node, label = key[0].as_py(), np.asarray(group.column("node"), np.int64), np.asarray(group.column("component"), np.int64)
@@ -242,7 +258,7 @@ def write_labels(components_: DataFrame) -> Labels:
         return pa.table({"shard": pa.array([k], pa.int32())})
 
     keyed = components_.select("node", "component", F.pmod("node", F.lit(shards)).cast("int").alias("shard"))
-    done = cut(keyed.groupBy("shard").applyInArrow(write, "shard int"))
+    done = cut(dealt(keyed, "shard", shards).groupBy("shard").applyInArrow(write, "shard int"))
     return Labels(folder, shards, [r["shard"] for r in done.collect()])
 
 
@@ -300,6 +316,9 @@ class Forest:
         for i, k in enumerate(labels.tolist()):
             self.parent[i] = first.setdefault(k, i)
 
+    def roots(self, nodes: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.find, nodes.tolist()), np.int64, len(nodes))
+
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             x, y = self.find(a), self.find(b)
@@ -308,9 +327,41 @@ class Forest:
                 self.edges.append((a, b))
 
 
-def bucket_edges(sig: np.ndarray, node: np.ndarray, sketches: Sketches, percent: int, known: Labels | None = None) -> np.ndarray:
+def _compare(near: Closeness, forest: Forest, one: np.ndarray, two: np.ndarray) -> None:
+    """Joins what is close of one and two (or of one with itself), block by block; what is joined already is not
+    compared again."""
+    step = 256
+    for x in range(0, len(one), step):
+        a = one[x : x + step]
+        for y in range(x if one is two else 0, len(two), step):
+            b = two[y : y + step]
+            apart = forest.roots(a)[:, None] != forest.roots(b)[None, :]
+            p, q = np.nonzero(np.triu(apart) if one is two and x == y else apart)
+            if len(p):
+                i, j = a[p], b[q]
+                ok = near.close(i, j)
+                forest.join(i[ok], j[ok])
+
+
+def _by_pivots(near: Closeness, forest: Forest, m: np.ndarray, rounds: int = 3, pivots: int = 16) -> np.ndarray:
+    """Compares all of m with a few sets of different trees, a few times: linear in m. The roots of m afterwards."""
+    root = forest.roots(m)
+    for _ in range(rounds):
+        _, first, size = np.unique(root, return_index=True, return_counts=True)
+        if len(first) == 1:
+            break
+        before = len(first)
+        _compare(near, forest, m[first[np.argsort(-size, kind="stable")[:pivots]]], m)
+        root = forest.roots(m)
+        if len(np.unique(root)) > before // 2:  # these sets share little but the key
+            break
+    return root
+
+
+def bucket_edges(sig: np.ndarray, node: np.ndarray, sketches: Sketches, percent: int, known: Labels | None = None) -> tuple[np.ndarray, list[dict]]:
     """(2, n) spanning edges of the pairs that share a key and are close by their sketches; none between nodes of which
-    it is known that they belong together."""
+    it is known that they belong together. Then the blocks of keys that are left to other tasks: see :func:`block_edges`."""
+    none = np.zeros((2, 0), np.int64)
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
@@ -318,8 +369,9 @@ def bucket_edges(sig: np.ndarray, node: np.ndarray, sketches: Sketches, percent:
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     count = np.diff(np.append(first, len(sig)))
     if not (count > 1).any():
-        return np.zeros((2, 0), np.int64)
+        return none, []
     nodes, member = np.unique(node[np.repeat(count > 1, count)], return_inverse=True)
+    key = sig[first[count > 1]]
     count = count[count > 1]
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
     near, forest = Closeness(sketches, nodes, percent), Forest(len(nodes))
@@ -341,25 +393,49 @@ def bucket_edges(sig: np.ndarray, node: np.ndarray, sketches: Sketches, percent:
         i, j = i[apart], j[apart]
         ok = near.close(i, j)
         forest.join(i[ok], j[ok])
-    # Keys of many: block by block, each set of members once; sets that are joined already are not compared again.
-    known = set()
-    for a, n in zip(first[count > 32].tolist(), count[count > 32].tolist(), strict=True):
+    # Keys of many, each set of members once: pivots first, then all against all, here or elsewhere.
+    seen, blocks = set(), []
+    for a, n, k in zip(first[count > 32].tolist(), count[count > 32].tolist(), key[count > 32].tolist(), strict=True):
         m = member[a : a + n]
-        if (h := m.tobytes()) in known:
+        if (h := m.tobytes()) in seen:
             continue
-        known.add(h)
-        for x in range(0, n, BLOCK):
-            for y in range(x, n, BLOCK):
-                i, j = np.meshgrid(m[x : x + BLOCK], m[y : y + BLOCK], indexing="ij")
-                root = np.asarray([forest.find(v) for v in m.tolist()], np.int64)
-                ri, rj = np.meshgrid(root[x : x + BLOCK], root[y : y + BLOCK], indexing="ij")
-                open_ = (i < j) & (ri != rj)
-                i, j = i[open_], j[open_]
-                ok = near.close(i, j)
-                forest.join(i[ok], j[ok])
-    if not forest.edges:
-        return np.zeros((2, 0), np.int64)
-    return nodes[np.asarray(forest.edges).T]
+        seen.add(h)
+        root = _by_pivots(near, forest, m)
+        if (root == root[0]).all():
+            continue
+        if n <= HOT:
+            _compare(near, forest, m, m)
+            continue
+        many = -(-n // HOT)
+        for x in range(many):
+            part = slice(x * HOT, (x + 1) * HOT)
+            blocks.append({"key": int(np.uint64(k).astype(np.int64)), "block": x, "blocks": many, "nodes": nodes[m[part]].tobytes(), "labels": nodes[root[part]].tobytes()})
+    edges = nodes[np.asarray(forest.edges).T] if forest.edges else none
+    return edges, blocks
+
+
+def block_edges(blocks: DataFrame, sketches: Sketches, percent: int) -> DataFrame:
+    """(a, b): spanning edges between the blocks of a key, every pair of blocks in a group of its own.
+
+    blocks: key, block, blocks, nodes and labels (what has one label is joined already), as 64-bit values.
+    """
+
+    def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        parts = {r["block"]: (np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["labels"], np.int64)) for r in group.select(["block", "nodes", "labels"]).to_pylist()}
+        names, labels = (np.concatenate(x) for x in zip(*parts.values(), strict=True))
+        near, forest, n = Closeness(sketches, names, percent), Forest(len(names)), len(parts[key[1].as_py()][0])
+        forest.merge(labels)
+        every = np.arange(len(names))
+        if len(parts) > 1:
+            _compare(near, forest, *((every[:n], every[n:]) if next(iter(parts)) == key[1].as_py() else (every[-n:], every[:-n])))
+        else:
+            _compare(near, forest, every, every)
+        e = names[np.asarray(forest.edges).T] if forest.edges else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(e[0]), "b": pa.array(e[1])})
+
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = blocks.withColumn("other", other).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "nodes", "labels")
+    return paired.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
 
 
 def _pack(sig: np.ndarray, node: np.ndarray, shards: int) -> Iterator[dict]:
@@ -374,6 +450,7 @@ def _pack(sig: np.ndarray, node: np.ndarray, shards: int) -> Iterator[dict]:
             yield {"shard": k, "nodes": names.tobytes(), "which": which.astype(np.uint16 if len(names) < 1 << 16 else np.uint32).tobytes(), "hi": (sig[i:j] >> np.uint64(32)).astype(np.uint8).tobytes(), "lo": sig[i:j].astype(np.uint32).tobytes()}
 
 
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("nodes", pa.binary()), ("labels", pa.binary())])
 _BLOB = pa.schema([("shard", pa.int32()), ("nodes", pa.binary()), ("which", pa.binary()), ("hi", pa.binary()), ("lo", pa.binary())])
 
 
@@ -381,10 +458,9 @@ _BLOB = pa.schema([("shard", pa.int32()), ("nodes", pa.binary()), ("which", pa.b
 FIRST = 16
 
 
-def candidate_edges(docs: DataFrame, sketches: Sketches, k: int, percent: int, text: str = "text", first: bool | None = None, known: Labels | None = None) -> DataFrame:
+def candidate_edges(docs: DataFrame, sketches: Sketches, k: int, percent: int, text: str = "text", first: bool | None = None, known: Labels | None = None, shards: int = 8) -> DataFrame:
     """(a, b): spanning edges, key by key, of the sets that share a key and may link. ``first`` takes one key in FIRST,
     or the others."""
-    shards = (1 if first else 4) * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bands = WordHashes(), Bands(percent)
@@ -427,27 +503,33 @@ def candidate_edges(docs: DataFrame, sketches: Sketches, k: int, percent: int, t
                 which = np.frombuffer(row["which"], np.uint16 if len(row["which"]) == 2 * n else np.uint32)
                 sig.append((hi.astype(np.uint64) << np.uint64(32)) | lo)
                 node.append(np.frombuffer(row["nodes"], np.int64)[which])
-        e = bucket_edges(np.concatenate(sig), np.concatenate(node), sketches, percent, known)
+        e, blocks = bucket_edges(np.concatenate(sig), np.concatenate(node), sketches, percent, known)
         del sig, node
         give_back()
-        return pa.table({"a": pa.array(e[0]), "b": pa.array(e[1])})
+        edges = pa.table({"a": pa.array(e[0]), "b": pa.array(e[1])})
+        return pa.concat_tables([pa.Table.from_pylist(blocks, _MET), edges], promote_options="default").select(_MET.names).cast(_MET)
 
     blobs = docs.select(text).mapInArrow(make, "shard int, nodes binary, which binary, hi binary, lo binary")
-    return blobs.groupBy("shard").applyInArrow(meet, "a long, b long")
+    met = cut(dealt(blobs, "shard", shards).groupBy("shard").applyInArrow(meet, "a long, b long, key long, block int, blocks int, nodes binary, labels binary"))
+    edges, blocks = met.where("a is not null").select("a", "b"), met.where("a is null").drop("a", "b")
+    return edges if blocks.isEmpty() else edges.unionByName(block_edges(blocks, sketches, percent))
 
 
 def sets_of(docs: DataFrame, k: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, node, n_shingles, sketch) of every row; node and sketch are null without shingles."""
+    """(doc_id, k1, k2, node, n_shingles, sketch) of every row; node and sketch are null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for b in steps(batches, text):
-            sets = shingle_sets(utf8(b, text), words, k)
-            yield pa.RecordBatch.from_arrays([column(b, id_col).cast(pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "node", "n_shingles", "sketch"])
+        for b in steps(batches):
+            sets = shingle_sets(utf8(b), words, k)
+            own = [column(b, c) for c in ("doc_id", "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "k1", "k2", "node", "n_shingles", "sketch"])
         del words
         give_back()
 
-    return docs.select(id_col, text).mapInArrow(run, "doc_id long, node long, n_shingles long, sketch binary")
+    one, two = row_keys(F.col(id_col), F.col(text))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), one.alias("k1"), two.alias("k2"))
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n_shingles long, sketch binary")
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -495,13 +577,10 @@ def verified(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """rows: cluster, p, q, side, node, copies, text. (a, b, links): spanning edges, and with b null link counts."""
 
     def links(group: list[dict], words: WordHashes) -> Iterator[tuple[int, int | None, int]]:
-        seen: dict[int, dict] = {}
-        for r, s in zip(group, shingle_sets([r["text"] for r in group], words, k), strict=True):
-            if set_hash(s) == r["node"]:  # other rows only share the id
-                seen.setdefault(r["node"], r | {"set": s})
+        every = [r | {"set": s} for r, s in zip(group, shingle_sets([r["text"] for r in group], words, k), strict=True)]
         same = group[0]["p"] == group[0]["q"]
-        one = [r for r in seen.values() if same or r["side"] == group[0]["p"]]
-        two = one if same else [r for r in seen.values() if r["side"] == group[0]["q"]]
+        one = [r for r in every if same or r["side"] == group[0]["p"]]
+        two = one if same else [r for r in every if r["side"] == group[0]["q"]]
         if not one or not two:
             return
         n1, n2 = (np.asarray([len(r["set"]) for r in x]) for x in (one, two))
@@ -518,7 +597,7 @@ def verified(rows: DataFrame, k: int, percent: int) -> DataFrame:
             yield from ((int(y), None, int(n)) for y, n in zip(b, link.T @ c1, strict=True) if n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, group, key, out = WordHashes(), [], None, []
+        words, group, key, out, held = WordHashes(), [], None, [], set()
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "links"])
@@ -529,9 +608,11 @@ def verified(rows: DataFrame, k: int, percent: int) -> DataFrame:
                 now = (r["cluster"], r["p"], r["q"])
                 if now != key and group:
                     out += links(group, words)
-                    group = []
+                    group, held = [], set()
                 key = now
-                group.append(r | {"text": t})
+                if r["node"] not in held:  # rows that repeat id and text come several times
+                    held.add(r["node"])
+                    group.append(r | {"text": t})
             if len(out) > 50_000:
                 yield batch()
                 out = []
@@ -546,35 +627,90 @@ def verified(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, links long")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (smallest id reachable by links, its own
-    included) and n_links (other rows it links with, copies included)."""
+#: Shares into which the rows of one component are dealt where they meet what is known of it.
+_SALTS = 16
+
+
+def _of_component(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (node, component and others) with the columns of small (component and others, one row each); salted by the
+    node, since a component may hold a third of all nodes."""
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")).join(salted, ["component", "_salt"], how).drop("_salt")
+
+
+def _verify(docs: DataFrame, members: DataFrame, every: bool, k: int, percent: int, text: str, id_col: str) -> DataFrame:
+    """(a, b, links) of the members' exact comparison; see :func:`verified`. members: node, component, k1, k2, copies,
+    blocks, side, turn (of the node in its component). All pairs of blocks if ``every``, else each block with itself
+    and with the component's first nodes."""
+    found = filter_rows(docs.select(F.col(id_col), F.col(text)).toDF("doc_id", "text"), write_rows(members), True, carry=True)
+    side, last = F.col("side"), F.col("blocks") - 1
+    all_blocks = F.sequence(F.lit(0).cast("long"), last)
+    other = F.explode(all_blocks if every else F.when(F.col("turn") <= PIVOTS, all_blocks).otherwise(F.array(side)))
+    placed = found.select("k1", "k2", "text").join(members, ["k1", "k2"]).withColumn("other", other)
+    p, q = (F.least("side", "other"), F.greatest("side", "other")) if every else (F.col("other"), F.col("other"))
+    return cut(verified(placed.select(F.col("component").alias("cluster"), p.alias("p"), q.alias("q"), "side", "node", "copies", "text"), k, percent))
+
+
+def _groups(docs: DataFrame, k: int, percent: int, text: str, id_col: str, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, k1, k2, node, n_shingles) and the nodes: node, component_id, keeper (the one node of the component
+    that holds the smallest id, null where the node is linked with none), n_links."""
     every = cut(sets_of(docs, k, text, id_col))
-    reps = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    sketches = write_sketches(every.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")))
-    start = cut(candidate_edges(docs, sketches, k, percent, text, first=True))
-    rest = candidate_edges(docs, sketches, k, percent, text, first=False, known=write_labels(components(start)))
-    clusters = cut(components(start.unionByName(rest)))
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    members = clusters.join(blocks, "component").join(reps, "node").select("node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("side"), "copies", F.coalesce("rep", F.lit(NULL_ID)).alias("key"))
+    some = every.where("node is not null")
+    reps = cut(some.groupBy("node").agg(F.min_by(F.struct("doc_id", "k1", "k2"), F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("r"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")))
+    sketches = write_sketches(reps)
+    reps = reps.select("node", F.col("r.doc_id").alias("rep"), "r.k1", "r.k2", "copies", "n_shingles")
+    shards = max(8, math.ceil((reps.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0) / SHARD_SHINGLES))
+    start = cut(candidate_edges(docs, sketches, k, percent, text, first=True, shards=-(-shards // 4)))
+    rest = candidate_edges(docs, sketches, k, percent, text, first=False, known=write_labels(cut(components(start))), shards=shards)
+    clusters = cut(components(start.unionByName(rest)).join(reps, "node"))
+    blocks = clusters.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    members = _of_component(clusters, blocks).withColumn("side", F.pmod(F.xxhash64("node"), "blocks"))
+    if not count_links:
+        # The first nodes of a component of several blocks, found in its salted shares first.
+        salt = F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(64))
+        share = F.row_number().over(Window.partitionBy("component", salt).orderBy("node"))
+        front = members.where("blocks > 1").withColumn("n", share).where(F.col("n") <= PIVOTS)
+        front = front.withColumn("turn", F.row_number().over(Window.partitionBy("component").orderBy("node"))).where(F.col("turn") <= PIVOTS)
+        members = members.join(front.select("node", "turn"), "node", "left").withColumn("turn", F.coalesce("turn", F.lit(PIVOTS + 1)))
     members = cut(members)
-    texts = filter_by_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", write_ids(members, "key"), keep_members=True)
-    placed = texts.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(members, "key").select("node", "cluster", "side", "copies", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    found = cut(verified(placed.select("cluster", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "node", "copies", "text"), k, percent))
+    found = _verify(docs, members, count_links, k, percent, text, id_col)
     linked = components(found.where("b is not null").select("a", "b"))
-    smallest = linked.join(reps.select("node", "rep"), "node")
-    low = smallest.groupBy("component").agg(F.min("rep").alias("low"))
-    by_node = reps.join(linked, "node", "left").join(low, "component", "left").join(found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "node", "left")
-    by_node = by_node.select(F.col("node").alias("n"), F.coalesce("low", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = every.join(by_node, F.col("node") == F.col("n"), "left")
+    if not count_links:
+        linked = cut(linked)
+        large = members.where("blocks > 1").select("node", F.col("component").alias("cluster")).join(linked, "node", "left")
+        split = large.groupBy("cluster").agg(F.min(F.coalesce("component", "node")).alias("lo"), F.max(F.coalesce("component", "node")).alias("hi")).where("lo <> hi")
+        split = cut(split.select(F.col("cluster").alias("component")))
+        if not split.isEmpty():
+            again = cut(_of_component(members, split))
+            found = found.unionByName(_verify(docs, again, True, k, percent, text, id_col))
+            linked = components(found.where("b is not null").select("a", "b"))
+    first = F.min_by(F.struct("rep", F.col("node").alias("keeper")), F.struct(F.col("rep").isNull(), "rep", "node"))
+    low = linked.join(reps.select("node", "rep"), "node").groupBy("component").agg(first.alias("f"))
+    grouped = _of_component(linked, low).select("node", F.col("f.rep").alias("low"), F.col("f.keeper").alias("keeper"))
+    nodes = reps.join(grouped, "node", "left")
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    nodes = nodes.join(links, "node", "left") if count_links else nodes.withColumn("links", F.lit(None).cast("long"))
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    return every.drop("sketch"), nodes.select(F.col("node").alias("n"), F.coalesce("low", "rep").alias("component_id"), "keeper", n_links.cast("long").alias("n_links"))
+
+
+def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id (smallest id reachable by links, its own
+    included) and n_links (other rows it links with, copies included)."""
+    every, nodes = _groups(docs, k, percent, text, id_col, count_links=True)
+    out = every.join(nodes, F.col("node") == F.col("n"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs (doc_id, text and others) without the rows of each group other than that with the smallest doc_id.
+    """docs (doc_id, text and others) with one document of each group: of the rows with the group's smallest doc_id those
+    of one text.
 
-    Rows that repeat the kept id stay, and so do rows with a null id.
+    Rows are removed by id and text together, so a row whose text is in no group stays even if another row with its id
+    goes. Rows that repeat the kept id and text stay, and so do rows with a null id, and rows without words. The columns
+    are those of docs, whatever their names.
     """
-    groups = similar_groups(docs, k, percent)
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id")
-    return filter_by_ids(docs, "doc_id", write_ids(gone, "doc_id"), keep_members=False)
+    every, nodes = _groups(docs, k, percent, "text", "doc_id", count_links=False)
+    rows = every.where("doc_id is not null").join(nodes, F.col("node") == F.col("n"))
+    gone = rows.where((F.col("doc_id") != F.col("component_id")) | (F.col("node") != F.coalesce("keeper", "node"))).select("k1", "k2")
+    return filter_rows(docs, write_rows(gone), keep_members=False)
