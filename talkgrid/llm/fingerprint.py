@@ -1,12 +1,14 @@
 """Document fingerprints: canonical exact digests, made by DataFrame and SQL functions only.
 
-A text's canonical form is NFKC, full case folding, NFKC again, every run of white space as one space, none at
-either end. Canonical forms are grouped by a wide key (two independently seeded xxhash64 values and the byte
-length); forms in one bucket are told apart by comparing them, and get the bucket's key with a running number, so
-equal fingerprints always mean equal canonical forms.
-
-Null texts count as empty. Empty texts share one fingerprint. Repeated rows get equal fingerprints. Other columns
-are passed through; ``fingerprint`` replaces a column of its own output's name.
+A text's canonical form is NFKC, full case folding, NFKC again, every run of white space (all that Unicode calls so) as one
+space, none at either end. Canonical forms are grouped by a wide key (two independently seeded xxhash64 values); forms of
+one key that differ are told apart by a running number in their fingerprints. By default forms of one key are compared
+byte for byte (``compare="bytes"``), so equal fingerprints always mean equal forms; with ``compare="digest"`` their SHA-256
+stands for the bytes, which saves shipping the texts by key.
+
+Null texts count as empty. Empty texts share one fingerprint, which that of texts of nothing but white space equals too.
+Repeated rows get equal fingerprints. Other columns are passed through, whatever their names; ``fingerprint`` replaces a
+column of its own output's name. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from .common import cut
 
 _COMPOSE = "com.ibm.icu.text.Normalizer"
 _FOLD = "com.ibm.icu.lang.UCharacter"
+#: Unicode's white space (separators, and the controls from tab to carriage return and U+0085), and the four
+#: information separators, which count as white space where text is split.
+SPACE = r"[\u0009-\u000D\u001C-\u0020\u0085\p{Z}]+"
 
 
 def canonical(text: Column) -> Column:
@@ -26,7 +31,7 @@ def canonical(text: Column) -> Column:
         return F.reflect(F.lit(_COMPOSE), F.lit("compose"), c, F.lit(True))
 
     folded = nfkc(F.reflect(F.lit(_FOLD), F.lit("foldCase"), nfkc(F.coalesce(text, F.lit(""))), F.lit(True)))
-    return F.trim(F.regexp_replace(folded, r"[\s\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(folded, SPACE, " "))
 
 
 def wide_key(form: Column, bits: int = 128) -> Column:
@@ -36,10 +41,9 @@ def wide_key(form: Column, bits: int = 128) -> Column:
 
 
 def numbered(keys: DataFrame) -> DataFrame:
-    """For the buckets that hold several forms: (key, form digest, number). ``keys``: key, digest of the form.
+    """For the buckets that hold several forms: (key, digest, number). ``keys``: key, digest (the form's bytes or their SHA-256).
 
-    Forms are compared by their SHA-256 and length, not by shipping every text a second time. The first number is 0,
-    in the order of digests. One row for each key and task leaves the partial aggregation, so copies cost nothing;
+    The first number is 0, in the order of digests. One row for each key and task leaves the partial aggregation, so copies cost nothing;
     only buckets with a collision, of which there are practically none at 128 bits, are looked at closer.
     """
     clash = keys.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("key")
@@ -48,12 +52,15 @@ def numbered(keys: DataFrame) -> DataFrame:
     return forms.select("key", "digest", (F.row_number().over(w) - 1).alias("number"))
 
 
-def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", bits: int = 128) -> DataFrame:
+def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", bits: int = 128, compare: str = "bytes") -> DataFrame:
     """``df`` with the fingerprint of its text column."""
+    if compare not in ("bytes", "digest"):
+        raise ValueError(f"compare: {compare!r}")
     had = [c for c in df.columns if c != out]
-    form = df.select(*had, canonical(F.col(text)).alias("_form"))
-    keyed = form.select(*had, wide_key(F.col("_form"), bits).alias("_key"), F.sha2(F.col("_form"), 256).alias("_digest"))
-    return attach(keyed, numbered(keyed.select(F.col("_key").alias("key"), F.col("_digest").alias("digest"))), [("_key", "_digest", out)]).drop("_key", "_digest")
+    row, form = df.select(F.struct(*[F.col(c) for c in had]).alias("row"), canonical(F.col(text)).alias("form")), F.col("form")
+    keyed = row.select("row", wide_key(form, bits).alias("key"), (form.cast("binary") if compare == "bytes" else F.unhex(F.sha2(form, 256))).alias("digest"))
+    made = attach(keyed, numbered(keyed.select("key", "digest")), [("key", "digest", "made")])
+    return made.select(*[F.col("row")[c].alias(c) for c in had], F.col("made").alias(out))
 
 
 def attach(df: DataFrame, numbers: DataFrame, columns: list[tuple[str, str, str]]) -> DataFrame:
@@ -108,7 +115,7 @@ def edited_fingerprints(docs: DataFrame, bits: int = 128) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and whether they equal each other's and the next one's.
 
     docs: doc_id, text. The next document follows in descending doc_id (nulls last, ties by text hash), the first
-    after the last. The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the
+    after the last. Forms are compared by SHA-256. The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the
     next text. near_edited and near_next are 1.0 for equal fingerprints, else 0.0.
     """
     form = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_form", canonical(F.col("text")))
