@@ -1,13 +1,16 @@
 """Secret scans: base patterns, and a linear-chain conditional random field over tokens decoded by Viterbi.
 
 Tokens are the runs between white space. The field tags them begin, inside or outside a secret; its features are the
-shape class of a token (characters, length, entropy, keyword) and of the two before and the one after it, and a class of
-the whole document. It is trained on windows around what the base patterns find and around other places, in at most
-``MAX_ROWS`` rows (chosen by hash; the same in every run). Of a decoded span the parts that no base span covers are added
+shape class of a token (characters, length, entropy, keyword) and of the two before and the one after it, the words before
+and after it (those of the training windows), and what kind of file the document is: whether it has keywords, long tokens
+with digits, several assignments, many tokens with digits. It is trained on windows that hold everything that the base
+patterns find in the training rows, and on windows from other rows; training rows are at most about ``MAX_ROWS`` (chosen by
+hash; the same in every run). Of a decoded span the parts that no base span covers are added
 with kind ``crf``; base spans always stay.
 
 Offsets are code points, ends exclusive, over whole texts. Null texts count as empty; empty texts have no span. Repeated
-rows get equal results; other columns pass. Without any base span to learn from, only base spans are found.
+rows get equal results; other columns pass, and columns of the names that a function adds are replaced. Without any base span to learn
+from, only base spans are found. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -91,41 +94,61 @@ def shape(w: str) -> int:
     return (form * (len(_LENGTHS) + 1) + size) * 2 + int(len(body) >= 8 and _entropy(body) > 3.0)
 
 
+def word(w: str) -> str:
+    """A token as a neighbouring word: its letters in small, without marks around them; empty if it is none."""
+    body = w.strip("\"'`()[]{}<>,;.!?:=")
+    return body.lower() if len(body) <= 24 and body.replace("_", "").replace("-", "").isalpha() else ""
+
+
 class Shapes(dict):
-    """Token to class, computed once; bounded."""
+    """Token to its class times ``wide`` plus the number of its word (0 for other words), computed once; bounded."""
+
+    def __init__(self, model: dict | None = None):
+        super().__init__()
+        self.words = {} if model is None else {w: i + 1 for i, w in enumerate(model["words"])}
+        self.wide = len(self.words) + 1
 
     def __missing__(self, w: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        c = self[w] = shape(w)
+        c = self[w] = shape(w) * self.wide + (self.words.get(word(w), 0) if self.words else 0)
         return c
 
 
-def doc_class(classes: np.ndarray) -> int:
-    """Class of a document: whether it has a keyword, and a long token with digits."""
-    form = classes // 2 // (len(_LENGTHS) + 1)
-    size = classes // 2 % (len(_LENGTHS) + 1)
-    return int(((form >= 2) & (form <= 4)).any()) + 2 * int(((form >= 10) & (size >= 5)).any())
+#: Kinds of files that are told apart.
+FILES = 16
 
 
-def emissions(model: dict, cls: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Scores (tokens, 3) of a stream; features don't cross the starts of documents."""
-    def at(k: int) -> np.ndarray:
-        x = np.full(len(cls), CLASSES, np.int64)  # the class of what lies outside
-        if k < 0:
-            x[-k:] = cls[:k]
-            for j in range(-k):
-                s = start + j
-                x[s[s < len(x)]] = CLASSES
-            own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(cls))))
-            x[own != np.roll(own, -k)] = CLASSES
-        else:
-            x[:-k] = cls[k:]
-            x[(start - 1)[start > 0]] = CLASSES
-        return x
+def file_kinds(classes: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """What each document is, from its tokens' classes; documents begin at ``start`` and have a token."""
+    form, size = classes // 2 // (len(_LENGTHS) + 1), classes // 2 % (len(_LENGTHS) + 1)
+    some = lambda f: np.add.reduceat(f.astype(np.int64), start)
+    key, assigned, digits = some((form >= 2) & (form <= 4)) > 0, some((form == 1) | (form == 3) | (form == 4)) >= 3, some((form == 5) | (form >= 10))
+    n = np.diff(np.append(start, len(classes)))
+    return key + 2 * (some((form >= 10) & (size >= 5)) > 0) + 4 * assigned + 8 * (10 * digits > n)
+
 
-    u = model["u"]
-    return u[0][cls] + u[1][at(-1)] + u[2][at(-2)] + u[3][at(1)] + model["d"][doc]
+def neighbour(x: np.ndarray, k: int, start: np.ndarray, outside: int) -> np.ndarray:
+    """The values k places on, in a stream of documents that begin at ``start``; ``outside`` beyond their ends."""
+    out = np.full(len(x), outside, np.int64)
+    if k < 0:
+        out[-k:] = x[:k]
+        for j in range(-k):
+            s = start + j
+            out[s[s < len(x)]] = outside
+        own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(x))))
+        out[own != np.roll(own, -k)] = outside
+    else:
+        out[:-k] = x[k:]
+        out[(start - 1)[start > 0]] = outside
+    return out
+
+
+def emissions(model: dict, cls: np.ndarray, words: np.ndarray, files: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Scores (tokens, 3) of a stream; features don't cross the starts of documents."""
+    u, w = model["u"], model["w"]
+    shapes = u[0][cls] + u[1][neighbour(cls, -1, start, CLASSES)] + u[2][neighbour(cls, -2, start, CLASSES)] + u[3][neighbour(cls, 1, start, CLASSES)]
+    return shapes + w[0][neighbour(words, -1, start, 0)] + w[1][neighbour(words, 1, start, 0)] + model["d"][files]
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray, begin: np.ndarray, start: np.ndarray, width: int = 64) -> np.ndarray:
@@ -170,25 +193,30 @@ def viterbi(e: np.ndarray, trans: np.ndarray, begin: np.ndarray, start: np.ndarr
     return out.reshape(-1)[:n]
 
 
-def train(x: np.ndarray, d: np.ndarray, y: np.ndarray, rounds: int = 120, l2: float = 1e-4) -> dict:
-    """Fits the field to windows by Adam on the exact log likelihood. x, y: (windows, WINDOW), d: (windows,).
+def train(x: np.ndarray, v: np.ndarray, d: np.ndarray, y: np.ndarray, words: int, rounds: int = 120, l2: float = 1e-4) -> dict:
+    """Fits the field to windows by Adam on the exact log likelihood. x (classes), v (words' numbers), y (labels):
+    (windows, WINDOW), d (kinds of files): (windows,). Word 0 has no weight.
 
     Labels of padding are -1; padding lies at the end.
     """
     n, t_len = x.shape
     real = y >= 0
-    shift = lambda k: np.pad(x, ((0, 0), (2, 2)), constant_values=CLASSES)[:, 2 + k : 2 + k + t_len]
-    cols = [x, shift(-1), shift(-2), shift(1)]
+    shift = lambda a, k, fill: np.pad(a, ((0, 0), (2, 2)), constant_values=fill)[:, 2 + k : 2 + k + t_len]
+    cols = [x, shift(x, -1, CLASSES), shift(x, -2, CLASSES), shift(x, 1, CLASSES)]
+    near = [shift(v, -1, 0), shift(v, 1, 0)]
     gold = np.eye(3)[np.maximum(y, 0)] * real[:, :, None]
-    p = {"u": np.zeros((4, CLASSES + 1, 3)), "d": np.zeros((4, 3)), "t": np.zeros((3, 3)), "b": np.zeros(3)}
-    m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+    p = {"u": np.zeros((4, CLASSES + 1, 3)), "w": np.zeros((2, words + 1, 3)), "d": np.zeros((FILES, 3)), "t": np.zeros((3, 3)), "b": np.zeros(3)}
+    m, s = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
 
     def lse(a: np.ndarray, axis: int) -> np.ndarray:
         top = a.max(axis, keepdims=True)
         return np.log(np.exp(a - top).sum(axis)) + top.squeeze(axis)
 
+    def by(c: np.ndarray, diff: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([np.bincount(c.ravel(), diff[:, :, k].ravel(), size) for k in range(3)], 1)
+
     for r in range(1, rounds + 1):
-        e = sum(p["u"][i][c] for i, c in enumerate(cols)) + p["d"][d][:, None, :]
+        e = sum(p["u"][i][c] for i, c in enumerate(cols)) + sum(p["w"][i][c] for i, c in enumerate(near)) + p["d"][d][:, None, :]
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = p["b"] + e[:, 0]
         for t in range(1, t_len):
@@ -200,7 +228,8 @@ def train(x: np.ndarray, d: np.ndarray, y: np.ndarray, rounds: int = 120, l2: fl
         z = lse(alpha[:, -1], 1)
         mark = np.exp(alpha + beta - z[:, None, None]) * real[:, :, None]
         diff = (mark - gold) / n
-        g = {"u": np.stack([np.stack([np.bincount(c.ravel(), diff[:, :, k].ravel(), CLASSES + 1) for k in range(3)], 1) for c in cols]), "d": np.stack([np.bincount(d, diff[:, :, k].sum(1), 4) for k in range(3)], 1), "b": diff[:, 0].sum(0)}
+        g = {"u": np.stack([by(c, diff, CLASSES + 1) for c in cols]), "w": np.stack([by(c, diff, words + 1) for c in near]), "d": np.stack([np.bincount(d, diff[:, :, k].sum(1), FILES) for k in range(3)], 1), "b": diff[:, 0].sum(0)}
+        g["w"][:, 0] = 0
         pair = np.zeros((3, 3))
         for t in range(1, t_len):
             q = np.exp(alpha[:, t - 1][:, :, None] + p["t"] + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
@@ -208,8 +237,8 @@ def train(x: np.ndarray, d: np.ndarray, y: np.ndarray, rounds: int = 120, l2: fl
         g["t"] = pair / n
         for k in p:
             g[k] = g[k] + l2 * p[k]
-            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
-            p[k] = p[k] - 0.2 * (m[k] / (1 - 0.9**r)) / (np.sqrt(v[k] / (1 - 0.999**r)) + 1e-8)
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * s[k] + 0.001 * g[k] ** 2
+            p[k] = p[k] - 0.2 * (m[k] / (1 - 0.9**r)) / (np.sqrt(s[k] / (1 - 0.999**r)) + 1e-8)
     return p
 
 
@@ -241,8 +270,20 @@ def _other_value(c: int, draw: int) -> int:
     return ((10 + draw % 4) * per + 3 + draw // 4 % (per - 3)) * 2 + 1
 
 
+def places(hits: list[int], back: int) -> list[int]:
+    """Starts of windows that together hold all hits; each window begins ``back`` tokens before the first hit that the one
+    before it does not hold."""
+    out, end = [], 0
+    for i in hits:
+        if not out or i >= end:
+            out.append(max(0, i - back))
+            end = out[-1] + WINDOW
+    return out
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shapes = Shapes()
+    shapes, first = Shapes(), np.zeros(1, np.int64)
+    kind = lambda c: int(file_kinds(c, first)[0])
     for b in steps(batches):
         rows = []
         for h, text in zip(column(b, "h").to_pylist(), column(b, "text").to_pylist(), strict=True):
@@ -251,17 +292,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             cls = np.fromiter(map(shapes.__getitem__, tokens), np.int64, len(tokens))
             hits = [i for i, y in enumerate(labels) if y == B]
-            spots = [max(0, i - h % 20) for i in hits[:4]] or ([h % len(tokens)] if h % 8 == 0 else [])
+            spots = places(hits, h % 20) or ([h % len(tokens)] if h % 8 == 0 else [])
             for i in spots:
-                x, y = cls[i : i + WINDOW].tolist(), labels[i : i + WINDOW]
+                x, y, v = cls[i : i + WINDOW].tolist(), labels[i : i + WINDOW], list(map(word, tokens[i : i + WINDOW]))
                 fill = WINDOW - len(x)
-                rows.append((doc_class(cls), x + [CLASSES] * fill, y + [-1] * fill))
+                rows.append((kind(cls), x + [CLASSES] * fill, v + [""] * fill, y + [-1] * fill))
                 for k in range(3 if hits else 0):  # the same places with values of other shapes, so that the field isn't bound to those that the patterns know
                     other = [_other_value(c, h + 7 * k + j) if z != O else c for j, (c, z) in enumerate(zip(x, y, strict=True))]
-                    rows.append((doc_class(np.asarray(other)), other + [CLASSES] * fill, y + [-1] * fill))
+                    rows.append((kind(np.asarray(other)), other + [CLASSES] * fill, v + [""] * fill, y + [-1] * fill))
         if rows:
-            d, x, y = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_pydict({"d": d, "x": x, "y": y}, pa.schema([("d", pa.int32()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))]))
+            d, x, v, y = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_pydict({"d": d, "x": x, "v": v, "y": y}, pa.schema([("d", pa.int32()), ("x", pa.list_(pa.int32())), ("v", pa.list_(pa.string())), ("y", pa.list_(pa.int32()))]))
 
 
 def fit(docs: DataFrame, text: str = "text", max_rows: int = MAX_ROWS) -> dict | None:
@@ -269,14 +310,19 @@ def fit(docs: DataFrame, text: str = "text", max_rows: int = MAX_ROWS) -> dict |
     n = docs.count()
     h = F.shiftrightunsigned(F.xxhash64("doc_id", text), 34)
     rows = docs.select(F.col(text).alias("text"), h.alias("h")).where("text is not null").where(F.col("h") < int((1 << 30) * min(1.0, max_rows / max(1, n))))
-    got = rows.mapInArrow(_windows, "d int, x array<int>, y array<int>").toArrow()
+    got = rows.mapInArrow(_windows, "d int, x array<int>, v array<string>, y array<int>").toArrow().combine_chunks()
     if not got.num_rows:
         return None
     x, y = (np.asarray(got.column(c).combine_chunks().flatten(), np.int64).reshape(-1, WINDOW) for c in ("x", "y"))
     if not (y == B).any():
         return None
-    order = np.lexsort((x[:, 0], np.asarray(got.column("d")), x.sum(1)))  # sums don't depend on the order of tasks
-    return train(x[order], np.asarray(got.column("d"), np.int64)[order], y[order])
+    named = got.column("v").combine_chunks().flatten().dictionary_encode()
+    words = sorted(w for w in named.dictionary.to_pylist() if w)
+    number = {w: i + 1 for i, w in enumerate(words)}
+    v = np.asarray([number.get(w, 0) for w in named.dictionary.to_pylist()], np.int64)[np.asarray(named.indices, np.int64)].reshape(-1, WINDOW)
+    d = np.asarray(got.column("d"), np.int64)
+    order = np.lexsort((v.sum(1), x[:, 0], d, x.sum(1)))  # sums don't depend on the order of tasks
+    return train(x[order], v[order], d[order], y[order], len(words)) | {"words": words}
 
 
 def uncovered(text: str, start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -301,14 +347,11 @@ def scan_texts(model: dict | None, texts: list[str], shapes: Shapes) -> list[lis
     full = [i for i, x in enumerate(lists) if x]
     if not full:
         return found
-    cls = np.fromiter(map(shapes.__getitem__, (w for i in full for w in lists[i])), np.int64)
+    cls, words = np.divmod(np.fromiter(map(shapes.__getitem__, (w for i in full for w in lists[i])), np.int64), shapes.wide)
     n = np.asarray([len(lists[i]) for i in full])
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
-    form, size = cls // 2 // (len(_LENGTHS) + 1), cls // 2 % (len(_LENGTHS) + 1)
-    some = lambda f: np.logical_or.reduceat(f, start)
-    kind = some((form >= 2) & (form <= 4)).astype(np.int64) + 2 * some((form >= 10) & (size >= 5))
-    best = viterbi(emissions(model, cls, np.repeat(kind, n), start), model["t"], model["b"], start)
-    hit = some(best == B)
+    best = viterbi(emissions(model, cls, words, np.repeat(file_kinds(cls, start), n), start), model["t"], model["b"], start)
+    hit = np.logical_or.reduceat(best == B, start)
     for j in np.flatnonzero(hit):
         i, labels = full[j], best[start[j] : start[j] + n[j]]
         at = [(m.start(), m.end()) for m in re.finditer(r"\S+", texts[i])]
@@ -335,10 +378,10 @@ def scan(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """docs with n_assign, n_access, n_hex, base_sha256 and spans; columns of these names are replaced."""
     names = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
     source = docs.select(*[c for c in docs.columns if c not in names])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, shapes = shared.value, Shapes()
+        m, shapes = shared.value, Shapes(shared.value)
         for b in steps(batches, text):
             every = scan_texts(m, [t or "" for t in column(b, text).to_pylist()], shapes)
             base = [[s for s in x if s[2] != "crf"] for x in every]
@@ -359,7 +402,7 @@ def redact(docs: DataFrame, model: dict | None, text: str = "text", mark: str =
     source, shared = docs, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, shapes = shared.value, Shapes()
+        m, shapes = shared.value, Shapes(shared.value)
         for b in steps(batches, text):
             texts, out = column(b, text).to_pylist(), []
             for t, spans in zip(texts, scan_texts(m, [t or "" for t in texts], shapes), strict=True):
