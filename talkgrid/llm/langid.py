@@ -28,8 +28,6 @@ WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Labelled rows a language to learn from (expected number; chosen by hash).
 PER_LANG = 1500
-#: Occurrences in the sample from which words and n-grams are known.
-LEAST = 2
 
 
 def grams(word: str) -> Iterator[str]:
@@ -83,6 +81,11 @@ class Model:
                     for g in grams(w):
                         gram_counts[lang][g] += n
         self.words, self.word_logs = self._logs(words, alpha)
+        #: Whether a word occurs in a language.
+        self.word_known = np.zeros(self.word_logs.shape, bool)
+        for k, lang in enumerate(langs):
+            c = words.get(lang, {})
+            self.word_known[np.fromiter(map(self.words.__getitem__, c), np.int64, len(c)), k] = True
         self.grams, self.gram_logs, parts = {}, np.zeros((0, len(langs))), []
         for n in ORDERS:  # frequencies are those among n-grams of one length
             names, logs = self._logs({lang: {g: k for g, k in c.items() if len(g) == n} for lang, c in gram_counts.items()}, alpha)
@@ -126,6 +129,12 @@ class _Scorer(dict):
         self.rows = np.zeros((self.base + 1024, len(model.langs)))
         self.rows[: self.base] = model.word_logs
 
+    def known(self, ids: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Whether the words occur in the languages of these numbers."""
+        out = ids < self.base
+        out[out] = self.model.word_known[ids[out], lang[out]]
+        return out
+
     def __missing__(self, word: str) -> int:
         i = len(self)
         if i >= len(self.rows):
@@ -140,8 +149,9 @@ class _Scorer(dict):
             self.update(self.model.words)
 
 
-def predict(model: Model, texts: list[str | None], scorer: _Scorer | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages and posteriors of whole texts."""
+def predict(model: Model, texts: list[str | None], scorer: _Scorer | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages and posteriors of whole texts, and the smoothed share of their words that the language is known to have:
+    (known + 1) / (words + 1), 0 without words."""
     scorer = scorer if scorer is not None else _Scorer(model)
     scorer.trim()
     lists = [WORD.findall(t.lower()) if t else [] for t in texts]
@@ -152,14 +162,17 @@ def predict(model: Model, texts: list[str | None], scorer: _Scorer | None = None
         ids = np.fromiter(map(scorer.__getitem__, (w for i in full for w in lists[i])), np.int64)
         starts = np.concatenate([[0], np.cumsum([len(lists[i]) for i in full])[:-1]])
         sums[full] = np.add.reduceat(scorer.rows[ids], starts, axis=0)
-    out, score = ["und"] * len(texts), np.zeros(len(texts))
+    out, score, known = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     if full and model.langs:
         s = sums[full]
         p = np.exp(s - s.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        for i, k, v in zip(full, p.argmax(1), p.max(1), strict=True):
-            out[i], score[i] = model.langs[k], v
-    return out, score
+        best, n = p.argmax(1), np.asarray([len(lists[i]) for i in full])
+        score[full] = p.max(1)
+        known[full] = (np.add.reduceat(scorer.known(ids, np.repeat(best, n)), starts, dtype=np.int64) + 1) / (n + 1)
+        for i, k in zip(full, best.tolist(), strict=True):
+            out[i] = model.langs[k]
+    return out, score, known
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -177,36 +190,50 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     counted = cut(sample.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
     def known(table: DataFrame) -> dict[str, dict]:
-        """What occurs often enough in all languages together; bounded by the sample."""
-        often = table.groupBy("word").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).select("word")
+        """Bounded by the sample."""
         out: dict[str, dict] = {}
-        for b in table.join(often, "word", "left_semi").select("lang", "word", "n").toArrow().to_batches():
+        for b in table.select("lang", "word", "n").toArrow().to_batches():
             for lang, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 out.setdefault(lang, {})[w] = n
         return out
 
     in_words = counted.mapInArrow(_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Model(langs, known(counted), known(cut(in_words)))
+    return Model(langs, known(counted), known(in_words))
+
+
+def least_known(labelled: DataFrame, model: Model, max_rows: int = 8 * PER_LANG) -> float:
+    """A share of known words that no text of the model's languages should fall under: half of the lowest two in a
+    thousand among labelled rows, which the model has not learned from. Of those about ``max_rows`` are looked at, chosen by hash;
+    0 where there is none."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    share = min(1.0, max_rows / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    got = identify(some, model, names=("lang_pred", "score", "known")).where("lang_pred <> 'und'").agg(F.percentile_approx("known", 0.002, 10_000).alias("k")).first()["k"]
+    return 0.5 * (got or 0.0)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (columns of these names are replaced)."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with language and score under ``names``, and the share of known words where there is a third name; columns
+    of these names are replaced."""
+    kept = [c for c in docs.columns if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = _Scorer(m)
         for b in steps(batches, text):
-            langs, score = predict(m, column(b, text).to_pylist(), scorer)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
+            langs, *numbers = predict(m, column(b, text).to_pylist(), scorer)
+            added = [pa.array(langs, pa.string()), *map(pa.array, numbers)][: len(names)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *names])
         del scorer, m
         give_back()
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     source = docs.select(*kept)
-    schema = StructType([*source.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType([*source.schema.fields])
+    for i, c in enumerate(names):
+        schema = schema.add(c, DoubleType() if i else StringType())
     return source.mapInArrow(run, schema)
 
 

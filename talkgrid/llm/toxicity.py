@@ -1,13 +1,14 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a character n-gram (3 to 6 characters, within a word with its ends marked) in a text,
-hashed to a bucket, times the log ratio of its smoothed document frequency in toxic and in other texts. Buckets are
-chosen by chi-square, then logistic regression is fitted on the scaled features.
-
-The fit reads at most ``MAX_ROWS`` labelled rows (those with the smallest hash of doc_id and text, so the same ones in
-every run); everything is scored, over whole texts. Null and empty texts have no feature and get the score of the
-intercept. With no label, or only one class, every score is the smoothed share of label 1. Repeated rows get equal
-scores; other columns pass.
+A feature is the presence of a character n-gram (3 to 6 characters, within a word with its ends marked) in a text, times
+the log ratio of its smoothed document frequency in toxic and in other texts. Every n-gram of the labelled texts is
+counted; those that tell the classes apart by a chi-square test (whose approximation asks for five texts at least) are
+features, however many there are. Logistic regression is fitted on the scaled features.
+
+The fit reads at most ``MAX_ROWS`` different labelled rows (those with the smallest hash of doc_id and text, so the same
+ones in every run); everything is scored, over whole texts. Null and empty texts have no feature and get the score of the
+intercept. With no label, or only one class, every score is the smoothed share of label 1. Repeated rows count once in the
+fit and get equal scores; other columns pass. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -21,17 +22,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .common import column, give_back, mix, steps
+from .common import column, cut, give_back, mix, steps
 
 ORDERS = (3, 4, 5, 6)
-BITS = 19
-#: Labelled rows that a fit reads at most, and n-gram buckets that it keeps at most.
+#: Bits of an n-gram's hash: so many that the n-grams of a bounded sample are practically never mixed up.
+BITS = 48
+#: Labelled rows that a fit reads at most.
 MAX_ROWS = 16_000
-MAX_FEATURES = 3000
+#: Chi-square of one degree of freedom at 0.001, and the texts that the test asks for.
+CHI_SQUARE, LEAST_TEXTS = 10.83, 5
+#: Bits by which the sorted features are entered.
+_FRONT = 19
 
 
-def presence(texts: list[str | None], keep: np.ndarray | None = None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct (text number, bucket) pairs. ``keep`` maps buckets to numbers from 0, or to -1 to leave them out."""
+class Features:
+    """Sorted n-gram hashes; a table by their first bits leaves few to search for."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.front = np.zeros(1 << _FRONT, bool)
+        self.front[hashes >> (BITS - _FRONT)] = True
+
+    def number(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in h that are features, and their numbers."""
+        at = np.flatnonzero(self.front[h >> (BITS - _FRONT)])
+        i = np.searchsorted(self.hashes, h[at])
+        i[i == len(self.hashes)] = 0
+        hit = self.hashes[i] == h[at] if len(self.hashes) else np.zeros(0, bool)
+        return at[hit], i[hit]
+
+
+def presence(texts: list[str | None], keep: Features | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct (text number, n-gram hash) pairs, or with ``keep`` (text number, feature number); 65,536 texts at most."""
     sep = " \n\n\n\n\n "
     joined = sep + sep.join((t or "").lower() for t in texts) + sep
     u = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -53,31 +75,49 @@ def presence(texts: list[str | None], keep: np.ndarray | None = None, bits: int
         # No white space strictly inside; it may stand at either end, as the mark of a word's end.
         inside = gap[n - 1 : n - 1 + len(h)] - gap[1 : 1 + len(h)]
         at = np.flatnonzero(inside == 0)
-        b = (mix(h[at] + np.uint64(n << 40)) >> np.uint64(64 - bits)).astype(np.int64)
+        b = (mix(h[at] + np.uint64(n << 40)) >> np.uint64(64 - BITS)).astype(np.int64)
         if keep is not None:
-            k = keep[b]
-            hit = k >= 0
-            at, b = at[hit], k[hit].astype(np.int64)
-        out.append((doc[at].astype(np.int64) << 32) | b)
+            hit, b = keep.number(b)
+            at = at[hit]
+        out.append((doc[at].astype(np.uint64) << np.uint64(BITS)) | b.astype(np.uint64))
     pairs = np.unique(np.concatenate(out))
-    return pairs >> 32, pairs & 0xFFFFFFFF
+    return (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+_COUNTS = pa.schema([("hash", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())])
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted values, and how often each occurs."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(np.append(first, len(values)))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, df = np.zeros(2, np.int64), np.zeros((2, 1 << BITS), np.int32)
+    """Texts of each class that hold an n-gram, added up in steps; hash -1 counts the texts."""
+    held: dict[int, list[np.ndarray]] = {1: [], 0: []}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for k in (1, 0):
+            names, n = _runs(np.sort(np.concatenate([np.zeros(0, np.int64), *held[k]])))
+            for i in range(0, len(names), 200_000):
+                own, none = pa.array(n[i : i + 200_000]), pa.array(np.zeros(len(names[i : i + 200_000]), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 200_000]), own if k else none, none if k else own], schema=_COUNTS)
+            held[k].clear()
+
     for b in steps(batches, limit=1 << 20):
         y = np.asarray(column(b, "toxic"), np.int64)
-        rows, buckets = presence(column(b, "text").to_pylist())
-        n += np.bincount(y, minlength=2)
-        for k in (0, 1):
-            df[k] += np.bincount(buckets[y[rows] == k], minlength=1 << BITS).astype(np.int32)
+        rows, grams = presence(column(b, "text").to_pylist())
+        for k in (1, 0):
+            held[k] += [grams[(y == k)[rows]], np.full(int((y == k).sum()), -1, np.int64)]
+        if sum(map(len, held[1] + held[0])) > 6_000_000:
+            yield from flush()
+    yield from flush()
     give_back()
-    if n.sum():
-        yield pa.RecordBatch.from_pydict({"n": [n.tolist()], "df": [df.tobytes()]}, pa.schema([("n", pa.list_(pa.int64())), ("df", pa.binary())]))
 
 
 class Model:
-    def __init__(self, prior: float, keep: np.ndarray | None = None, weights: np.ndarray | None = None, bias: float = 0.0):
+    def __init__(self, prior: float, keep: Features | None = None, weights: np.ndarray | None = None, bias: float = 0.0):
         self.prior, self.keep, self.weights, self.bias = prior, keep, weights, bias
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -88,80 +128,93 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, d: int, l2: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, d: int, l2: float = 1e-3, rounds: int = 250) -> tuple[np.ndarray, float]:
     """Logistic regression over a sparse matrix by Adam on the whole sample; L2 on the weights."""
-    w, bias, m, v, n = np.zeros(d + 1), 0.0, np.zeros(d + 1), np.zeros(d + 1), len(y)
+    n = len(y)
+    order = np.lexsort((rows, cols))
+    by_row, by_col = (np.lexsort((cols, rows)), rows), (order, cols)
+
+    def sums(by: tuple[np.ndarray, np.ndarray], size: int):
+        """The entries in order of one side, and a function that adds their values up by it."""
+        at, side = by
+        start = np.searchsorted(side[at], np.arange(size + 1))
+        full = np.flatnonzero(np.diff(start))
+
+        def add(values: np.ndarray) -> np.ndarray:
+            out = np.zeros(size)
+            if len(full):
+                out[full] = np.add.reduceat(values, start[full])
+            return out
+
+        return cols[at], rows[at], x[at].astype(np.float64), add
+
+    c1, _, x1, add_rows = sums(by_row, n)
+    _, r2, x2, add_cols = sums(by_col, d)
+    w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(rows, x * w[cols], n) + w[d]
+        z = add_rows(x1 * w[c1]) + w[d]
         e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
-        g = np.concatenate([np.bincount(cols, x * e[rows], d) + l2 * w[:d], [e.sum()]])
+        g = np.concatenate([add_cols(x2 * e[r2]) + l2 * w[:d], [e.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w[:d], float(w[d])
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
+def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """The model of rows (doc_id, text, toxic); rows without a label 0 or 1 are left out."""
     rows = labelled.where(F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("h"))
-    sample = rows.orderBy("h", "toxic").limit(max_rows).drop("h").repartition(6)  # bounded by max_rows
-    parts = sample.mapInArrow(_frequencies, "n array<long>, df binary").collect()
-    n = sum((np.asarray(r["n"]) for r in parts), np.zeros(2, np.int64))
+    # The bound is found from hashes alone; the texts under it, each once, are dealt to tasks of about a thousand rows.
+    last = rows.select("h").distinct().orderBy("h").limit(max_rows).agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return Model(0.5)
+    sample = cut(rows.where(F.col("h") <= last).repartition(-(-max_rows // 1000), "h").dropDuplicates(["h", "toxic"]))
+    counted = cut(sample.mapInArrow(_frequencies, "hash long, toxic long, other long").groupBy("hash").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b")))
+    texts = counted.where("hash = -1").first()
+    n = np.asarray([texts["b"], texts["a"]])
+    prior = float((n[1] + 0.5) / (n.sum() + 1))
     if not n.all():
-        return Model(float((n[1] + 0.5) / (n.sum() + 1)))
-    df = np.zeros((2, 1 << BITS), np.int32)
-    for r in parts:
-        df += np.frombuffer(r["df"], np.int32).reshape(2, -1)
-    df = df.astype(float)
-    a, b = df[1], df[0]
-    c, d = n[1] - a, n[0] - b
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.nan_to_num(n.sum() * (a * d - b * c) ** 2 / ((a + b) * (c + d) * float(n[0]) * float(n[1])))
-    chi[(a + b) < 5] = 0
-    best = np.argsort(-chi, kind="stable")[:max_features]
-    best = np.sort(best[chi[best] > 10.83])  # chi-square of one degree of freedom at 0.001
-    ratio = np.log((a[best] + 1) / (n[1] + 2)) - np.log((b[best] + 1) / (n[0] + 2))
-    keep = np.full(1 << BITS, -1, np.int32)
-    keep[best] = np.arange(len(best), dtype=np.int32)
+        return Model(prior)
+    a, b, t1, t0 = F.col("a").cast("double"), F.col("b").cast("double"), F.lit(float(n[1])), F.lit(float(n[0]))
+    cross = a * (t0 - b) - b * (t1 - a)
+    chi = (t0 + t1) * cross * cross / ((a + b) * (t0 + t1 - a - b) * t0 * t1)
+    told = counted.where((F.col("hash") >= 0) & (a + b >= LEAST_TEXTS) & (a + b < t0 + t1)).where(chi > CHI_SQUARE).orderBy("hash")
+    best, ta, tb = (np.asarray(told.toArrow().column(c)) for c in ("hash", "a", "b"))  # bounded by the sample
+    ratio = np.log((ta + 1) / (n[1] + 2)) - np.log((tb + 1) / (n[0] + 2))
     shared = labelled.sparkSession.sparkContext.broadcast(best)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.full(1 << BITS, -1, np.int32)
-        mine[shared.value] = np.arange(len(shared.value), dtype=np.int32)
+        mine = Features(shared.value)
         for x in steps(batches, limit=1 << 20):
             r, k = presence(column(x, "text").to_pylist(), mine)
             yield pa.RecordBatch.from_pydict({"toxic": [column(x, "toxic").to_pylist()], "rows": [r.astype(np.int32).tobytes()], "cols": [k.astype(np.int32).tobytes()]}, pa.schema([("toxic", pa.list_(pa.int32())), ("rows", pa.binary()), ("cols", pa.binary())]))
+        give_back()
 
-    y, rs, cs, at = [], [], [], 0
+    y, rs, cs, at = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
     for g in sample.mapInArrow(gather, "toxic array<int>, rows binary, cols binary").collect():
         rs.append(np.frombuffer(g["rows"], np.int32) + at)
         cs.append(np.frombuffer(g["cols"], np.int32))
         y += g["toxic"]
         at = len(y)
     rs, cs, y = np.concatenate(rs), np.concatenate(cs), np.asarray(y, float)
-    del parts, df, a, b, c, d, chi
     w, bias = logistic(rs, cs, ratio[cs], y, len(best))
-    return Model(float((n[1] + 0.5) / (n.sum() + 1)), keep, w * ratio, bias)
+    return Model(prior, Features(best), w * ratio, bias)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5); columns of these names are replaced."""
-    source = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
-    best = None if model.keep is None else np.flatnonzero(model.keep >= 0)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model.prior, best, model.weights, model.bias)))  # MAX_FEATURES numbers
+def score(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5) under ``names``; columns of these names are replaced."""
+    source = docs.select(*[c for c in docs.columns if c not in names])
+    best = None if model.keep is None else model.keep.hashes
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model.prior, best, model.weights, model.bias)))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior, best, weights, bias = pickle.loads(shared.value)
-        keep = None
-        if best is not None:
-            keep = np.full(1 << BITS, -1, np.int32)
-            keep[best] = np.arange(len(best), dtype=np.int32)
-        m = Model(prior, keep, weights, bias)
+        m = Model(prior, None if best is None else Features(best), weights, bias)
         for b in steps(batches, text, 1 << 20):
             s = m.scores(column(b, text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, *names])
         give_back()
 
-    schema = StructType([*source.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType())
+    schema = StructType([*source.schema.fields]).add(names[0], DoubleType()).add(names[1], IntegerType())
     return source.mapInArrow(run, schema)
 
 
