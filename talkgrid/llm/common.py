@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one in-memory step of a worker takes on at once.
 STEP_BYTES = 3 << 20
@@ -56,8 +57,8 @@ MAX_TASKS = 20_000
 
 
 def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
-    """``df`` hashed by a group's number to as many partitions as there are groups, so tasks grow in number, not in size."""
-    return df.repartition(max(1, min(groups, MAX_TASKS)), key)
+    """``df`` in one partition for each group (key: from 0 to ``groups`` - 1), so tasks grow in number, not in size."""
+    return df.repartitionById(groups, F.col(key)) if groups <= MAX_TASKS else df.repartition(MAX_TASKS, key)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about ``limit`` bytes of text at most, but one row at least."""
+    """Slices of the batches that hold about ``limit`` bytes of text at most, but one row at least; never over 65,536 rows."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -174,7 +175,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
         at = 0
         while at < b.num_rows:
             base = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
+            to = min(at + (1 << 16), max(at + 1, int(np.searchsorted(size, base + limit, "right"))))
             yield b.slice(at, to - at)
             at = to
 

@@ -28,13 +28,11 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from .warc import archive_pages, read_archives, records
+    from .warc import archive_pages, read_archives, records, resolved
 
-    archives = archive_pages(table(spark, sf_dir, "pages"))
-    read = records(read_archives(archives, with_data=False))
-    # A response's digest is that of the bytes read back, a revisit's that of its header.
-    digest = F.when(F.col("record_type") == "response", F.col("running_sha1")).otherwise(F.col("payload_digest"))
-    return read.select(F.col("record_id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    archives = archive_pages(table(spark, sf_dir, "pages"), url="url")
+    read = resolved(records(read_archives(archives, with_data=False)))
+    return read.select(F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 @query

@@ -211,7 +211,7 @@ class Sketches:
 def write_sketches(reps: DataFrame) -> Sketches:
     """reps: node, n_shingles, sketch; one row a node."""
     size = reps.agg(F.sum(F.octet_length("sketch") + 24).alias("n")).first()["n"] or 0
-    folder, shards = new_shared_folder(reps.sparkSession, "sketches"), max(4, math.ceil(size / SHARD_BYTES))
+    folder, shards = new_shared_folder(reps.sparkSession, "sketches"), max(8, math.ceil(size / SHARD_BYTES))
 
     def write(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         k, node = key[0].as_py(), np.asarray(group.column("node"), np.int64)
@@ -573,8 +573,8 @@ def _forest(link: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, i
     return [(x, r) for x in parent if (r := find(x)) != x]
 
 
-def verified(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """rows: cluster, p, q, side, node, copies, text. (a, b, links): spanning edges, and with b null link counts."""
+def verified(rows: DataFrame, k: int, percent: int, tasks: int) -> DataFrame:
+    """rows: cluster, p, q, side, node, copies, text; dealt to ``tasks``. (a, b, links): spanning edges, and with b null link counts."""
 
     def links(group: list[dict], words: WordHashes) -> Iterator[tuple[int, int | None, int]]:
         every = [r | {"set": s} for r, s in zip(group, shingle_sets([r["text"] for r in group], words, k), strict=True)]
@@ -623,8 +623,8 @@ def verified(rows: DataFrame, k: int, percent: int) -> DataFrame:
         del words, group
         give_back()
 
-    dealt = rows.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
-    return dealt.mapInArrow(run, "a long, b long, links long")
+    grouped = rows.repartition(tasks, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
+    return grouped.mapInArrow(run, "a long, b long, links long")
 
 
 #: Shares into which the rows of one component are dealt where they meet what is known of it.
@@ -648,7 +648,9 @@ def _verify(docs: DataFrame, members: DataFrame, every: bool, k: int, percent: i
     other = F.explode(all_blocks if every else F.when(F.col("turn") <= PIVOTS, all_blocks).otherwise(F.array(side)))
     placed = found.select("k1", "k2", "text").join(members, ["k1", "k2"]).withColumn("other", other)
     p, q = (F.least("side", "other"), F.greatest("side", "other")) if every else (F.col("other"), F.col("other"))
-    return cut(verified(placed.select(F.col("component").alias("cluster"), p.alias("p"), q.alias("q"), "side", "node", "copies", "text"), k, percent))
+    times = F.col("blocks") if every else F.lit(1)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((members.agg(F.sum(F.col("n_shingles") * times).alias("n")).first()["n"] or 0) / SHARD_SHINGLES))
+    return cut(verified(placed.select(F.col("component").alias("cluster"), p.alias("p"), q.alias("q"), "side", "node", "copies", "text"), k, percent, tasks))
 
 
 def _groups(docs: DataFrame, k: int, percent: int, text: str, id_col: str, count_links: bool) -> tuple[DataFrame, DataFrame]:

@@ -63,7 +63,7 @@ def test_empty_table(spark, name):
 def test_archives_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, "a"), (2, None), (None, "a"), (3, "a"), (3, "a"), (4, ""), (5, "é" * 400_000)], "page_id long, html string").withColumn("record_type", F.lit("own"))
     read = warc.read_archives(warc.archive_pages(pages))
-    got = sorted(warc.records(read).select("record_id", "record_type", "refers_to", "payload_bytes").collect(), key=str)
+    got = sorted(warc.resolved(warc.records(read)).select("record_id", "record_type", "refers_to", "payload_bytes").collect(), key=str)
     assert len(got) == 7
     assert {(r.record_id, r.record_type, r.refers_to) for r in got} == {(1, "response", None), (None, "revisit", 1), (3, "revisit", 1), (2, "response", None), (4, "revisit", 2), (5, "response", None)}
     chunks = read.where("record_id = 5").orderBy("chunk_no").collect()

@@ -128,6 +128,44 @@ def test_archives(spark):
         data = html.encode()
         assert (r.payload_bytes, r.payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
         assert r.record_type == ("response" if first[html] == p else "revisit")
+        assert (r.refers_to == first[html]) if first[html] != p else np.isnan(r.refers_to)
+
+
+def foreign_archive():
+    """Records as other tools write them: uuid ids, a warcinfo, a chunked message, hexadecimal digests, folded lines."""
+    body = b"<html>" + b"p" * 500
+    http = b"HTTP/1.1 200 OK\r\nX: 1\r\n\r\n" + body
+    sent = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+    rows = [
+        (b"WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:00000000-0000-4000-8000-000000000001>\r\nContent-Type: application/warc-fields", b"software: x\r\n"),
+        (b"WARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nWARC-Target-URI:\r\n  http://a.example/\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:" + hashlib.sha1(body).hexdigest().encode(), http),
+        (b"warc-type: response\r\nWARC-Record-ID: <urn:uuid:3>\r\nContent-Type: application/http\r\nWARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"abc").digest()), sent),
+        (b"WARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:4>\r\nContent-Type: text/plain", b""),
+        (b"WARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:5>\r\nContent-Type: application/http\r\nWARC-Refers-To: <urn:uuid:2>\r\nWARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(body).digest()), b"HTTP/1.1 200 OK\r\n\r\n"),
+    ]
+    return [b"WARC/1.0\r\n" + h + b"\r\nContent-Length: %d\r\n\r\n" % len(d) + d + b"\r\n\r\n" for h, d in rows], body
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_archives_of_other_tools(spark, tmp_path, zipped):
+    parts, body = foreign_archive()
+    path = tmp_path / "x.warc"
+    path.write_bytes(b"".join(map(gzip.compress, parts)) if zipped else b"".join(parts))
+    read = warc.read_archives(spark.createDataFrame([(f"file://{path}",)], "archive string"), size=100)
+    rows = {r.record_uri[-1]: r for r in warc.resolved(warc.records(read)).collect()}
+    assert [rows[k].record_type for k in "12345"] == ["warcinfo", "response", "response", "resource", "revisit"]
+    assert rows["2"].target_uri == "http://a.example/" and rows["2"].payload_bytes == len(body) == rows["5"].payload_bytes
+    assert rows["5"].digest == rows["2"].digest == warc.b32(hashlib.sha1(body).digest()) and rows["4"].payload_bytes == 0
+    data = read.where("record_uri like '%2'").orderBy("chunk_no").collect()
+    assert b"".join(bytes(r.data) for r in data) == body and len(data) == 6
+
+
+def test_written_archives_are_standard_messages(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/x y\r\nEvil: 1", "<p>é</p>"), (2, None, "<p>é</p>")], "page_id long, url string, html string")
+    name = warc.archive_pages(pages, url="url").first().archive
+    raw = gzip.decompress(open(name.removeprefix("file://"), "rb").read()).decode()
+    assert "WARC-Target-URI: http://a.example/x%20y%0D%0AEvil:%201\r\n" in raw and "\r\n\r\nHTTP/1.1 200 OK\r\n" in raw
+    assert raw.count("WARC/1.1\r\n") == 2 and "X-Payload" not in raw and "WARC-Type: revisit" in raw
 
 
 def test_reader_streams_and_checks():
