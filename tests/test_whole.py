@@ -2,9 +2,6 @@
 
 import random
 
-import numpy as np
-
-from talkgrid.llm import secrets
 from talkgrid.operators import build as B
 from talkgrid.operators import graph as G
 from talkgrid.operators import joins as J
@@ -146,18 +143,3 @@ def test_whole_tables_are_taken(spark):
     assert n("mention_resolvability_whole") == table("lineitem").count() and n("attendee_people_whole") == table("customer").count()
     assert QUERIES["alias_matches_whole"](spark, SF).where("id = match_id").count() == table("part").count()
     assert n("mentions_without_support_whole") > n("mentions_without_support")
-
-
-def test_what_base_patterns_leave_of_a_secret_is_found():
-    for text, rest in (('a password="hunter22$Xyz99" b', ['$Xyz99"']), ("token=abcdef Zq9$kk!x", ["Zq9$kk!x"]), ('"password":"hunter22"', ['"']), ("Zq9$kk!x", ["Zq9$kk!x"])):
-        start, end = (2, len(text) - 2) if text[:2] == "a " else (0, len(text))
-        got = secrets.uncovered(text, start, end, secrets.base_spans(text))
-        assert [text[s:e] for s, e, _ in got] == [x for x in rest if x != '"']
-
-
-def test_rests_of_secrets_reach_the_scan(monkeypatch):
-    text = 'set password="hunter22$Xyz99" now'
-    monkeypatch.setattr(secrets, "emissions", lambda *a: None)
-    monkeypatch.setattr(secrets, "viterbi", lambda *a: np.array([secrets.O, secrets.B, secrets.O]))
-    spans = secrets.scan_texts({"t": None, "b": None}, [text], secrets.Shapes())[0]
-    assert [(text[s:e], k) for s, e, k in spans] == [('password="hunter22', "assign"), ('$Xyz99"', "crf")]
