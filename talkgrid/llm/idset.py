@@ -79,5 +79,8 @@ def filter_rows(df: DataFrame, rows: RowSet, keep_members: bool, id_col: str = "
                 yield got if carry else pa.RecordBatch.from_arrays(got.columns[:-2], names=got.schema.names[:-2])
 
     one, two = row_keys(F.col(id_col), F.col(text))
-    keyed = df.select("*", one.alias("k1"), two.alias("k2"))
+    names, taken = ("k1", "k2"), {c.lower() for c in df.columns}
+    while taken & set(names):
+        names = tuple(f"_{n}" for n in names)
+    keyed = df.select("*", one.alias(names[0]), two.alias(names[1]))
     return keyed.mapInArrow(run, keyed.schema if carry else df.schema)

@@ -7,11 +7,14 @@ discounts of each order from its counts of counts; n counts distinct predecessor
 
 Counting: workers hand on sorted (context, word, count) arrays by shard of the context; a shard merges them, writes
 its pairs and contexts, and hands on (word, predecessors, tokens) by shard of the word, which writes the words. A
-shard takes a bounded share of the text, and what a worker hands on has one entry for each distinct pair, so very
-frequent words and pairs stay small. Nothing of the corpus's size comes to the driver or is broadcast.
+shard takes a bounded share of the text, is a task of its own (beyond ``common.MAX_TASKS`` a task takes several, one after another),
+and is one file of sorted arrays. What a worker hands on has one entry for each distinct pair, so very
+frequent words and pairs stay small. Nothing of the corpus's size comes to the driver or is broadcast. A scorer maps the
+files that a batch's tokens fall into when it needs them, and at most ``OPEN_FILES`` at once.
 
 Null texts count as empty: an end mark alone. Repeated rows count each time. With nothing to learn from, N = V = 0:
-every token has probability 1 / (V + 1).
+every token has probability 1 / (V + 1). Empty tables give empty ones; other columns pass, but for those of the names that
+scoring adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, give_back, map_array, mix, new_shared_folder, pair_hash, put_bytes, steps, utf8
+from .common import WordHashes, cut, dealt, give_back, map_array, mix, new_shared_folder, pair_hash, put_bytes, steps, utf8
 
 BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Text bytes whose pairs make one shard.
 SHARD_BYTES = 24 << 20
 #: Tokens counted before a worker hands its counts on.
 FLUSH = 3_000_000
+#: Files that a scorer keeps mapped at once; a system allows a process some 65,000 maps.
+OPEN_FILES = 8192
+#: The arrays of a shard's two files, in order.
+_PAIR_FILE = (("pair", np.uint64), ("big", np.uint64), ("big_n", np.int64), ("ctx", np.uint64), ("ctx_n", np.int64), ("pair_n", np.uint8))
+_WORD_FILE = (("word", np.uint64), ("kinds", np.int64), ("tokens", np.int64))
 
 
 def token_stream(texts: list[bytes], words: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,17 +124,22 @@ class Model:
     word_d: tuple
     word_mass: float
 
-    def open(self) -> list[dict]:
-        """Memory maps of all shards; nothing is read until it is looked up."""
-        kinds = {"pair": np.uint64, "pair_n": np.uint8, "big": np.uint64, "big_n": np.int64, "ctx": np.uint64, "ctx_n": np.int64, "word": np.uint64, "kinds": np.int64, "tokens": np.int64}
-        return [{x: _map_or_none(f"{self.folder}/{k}.{x}", t) for x, t in kinds.items()} for k in range(self.shards)]
+    def open(self, kind: str, k: int) -> dict[str, np.ndarray]:
+        """The arrays of a shard's file, memory-mapped: nothing is read until it is looked up."""
+        parts = _PAIR_FILE if kind == "pairs" else _WORD_FILE
+        try:
+            raw = map_array(f"{self.folder}/{k}.{kind}", np.uint8)
+        except FileNotFoundError:  # no pair or word fell into this shard
+            return {name: np.zeros(0, t) for name, t in parts}
+        sizes = raw[: 8 * len(parts)].view(np.int64)
+        ends = 8 * len(parts) + np.cumsum(sizes)
+        return {name: raw[end - n : end].view(t) for (name, t), n, end in zip(parts, sizes.tolist(), ends.tolist(), strict=True)}
 
 
-def _map_or_none(uri: str, dtype) -> np.ndarray:
-    try:
-        return map_array(uri, dtype)
-    except FileNotFoundError:
-        return np.zeros(0, dtype)
+def _put(uri: str, parts: tuple, arrays: dict[str, np.ndarray]) -> None:
+    """One file: the sizes of the arrays, then the arrays."""
+    raw = [np.ascontiguousarray(arrays[name], t).tobytes() for name, t in parts]
+    put_bytes(uri, np.asarray(list(map(len, raw)), np.int64).tobytes(), *raw)
 
 
 def _find(a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -171,18 +184,13 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         # Contexts: total, and how many words were seen once, twice, more often.
         stats = np.stack([np.add.reduceat(x, new) for x in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))], axis=1)
-        put_bytes(f"{folder}/{k}.ctx", v[new].tobytes())
-        put_bytes(f"{folder}/{k}.ctx_n", stats.tobytes())
         h = pair_hash(v, w)
         order = np.argsort(h)
         h, hc = h[order], c[order]
-        put_bytes(f"{folder}/{k}.pair", h.tobytes())
-        put_bytes(f"{folder}/{k}.pair_n", np.minimum(hc, 255).astype(np.uint8).tobytes())
         big = hc >= 255
-        put_bytes(f"{folder}/{k}.big", h[big].tobytes())
-        put_bytes(f"{folder}/{k}.big_n", hc[big].tobytes())
+        _put(f"{folder}/{k}.pairs", _PAIR_FILE, {"pair": h, "pair_n": np.minimum(hc, 255), "big": h[big], "big_n": hc[big], "ctx": v[new], "ctx_n": stats})
         del h, order, hc
-        rows = [{"shard": -1, "words": b"", "kinds": b"", "tokens": b"", **{f"n{i}": int((c == i).sum()) for i in (1, 2, 3, 4)}, "kind_sum": len(c)}]
+        rows = [{"shard": shards, "words": b"", "kinds": b"", "tokens": b"", **{f"n{i}": int((c == i).sum()) for i in (1, 2, 3, 4)}, "kind_sum": len(c)}]
         (s, w), (kinds, toks) = _sum_runs((shard_of(w, shards), w), (np.ones(len(w), np.int64), c))
         for j, (a, z) in enumerate(pairwise(np.searchsorted(s, np.arange(shards + 1)))):
             if a < z:
@@ -192,7 +200,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     def words_of(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         k = key[0].as_py()
         sums = [int(pa.compute.sum(group.column(c)).as_py()) for c in ("n1", "n2", "n3", "n4", "kind_sum")]
-        if k < 0:
+        if k == shards:  # the counts of counts of all pairs
             return pa.table({"kind": ["pairs"], "n": [sums[:4]], "distinct": [0], "sum": [sums[4]], "tokens": [0]})
         parts = []
         for r in (r for b in group.to_batches() for r in b.to_pylist()):
@@ -200,13 +208,12 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
             parts.append((w, _wide(r["kinds"], len(w)), _wide(r["tokens"], len(w))))
         w, kinds, toks = (np.concatenate(x) for x in zip(*parts, strict=True))
         (w,), (kinds, toks) = _sum_runs((w,), (kinds, toks))
-        for name, x in (("word", w), ("kinds", kinds), ("tokens", toks)):
-            put_bytes(f"{folder}/{k}.{name}", x.astype(x.dtype).tobytes())
+        _put(f"{folder}/{k}.words", _WORD_FILE, {"word": w, "kinds": kinds, "tokens": toks})
         return pa.table({"kind": ["words"], "n": [[int((kinds == i).sum()) for i in (1, 2, 3, 4)]], "distinct": [len(w)], "sum": [int(kinds.sum())], "tokens": [int(toks.sum())]})
 
     pairs = docs.select(text).mapInArrow(count, "shard int, contexts binary, runs binary, words binary, counts binary")
-    merged = pairs.groupBy("shard").applyInArrow(merge, "shard int, words binary, kinds binary, tokens binary, n1 long, n2 long, n3 long, n4 long, kind_sum long")
-    done = merged.groupBy("shard").applyInArrow(words_of, "kind string, n array<long>, distinct long, sum long, tokens long")
+    merged = dealt(pairs, "shard", shards).groupBy("shard").applyInArrow(merge, "shard int, words binary, kinds binary, tokens binary, n1 long, n2 long, n3 long, n4 long, kind_sum long")
+    done = dealt(merged, "shard", shards + 1).groupBy("shard").applyInArrow(words_of, "kind string, n array<long>, distinct long, sum long, tokens long")
     # The files exist once this ran; three rows of sums a shard come back.
     sums = cut(done).groupBy("kind").agg(*[F.sum(F.col("n")[i]).alias(f"n{i + 1}") for i in range(4)], *[F.sum(c).alias(c) for c in ("distinct", "sum", "tokens")]).collect()
     by = {r["kind"]: r for r in sums}
@@ -218,23 +225,38 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     return Model(folder, shards, w["tokens"], w["distinct"], w["sum"], discounts([p[f"n{i}"] for i in (1, 2, 3, 4)]), d, mass)
 
 
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard met, with the rising positions of what falls into it."""
+    order = np.argsort(shard, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])) if len(shard) else np.zeros(0, np.int64)
+    for a, z in pairwise([*first.tolist(), len(shard)]):
+        yield int(shard[order[a]]), order[a:z]
+
+
 def _discount(d: tuple, c: np.ndarray) -> np.ndarray:
     return np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0.0)))
 
 
 class Scorer:
-    """Looks tokens and pairs up in the memory-mapped arrays."""
+    """Looks tokens and pairs up in the memory-mapped arrays of the shards that they fall into."""
 
     def __init__(self, model: Model):
-        self.m, self.maps = model, model.open()
+        self.m, self.maps = model, {}
+
+    def _open(self, kind: str, k: int) -> dict[str, np.ndarray]:
+        if (kind, k) not in self.maps:
+            if len(self.maps) >= OPEN_FILES:  # the one mapped first goes
+                self.maps.pop(next(iter(self.maps)))
+            self.maps[kind, k] = self.m.open(kind, k)
+        return self.maps[kind, k]
 
     def _words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kinds, toks, shard = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64), shard_of(w, self.m.shards)
-        for k in np.unique(shard):
-            at = np.flatnonzero(shard == k)
-            i = _find(self.maps[k]["word"], w[at])
+        for k, at in _by_shard(shard):
+            maps = self._open("words", k)
+            i = _find(maps["word"], w[at])
             ok = i >= 0
-            kinds[at[ok]], toks[at[ok]] = self.maps[k]["kinds"][i[ok]], self.maps[k]["tokens"][i[ok]]
+            kinds[at[ok]], toks[at[ok]] = maps["kinds"][i[ok]], maps["tokens"][i[ok]]
         return kinds, toks
 
     def __call__(self, ctx: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,13 +271,13 @@ class Scorer:
         shard = vs[at_v]
         h, where, at_h = np.unique(pair_hash(ctx, tok), return_index=True, return_inverse=True)
         c_h, s_h = np.zeros(len(h), np.int64), shard[where]
-        for k in np.unique(vs):
-            maps = self.maps[k]
-            at = np.flatnonzero(vs == k)
+        contexts, pairs = dict(_by_shard(vs)), dict(_by_shard(s_h))
+        for k, at in contexts.items():
+            maps = self._open("pairs", k)
             i = _find(maps["ctx"], v[at])
             ok = i >= 0
             stats[at[ok]] = maps["ctx_n"].reshape(-1, 4)[i[ok]]
-            at = np.flatnonzero(s_h == k)
+            at = pairs[k]  # a context has a pair
             i = _find(maps["pair"], h[at])
             ok = i >= 0
             got = maps["pair_n"][i[ok]].astype(np.int64)
