@@ -5,8 +5,13 @@ operations: prefix codes, back-references, colour cache and entropy images, then
 subtract-green and palette transforms. A text is stored as pictures of 64 x 16 pixels at most, three bytes a pixel,
 one RIFF file after another, so a long text is many pictures decoded side by side, and memory follows the batch.
 
+The encoder writes each picture in the shortest of its forms: plain pixels, pixels with a colour cache (for colours
+that were there before), residuals of the predictor transform from the left or the row above, or a palette with several
+pixels in one; a run at a picture's end is a back-reference.
+
 Null and empty texts are one row of spaces (a payload of 192 bytes). Equal texts give equal bytes, since the encoder's
-prefix codes are fixed. Damaged files raise ValueError.
+prefix codes are fixed. Damaged files raise ValueError. Empty tables give empty ones; other columns pass, but for one named
+``media``, which :func:`store_texts` replaces.
 """
 
 from __future__ import annotations
@@ -452,17 +457,19 @@ _HEADERS: dict = {}
 
 
 def _header(data: bytes) -> Header:
-    """Headers that end where this module's fixed one does are read once; pictures with the same bits there share them."""
-    n = Encoder.head_bits()
-    key = data[: n >> 3], data[n >> 3] & ((1 << (n & 7)) - 1) if len(data) > n >> 3 else 0
-    if (known := _HEADERS.get(key)) is not None:
-        h, p = Header.__new__(Header), Picture.__new__(Picture)
-        p.__dict__.update(known.picture.__dict__, data=data)
-        h.__dict__.update(known.__dict__, picture=p)
-        return h
+    """Headers that end where one of this module's fixed ones does are read once; pictures with the same bits there share
+    them."""
+    for n in Encoder.head_bits():
+        key = n, data[: n >> 3], data[n >> 3] & ((1 << (n & 7)) - 1) if len(data) > n >> 3 else 0
+        if (known := _HEADERS.get(key)) is not None:
+            h, p = Header.__new__(Header), Picture.__new__(Picture)
+            p.__dict__.update(known.picture.__dict__, data=data)
+            h.__dict__.update(known.__dict__, picture=p)
+            return h
     h = Header(data)
-    if h.picture.at == n and len(_HEADERS) < 64:
-        _HEADERS[key] = h
+    n = h.picture.at
+    if n in Encoder.head_bits() and len(_HEADERS) < 512:
+        _HEADERS[n, data[: n >> 3], data[n >> 3] & ((1 << (n & 7)) - 1) if len(data) > n >> 3 else 0] = h
     return h
 
 
@@ -546,10 +553,134 @@ def put_single(out: BitWriter, symbol: int) -> None:
     out.put(symbol, 8 if symbol > 1 else 1)
 
 
+class Form:
+    """A way to write a picture: its fixed header, prefix codes, cache and transform."""
+
+    def __init__(self, green: np.ndarray, channel: np.ndarray, cache: int = 0, predictor: int = 0):
+        self.cache, self.predictor = cache, predictor
+        if cache:  # a quarter of the pixels, evenly
+            green = np.concatenate([green, np.full(1 << cache, green.sum() / 3 / (1 << cache))])
+        self.sizes = huffman(green, 13), huffman(channel, 12)
+        self.codes = tuple(canonical(x).astype(np.uint64) for x in self.sizes)
+        head = self.head = BitWriter()
+        if predictor:
+            head.put(1, 1)
+            head.put(0, 2)
+            head.put(7, 3)  # one block of 512 x 512
+            head.put(0, 1)
+            for symbol in (predictor, 0, 0, 0, 0):
+                put_single(head, symbol)
+        head.put(0, 1)  # no further transform
+        head.put(int(cache > 0), 1)
+        if cache:
+            head.put(cache, 4)
+        head.put(0, 1)  # one group of codes
+        put_lengths(head, self.sizes[0])
+        put_lengths(head, self.sizes[1])
+        put_lengths(head, self.sizes[1])
+        put_single(head, 0 if predictor else 255)  # alpha, or its residual
+        put_single(head, 1)  # the only distance: one pixel to the left
+
+    def run(self, length: int) -> tuple[int, int]:
+        """Value and bits of a back-reference of so many pixels."""
+        v = length - 1
+        if v < 4:
+            sym, extra, bits = v, 0, 0
+        else:
+            top = v.bit_length() - 1
+            sym, bits = 2 * top + (v >> (top - 1) & 1), top - 1
+            extra = v & ((1 << bits) - 1)
+        size = int(self.sizes[0][256 + sym])
+        return int(self.codes[0][256 + sym]) | extra << size, size + bits
+
+    def pixels(self, px: np.ndarray, start: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(value, bits) of each pixel as a literal or a cached colour, and the length of the run at each picture's end;
+        pixels of runs have no bits."""
+        (green, channel), (gs, cs) = self.codes, self.sizes
+        at = px.astype(np.intp)
+        bits = gs[at[:, 1]].astype(np.int64)
+        value = green[at[:, 1]]
+        for k in (0, 2):
+            value = value | channel[at[:, k]] << bits.astype(np.uint64)
+            bits += cs[at[:, k]]
+        if self.cache:
+            colour = np.uint32(0xFF000000) | px[:, 0].astype(np.uint32) << np.uint32(16) | px[:, 1].astype(np.uint32) << np.uint32(8) | px[:, 2]
+            slot = (colour * np.uint32(0x1E35A7BD)) >> np.uint32(32 - self.cache)
+            key = tile << self.cache | slot
+            order = np.argsort(key, kind="stable")
+            again = order[1:][(key[order[1:]] == key[order[:-1]]) & (colour[order[1:]] == colour[order[:-1]])]
+            symbol = 280 + slot[again].astype(np.int64)
+            value[again], bits[again] = green[symbol], gs[symbol]
+        same = np.zeros(len(px), bool)
+        same[1:] = (px[1:] == px[:-1]).all(1)
+        same[start[:-1]] = False
+        differs = np.maximum.accumulate(np.where(same, -1, np.arange(len(px))))
+        run = start[1:] - 1 - differs[start[1:] - 1]
+        run[run < 4] = 0
+        for i, n in zip(start[1:][run > 0].tolist(), run[run > 0].tolist(), strict=True):
+            bits[i - n : i] = 0
+            value[i - n : i] = 0
+        return value, bits, run
+
+
+def residuals(px: np.ndarray, start: np.ndarray, tile: np.ndarray, predictor: int) -> np.ndarray:
+    """Pixels less what stands to their left (predictor 1) or above them (2); first rows go by the left, first columns by
+    what is above, first pixels by black."""
+    inside = np.arange(len(px)) - start[tile]
+    left, above = np.zeros_like(px), np.zeros_like(px)
+    left[1:], above[WIDTH:] = px[:-1], px[:-WIDTH]
+    first_row, first_column = inside < WIDTH, inside % WIDTH == 0
+    by_left = ~first_column if predictor == 1 else first_row & ~first_column
+    guess = np.where(by_left[:, None], left, above)
+    guess[inside == 0] = 0
+    return px - guess
+
+
+def palette_picture(px: np.ndarray) -> tuple[int, int] | None:
+    """Value and bits of a picture of at most 16 colours, from the header's transforms on; None for more."""
+    packed = px[:, 0].astype(np.int64) << 16 | px[:, 1].astype(np.int64) << 8 | px[:, 2]
+    colours, index = np.unique(packed, return_inverse=True)
+    if len(colours) > 16:
+        return None
+    out, flat = BitWriter(), np.full(256, 8, np.uint8)
+    green, codes = np.concatenate([flat, np.zeros(24, np.uint8)]), canonical(flat)
+    out.put(1, 1)
+    out.put(3, 2)
+    out.put(len(colours) - 1, 8)
+    out.put(0, 1)
+    for lengths in (green, flat, flat):
+        put_lengths(out, lengths)
+    if len(colours) > 1:  # alpha: 255 once, then steps of 0
+        for v, n in ((1, 1), (1, 1), (0, 1), (0, 1), (255, 8)):
+            out.put(v, n)
+    else:
+        put_single(out, 255)
+    put_single(out, 0)
+    before = np.zeros(3, np.int64)
+    for i, c in enumerate(colours.tolist()):
+        now = np.asarray([c >> 8 & 255, c >> 16, c & 255])
+        for v in ((now - before) % 256).tolist():
+            out.put(int(codes[v]), 8)
+        if len(colours) > 1:
+            out.put(int(i == 0), 1)
+        before = now
+    for v in (0, 0, 0):  # no further transform, no cache, one group of codes
+        out.put(v, 1)
+    put_lengths(out, green)
+    for symbol in (0, 0, 255, 0):
+        put_single(out, symbol)
+    per = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+    each = 1 << per
+    packed_index = (index.reshape(-1, each) << (np.arange(each) * (8 >> per))).sum(1)
+    body = codes[packed_index].astype(np.uint8).tobytes()  # codes of 8 bits each
+    return out.value | int.from_bytes(body, "little") << out.n, out.n + 8 * len(body)
+
+
 class Encoder:
-    """Writes texts' bytes as pictures with fixed prefix codes; a run of equal pixels at the end is a back-reference.
+    """Writes texts' bytes as pictures with fixed prefix codes.
 
-    The weights follow a rule: blanks, then letters by their rank in European texts, then marks, other bytes last.
+    The weights follow a rule: blanks, then letters by their rank in European texts, then marks, other bytes last;
+    for residuals, the smaller the likelier.
     """
 
     _shared = None
@@ -562,18 +693,12 @@ class Encoder:
         w[48:58] = 8
         w[[32, 10, 44, 46, 0xC3]] = 260, 14, 16, 22, 26
         w[0x80:0xC0] = 1.5
-        self.channel = huffman(w, 12)
-        self.green = huffman(np.concatenate([w, np.full(24, 0.4)]), 12)
-        self.codes = canonical(self.channel).astype(np.uint64), canonical(self.green).astype(np.uint64)
-        head = BitWriter()
-        for v, n in ((0, 1), (0, 1), (0, 1)):  # no transform, no cache, one group
-            head.put(v, n)
-        put_lengths(head, self.green)
-        put_lengths(head, self.channel)
-        put_lengths(head, self.channel)
-        put_single(head, 255)
-        put_single(head, 1)  # the only distance: one pixel to the left
-        self.head = head
+        step = np.minimum(np.arange(256), 256 - np.arange(256))
+        near = 100 / (1 + step) ** 1.2
+        near[0] = 900
+        runs = np.full(24, 0.4)
+        self.forms = [Form(np.concatenate([w, runs]), w), Form(np.concatenate([w, runs]), w, cache=8)]
+        self.forms += [Form(np.concatenate([near, runs * 10]), near, predictor=k) for k in (1, 2)]
 
     @classmethod
     def get(cls) -> Encoder:
@@ -582,8 +707,8 @@ class Encoder:
         return cls._shared
 
     @classmethod
-    def head_bits(cls) -> int:
-        return 40 + cls.get().head.n
+    def head_bits(cls) -> list[int]:
+        return [40 + f.head.n for f in cls.get().forms]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The stored form of each payload (a positive multiple of 192 bytes)."""
@@ -595,63 +720,58 @@ class Encoder:
         px = np.frombuffer(b"".join(tiles), np.uint8).reshape(-1, 3)
         n = np.asarray([len(t) // 3 for t in tiles], np.int64)
         start = np.concatenate([[0], np.cumsum(n)])
-        # Length of the run of equal pixels at each picture's end, past its first pixel.
-        same = np.zeros(len(px), bool)
-        same[1:] = (px[1:] == px[:-1]).all(1)
-        same[start[:-1]] = False
-        differs = np.maximum.accumulate(np.where(same, -1, np.arange(len(px))))
-        run = start[1:] - 1 - differs[start[1:] - 1]
-        run[run < 4] = 0
-        head = self.head_bits()
-        keep = np.ones(len(px), bool)
-        for a, b in zip((start[1:] - run)[run > 0], start[1:][run > 0], strict=True):
-            keep[a:b] = False
-        tile_of = np.repeat(np.arange(len(n)), n)[keep]
-        lit = px[keep]
-        code = np.empty((len(lit), 3), np.uint64)
-        size = np.empty((len(lit), 3), np.int64)
-        for k, (channel, (c, s)) in enumerate(zip((1, 0, 2), ((self.codes[1], self.green), (self.codes[0], self.channel), (self.codes[0], self.channel)), strict=True)):
-            code[:, k], size[:, k] = c[lit[:, channel]], s[lit[:, channel]]
-        pixel_bits = size.sum(1)
-        value = code[:, 0] | code[:, 1] << size[:, 0].astype(np.uint64) | code[:, 2] << (size[:, 0] + size[:, 1]).astype(np.uint64)
-        literal_bits = np.bincount(tile_of, pixel_bits, len(n)).astype(np.int64)
-        refs = {}
-        ref_bits = np.zeros(len(n), np.int64)
-        for k in np.flatnonzero(run):
-            v = int(run[k]) - 1
-            if v < 4:
-                sym, extra, bits = v, 0, 0
-            else:
-                top = v.bit_length() - 1
-                sym, bits = 2 * top + (v >> (top - 1) & 1), top - 1
-                extra = v & ((1 << bits) - 1)
-            refs[k] = int(self.codes[1][256 + sym]) | extra << int(self.green[256 + sym]), int(self.green[256 + sym]) + bits
-            ref_bits[k] = refs[k][1]
-        total = (head + literal_bits + ref_bits + 7) // 8
+        tile = np.repeat(np.arange(len(n)), n)
+        # Every form of every picture; the shortest stays, the first of several.
+        least, form = np.full(len(n), np.iinfo(np.int64).max), np.zeros(len(n), np.int64)
+        value, bits, run = np.zeros(len(px), np.uint64), np.zeros(len(px), np.int64), np.zeros(len(n), np.int64)
+        for k, f in enumerate(self.forms):
+            own = residuals(px, start, tile, f.predictor) if f.predictor else px
+            v, b, r = f.pixels(own, start, tile)
+            total = 40 + f.head.n + np.add.reduceat(b, start[:-1])
+            total[r > 0] += np.asarray([f.run(x)[1] for x in r[r > 0].tolist()], np.int64)
+            better = total < least
+            least[better], form[better], run[better] = total[better], k, r[better]
+            at = better[tile]
+            value[at], bits[at] = v[at], b[at]
         # Literals go into a stream of 64-bit words; each picture begins at a word.
+        literal_bits = np.add.reduceat(bits, start[:-1])
         words = (literal_bits + 63) // 64 + 1
         base = np.concatenate([[0], np.cumsum(words)])
-        inside = np.cumsum(pixel_bits) - pixel_bits
-        first = np.concatenate([[0], np.cumsum(np.bincount(tile_of, minlength=len(n)))])[:-1]
-        at = inside - inside[np.minimum(first, len(inside) - 1)][tile_of] + 64 * base[tile_of]
-        low = (at & 63).astype(np.uint64)
-        word = at >> 6
+        inside = np.cumsum(bits) - bits
+        at = inside - inside[start[:-1]][tile] + 64 * base[tile]
+        low, word = (at & 63).astype(np.uint64), at >> 6
         buf = np.zeros(base[-1] + 1, np.uint64)
         edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         buf[word[edge]] = np.bitwise_or.reduceat(value << low, edge)
-        over = (low.astype(np.int64) + pixel_bits) > 64
-        buf[word[over] + 1] |= value[over] >> (np.uint64(64) - low[over])
+        over = (low.astype(np.int64) + bits) > 64
+        np.bitwise_or.at(buf, word[over] + 1, value[over] >> (np.uint64(64) - low[over]))
         raw, out = buf.tobytes(), [[] for _ in texts]
+        few = self._few_colours(px, tile, len(n))
         for k, i in enumerate(owner):
-            body = int.from_bytes(raw[8 * base[k] : 8 * base[k + 1]], "little")
-            bits = 0x2F | (WIDTH - 1) << 8 | (int(n[k]) // WIDTH - 1) << 22 | self.head.value << 40 | body << head
-            if k in refs:
-                bits |= refs[k][0] << (head + int(literal_bits[k]))
-            m = int(total[k])
-            data = bits.to_bytes(m, "little") + bytes(m & 1)
+            f = self.forms[form[k]]
+            head = 40 + f.head.n
+            body = f.head.value << 40 | (int.from_bytes(raw[8 * base[k] : 8 * base[k + 1]], "little") << head)
+            if run[k]:
+                body |= f.run(int(run[k]))[0] << (head + int(literal_bits[k]))
+            size = int(least[k])
+            if few[k] and (other := palette_picture(px[start[k] : start[k + 1]])) is not None and 40 + other[1] < size:
+                body, size = other[0] << 40, 40 + other[1]
+            m = (size + 7) // 8
+            data = (0x2F | (WIDTH - 1) << 8 | (int(n[k]) // WIDTH - 1) << 22 | body).to_bytes(m, "little") + bytes(m & 1)
             out[i].append(b"RIFF" + (12 + len(data)).to_bytes(4, "little") + b"WEBPVP8L" + m.to_bytes(4, "little") + data)
         return [b"".join(x) for x in out]
 
+    @staticmethod
+    def _few_colours(px: np.ndarray, tile: np.ndarray, tiles: int) -> np.ndarray:
+        """Pictures that a palette may suit: of every 64 pixels in a row at most 16 colours, at most 16 altogether."""
+        packed = tile << 24 | px[:, 0].astype(np.int64) << 16 | px[:, 1].astype(np.int64) << 8 | px[:, 2]
+        line = np.sort(packed.reshape(-1, WIDTH), axis=1)
+        crowded = (line[:, 1:] != line[:, :-1]).sum(1) >= 16
+        maybe = np.ones(tiles, bool)
+        maybe[tile[::WIDTH][crowded]] = False
+        own = np.unique(packed[maybe[tile]]) >> 24
+        return maybe & (np.bincount(own, minlength=tiles) <= 16)
+
 
 def padded(text: bytes) -> bytes:
     return text + b" " * (-len(text) % ROW_BYTES or (0 if text else ROW_BYTES))

@@ -6,10 +6,12 @@ import hashlib
 import io
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from talkgrid.llm import fingerprint, graph, simjoin, warc, webp
 from talkgrid.llm.queries import QUERIES
@@ -91,6 +93,25 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def plain_form(t):
+    t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+    return re.sub(r"[\s\x1c-\x1f\x85]+", " ", t).strip(" ")
+
+
+def test_canonical_forms_are_the_plain_ones(spark):
+    rows = [(0, "a\x85b"), (1, "A\x1c \x1fB"), (2, "\u2003ﬁNE\u3000x\u2028"), (3, "Straße İ ΑΣ"), (4, ""), (5, "\x85"), (6, "e\u0301\xa0É")]
+    got = dict(spark.createDataFrame(rows, "i long, text string").select("i", fingerprint.canonical(F.col("text")).alias("c")).collect())
+    assert got == {i: plain_form(t) for i, t in rows}
+
+
+def test_fingerprints_keep_columns_of_their_own_names(spark):
+    df = spark.createDataFrame([(1, "a", "x", "y", "z", "w"), (2, "A ", "x", "y", "z", "w")], "doc_id long, text string, _form string, key string, digest string, row string")
+    for compare in ("bytes", "digest"):
+        out = fingerprint.fingerprint(df, compare=compare)
+        assert out.columns == [*df.columns, "fingerprint"] and len({r.fingerprint for r in out.collect()}) == 1
+        assert [tuple(r)[2:6] for r in out.collect()] == [("x", "y", "z", "w")] * 2
+
+
 def test_edited_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = QUERIES["op10_fingerprint"](spark, "/root/testdata/sf0.001").toPandas().set_index("doc_id")
@@ -101,6 +122,7 @@ def test_edited_texts(spark):
         e = t[: n - n // 2] + nxt[: n // 2]
         r = out.loc[ids[i]]
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(e.encode()).hexdigest())
+        assert (r.near_edited, r.near_next) == (float(plain_form(e) == plain_form(t)), float(plain_form(nxt) == plain_form(t)))
     assert out.fingerprint.nunique() == len({re.sub(r"\s+", " ", t.casefold()).strip() for t in texts})
 
 
@@ -196,6 +218,45 @@ def test_texts_survive_as_pictures():
     media = webp.Encoder.get().encode(texts)
     assert [webp.samples(p) for p in webp.decode(media)] == texts
     assert webp.Encoder.get().encode(texts[::-1]) == media[::-1]
+
+
+def test_every_form_is_written_where_it_is_the_shortest():
+    """What the decoder meets in stored texts: transforms by kind (0 predictor, 3 palette) and caches."""
+    r = random.Random(4)
+    row = bytes(r.randrange(256) for _ in range(192))
+    slope = bytes(b for i in range(1024) for b in (i // 4 % 256, i // 2 % 256, i // 8 % 256))
+    words = [bytes(r.choice(b"etaoinshrdlu") for _ in range(3)) for _ in range(60)]
+    texts = [row * 16, slope, b"ab " * 1000, b"".join(r.choice([b"foo", b"bar", b"baz"]) for _ in range(1024)), b"".join(r.choice(words) for _ in range(1024)), b"The quick brown fox, which was by no means lazy, jumped. "]
+    texts = [webp.padded(t) for t in texts]
+    media = webp.Encoder.get().encode(texts)
+    assert [webp.samples(p) for p in webp.decode(media)] == texts
+    heads = [[webp.Header(p) for p in webp.payloads(m)][0] for m in media]
+    assert [[k for k, *_ in h.transforms] for h in heads] == [[0], [0], [3] if heads[2].transforms else [], [3], [], []]
+    assert heads[4].picture.cache and not heads[5].picture.cache
+    assert all(len(m) < len(t) for m, t in list(zip(media, texts, strict=True))[:5])
+
+
+def test_a_picture_of_another_encoder():
+    """The one-pixel file by which browsers are asked whether they read lossless WebP."""
+    (picture,), = webp.decode([base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")])
+    assert picture.shape == (1, 1, 4) and picture[0, 0, 3] == 0
+
+
+def test_stored_texts_are_described_as_the_contract_says(spark):
+    import zlib
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    alone = webp.Encoder.get()
+    for r in QUERIES["op8_lossless_webp"](spark, "/root/testdata/sf0.001").collect():
+        t = texts[r.doc_id]
+        full = t + b" " * (-len(t) % 192 if t else 192)
+        media = alone.encode([full])[0]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        a = np.frombuffer(full, np.uint8)
+        shares = [int(((a >= 32 * k) & (a < 32 * k + 32)).sum()) * 255 // len(a) for k in range(8)]
+        step = int(np.abs(np.diff(a.astype(int))).mean())
+        assert r.feature == "".join(f"{x:02x}" for x in (*shares, min(255, step)))
     with pytest.raises(ValueError):
         webp.decode([media[3][: len(media[3]) // 2]])
 
