@@ -128,33 +128,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, d: int, l2: float = 1e-3, rounds: int = 250) -> tuple[np.ndarray, float]:
-    """Logistic regression over a sparse matrix by Adam on the whole sample; L2 on the weights."""
-    n = len(y)
-    order = np.lexsort((rows, cols))
-    by_row, by_col = (np.lexsort((cols, rows)), rows), (order, cols)
-
-    def sums(by: tuple[np.ndarray, np.ndarray], size: int):
-        """The entries in order of one side, and a function that adds their values up by it."""
-        at, side = by
-        start = np.searchsorted(side[at], np.arange(size + 1))
-        full = np.flatnonzero(np.diff(start))
-
-        def add(values: np.ndarray) -> np.ndarray:
-            out = np.zeros(size)
-            if len(full):
-                out[full] = np.add.reduceat(values, start[full])
-            return out
-
-        return cols[at], rows[at], x[at].astype(np.float64), add
-
-    c1, _, x1, add_rows = sums(by_row, n)
-    _, r2, x2, add_cols = sums(by_col, d)
+def logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 250) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam on the whole sample; L2 on the weights. Entries (rows, cols), in order of rows, have the
+    value scale[col], so values are never laid out; entries are held twice as 32-bit numbers, by row and by column."""
+    n, d = len(y), len(scale)
+    by_col = np.argsort(cols, kind="stable").astype(np.int32)
+    rows_by_col = rows[by_col]
+    row_start, col_start = np.searchsorted(rows, np.arange(n + 1)), np.searchsorted(cols[by_col], np.arange(d + 1))
+    del by_col
+
+    def sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+        out, full = np.zeros(len(start) - 1), np.flatnonzero(np.diff(start))
+        if len(full):
+            out[full] = np.add.reduceat(values, start[full])
+        return out
+
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, rounds + 1):
-        z = add_rows(x1 * w[c1]) + w[d]
+        z = sums((w[:d] * scale).astype(np.float32)[cols], row_start) + w[d]
         e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
-        g = np.concatenate([add_cols(x2 * e[r2]) + l2 * w[:d], [e.sum()]])
+        g = np.concatenate([scale * sums(e.astype(np.float32)[rows_by_col], col_start) + l2 * w[:d], [e.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w[:d], float(w[d])
@@ -190,13 +183,16 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         give_back()
 
     y, rs, cs, at = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
-    for g in sample.mapInArrow(gather, "toxic array<int>, rows binary, cols binary").collect():
-        rs.append(np.frombuffer(g["rows"], np.int32) + at)
-        cs.append(np.frombuffer(g["cols"], np.int32))
-        y += g["toxic"]
-        at = len(y)
-    rs, cs, y = np.concatenate(rs), np.concatenate(cs), np.asarray(y, float)
-    w, bias = logistic(rs, cs, ratio[cs], y, len(best))
+    got = sample.mapInArrow(gather, "toxic array<int>, rows binary, cols binary").toArrow().to_batches()
+    while got:
+        for g in got.pop(0).to_pylist():
+            rs.append(np.frombuffer(g["rows"], np.int32) + np.int32(at))
+            cs.append(np.frombuffer(g["cols"], np.int32))
+            y += g["toxic"]
+            at = len(y)
+    rows, cols = np.concatenate(rs), np.concatenate(cs)
+    del rs, cs
+    w, bias = logistic(rows, cols, ratio, np.asarray(y, float))
     return Model(prior, Features(best), w * ratio, bias)
 
 
