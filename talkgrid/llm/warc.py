@@ -63,7 +63,8 @@ def plan_chunks(pages: DataFrame, id_col: str = "page_id", payload: str = "html"
     chunks = rows.select("record_id", "target_uri", "row", "sha1", "payload_bytes", F.size("parts").alias("n_chunks"), F.posexplode("parts").alias("chunk_no", "data"))
     first = pages.select(F.col(id_col).cast("long").alias("record_id"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("n")).where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha1", "first_id")
     again = F.col("first_id").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first_id"))
-    joined = chunks.join(first, "sha1", "left").withColumn("again", again).where("not again or chunk_no = 0")
+    # A hash table of repeated digests leaves one sort to a task: that which puts a row's chunks in order.
+    joined = chunks.join(first.hint("shuffle_hash"), "sha1", "left").withColumn("again", again).where("not again or chunk_no = 0")
     kind, none = F.when(F.col("again"), "revisit").otherwise("response"), F.lit("").cast("binary")
     return joined.select("record_id", "target_uri", "sha1", "payload_bytes", "row", kind.alias("record_type"), F.when(F.col("again"), F.col("first_id")).alias("refers_to"), "chunk_no", F.when(F.col("again"), 1).otherwise(F.col("n_chunks")).alias("n_chunks"), F.when(F.col("again"), none).otherwise(F.col("data")).alias("data")).sortWithinPartitions("sha1", "row", "chunk_no")
 
