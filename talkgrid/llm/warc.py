@@ -58,9 +58,11 @@ def plan_chunks(pages: DataFrame, id_col: str = "page_id", payload: str = "html"
     uri = F.col(url) if url else F.lit(None).cast("string")
     n = F.octet_length("body").cast("long")
     rows = pages.select(F.col(id_col).cast("long").alias("record_id"), uri.alias("target_uri"), body.alias("body"), F.monotonically_increasing_id().alias("row"))
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(n / size)).cast("int") - 1), lambda k: F.substring(F.col("body"), k * size + 1, F.lit(size)))
-    rows = rows.select("record_id", "target_uri", "row", F.sha1("body").alias("sha1"), n.alias("payload_bytes"), parts.alias("parts"))
-    chunks = rows.select("record_id", "target_uri", "row", "sha1", "payload_bytes", F.size("parts").alias("n_chunks"), F.posexplode("parts").alias("chunk_no", "data"))
+    count = F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(F.col("body"), k * size + 1, F.lit(size)))
+    rows = rows.select("record_id", "target_uri", "row", F.sha1("body").alias("sha1"), n.alias("payload_bytes"), count.alias("n_chunks"), parts.alias("parts"))
+    # No array is empty; "outer" keeps the optimizer from making each array twice to see that. The array itself goes no further.
+    chunks = rows.select("record_id", "target_uri", "row", "sha1", "payload_bytes", "n_chunks", F.posexplode_outer("parts").alias("chunk_no", "data"))
     first = pages.select(F.col(id_col).cast("long").alias("record_id"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("n")).where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha1", "first_id")
     again = F.col("first_id").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first_id"))
     # A hash table of repeated digests leaves one sort to a task: that which puts a row's chunks in order.
