@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -285,8 +285,8 @@ def records(chunks: DataFrame) -> DataFrame:
 def resolved(records_: DataFrame) -> DataFrame:
     """Records with ``payload_bytes`` of revisits filled in from a response of the same id and digest as they name, and
     ``digest``, that of the bytes read back, which for a revisit are the response's. Both are null where no response fits."""
-    rows = cut(records_)
-    known = cut(rows.where("record_type <> 'revisit'").select(F.col("record_uri").alias("refers_to_uri"), F.col("running_sha1").alias("payload_digest"), F.col("payload_bytes").alias("known_bytes")).distinct())
+    rows = records_.persist(StorageLevel.DISK_ONLY)  # archives are read once; what a lost executor held is read again
+    known = rows.where("record_type <> 'revisit'").select(F.col("record_uri").alias("refers_to_uri"), F.col("running_sha1").alias("payload_digest"), F.col("payload_bytes").alias("known_bytes")).distinct()
     again = rows.where("record_type = 'revisit'").join(known, ["refers_to_uri", "payload_digest"], "left")
     again = again.withColumns({"payload_bytes": F.col("known_bytes"), "digest": F.when(F.col("known_bytes").isNotNull(), F.col("payload_digest"))}).drop("known_bytes")
     return rows.where("record_type <> 'revisit'").withColumn("digest", F.col("running_sha1")).unionByName(again)
