@@ -127,3 +127,28 @@ def is_foreign(t: Column, lang: Column, most: float = 0.3) -> Column:
 
 def cap_field(t: Column, most: int = 200_000) -> Column:
     return F.when(F.char_length(t) > most, F.concat(F.substring(t, 1, most), F.lit("…[truncated]"))).otherwise(t)
+
+
+def cut_bytes(t: Column, most: int) -> Column:
+    """(text, cut): at most so many bytes of UTF-8, ending on a whole character, and whether something was cut."""
+    raw = F.encode(t, "UTF-8")
+    inside = lambda i: F.hex(F.substring(raw, i, 1)).between("80", "BF")
+    end = F.when(~inside(most + 1), most).when(~inside(most), most - 1).when(~inside(most - 1), most - 2).otherwise(most - 3)
+    short = F.octet_length(t) <= most
+    return F.when(t.isNotNull(), F.struct(F.when(short, t).otherwise(F.decode(F.substring(raw, F.lit(1), F.greatest(end, F.lit(0))), "UTF-8")).alias("text"), (~short).alias("cut")))
+
+
+def redact_paths(t: Column) -> Column:
+    """File URLs, Windows paths, home folders and Unix paths become marks, in this order."""
+    t = redact_file_urls(t)
+    t = F.regexp_replace(t, r"(?U)\b[A-Za-z]:\\(?i:users)\\[^\s\"'<>|]+", "<HOME_PATH>")
+    t = F.regexp_replace(t, r"(?U)\b[A-Za-z]:\\[^\s\"'<>|]+", "<PATH>")
+    t = F.regexp_replace(t, r"(?U)(?<![\w/])/(?:Users|home)/[^\s\"'<>|]+", "<HOME_PATH>")
+    return F.regexp_replace(t, r"(?U)(?<![\w/<])/(?:[\w.@+-]+/)+[\w.@+-]*", "<PATH>")
+
+
+def redact(t: Column) -> Column:
+    """Paths, key-like tokens and long CJK runs become marks; white space becomes single spaces."""
+    words = F.split(F.trim(F.regexp_replace(redact_paths(t), r"(?U)[\s\x1c-\x1f]+", " ")), " ")
+    key = lambda w: w.rlike(r"sk-|phc_|phx_|A-SH-|[0-9a-fA-F]{32,}")
+    return drop_cjk_runs(F.array_join(F.transform(words, lambda w: F.when(key(w), "<REDACTED>").otherwise(w)), " "))

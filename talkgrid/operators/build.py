@@ -143,13 +143,23 @@ def renumbered(clusters: DataFrame, existing: DataFrame) -> DataFrame:
     return clusters.join(top, "note_id", "left").withColumn("number", F.coalesce("_top", F.lit(0)) + n).drop("_top")
 
 
-def lineage_roots(splits: DataFrame, ids: DataFrame, hops: int = 16) -> DataFrame:
-    """(id, root): where an entity came from, through chains of splits (child, parent)."""
-    out = ids.select("id", F.col("id").alias("root"))
-    s = splits.select(F.col("child").alias("c"), F.col("parent").alias("p"))
-    for _ in range(hops):
-        out = out.join(s, F.col("root") == F.col("c"), "left").select("id", F.coalesce("p", "root").alias("root"))
-    return out
+def lineage_roots(splits: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, root): where an entity came from, through chains of splits (child, parent) of any length. Chains are doubled each
+    round, so as many rounds as a chain's length has binary digits do; a ring of splits is an error."""
+    from talkgrid.operators.graph import checkpoint
+
+    up = checkpoint(splits.select("child", "parent").where("child <> parent").distinct())
+    goes_on = lambda: up.join(up.select(F.col("child").alias("parent")), "parent", "left_semi").count()
+    open_ = goes_on()
+    for _ in range(open_.bit_length() + 1):
+        if not open_:
+            break
+        far = up.select(F.col("child").alias("parent"), F.col("parent").alias("far"))
+        up = checkpoint(up.join(far, "parent", "left").select("child", F.coalesce("far", "parent").alias("parent")))
+        open_ = goes_on()
+    if open_:
+        raise ValueError("splits lead in a ring")
+    return ids.join(up, F.col("id") == F.col("child"), "left").select("id", F.coalesce("parent", "id").alias("root"))
 
 
 def alias_union(base: DataFrame, more: DataFrame) -> DataFrame:

@@ -73,3 +73,47 @@ def suppress_first(segments: DataFrame, requests: DataFrame) -> DataFrame:
     keys = ["note_id", "speaker", "start_ms", "end_ms", "text"]
     w = Window.partitionBy(*keys).orderBy("seq")
     return segments.join(requests, keys).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("note_id", "seq", "reason")
+
+
+def last_spoken(segments: DataFrame) -> DataFrame:
+    """(note_id, duration_ms): where the last segment of each note ends."""
+    return segments.groupBy("note_id").agg(F.max("end_ms").alias("duration_ms"))
+
+
+def log_entries(log: DataFrame, kind: str | None = None, note_id=None, low: str | None = None, high: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Entries of a log (id, ts as text, kind, note_id), newest first: of one kind, one note, between two times (as text). A
+    page has 1 to 500 rows."""
+    for column, value in (("kind", kind), ("note_id", note_id)):
+        if value is not None:
+            log = log.where(F.col(column) == value)
+    if low is not None:
+        log = log.where(F.col("ts") >= low)
+    if high is not None:
+        log = log.where(F.col("ts") <= high)
+    return log.orderBy(F.desc("ts"), F.desc("id")).offset(max(0, offset)).limit(min(500, max(1, limit)))
+
+
+def labelled_segments(segments: DataFrame, speakers: DataFrame) -> DataFrame:
+    """Segments with ``label``: the speaker's name, else their number, else who speaks on the source."""
+    from talkgrid.functions.rules import segment_label
+
+    names = speakers.select("note_id", F.col("speaker_id").alias("speaker"), F.col("name").alias("_name"))
+    j = segments.join(names, ["note_id", "speaker"], "left")
+    return j.withColumn("label", segment_label(F.col("speaker"), F.col("source"), F.col("_name"))).drop("_name")
+
+
+def numbered_titles(notes: DataFrame, taken: DataFrame) -> DataFrame:
+    """Default titles of new notes (id, at), numbered from 2 where the day's title is taken: by notes of the same day that
+    were there (day as yyyyMMdd, title), or by new ones before it in order of id. A number that is taken is passed over."""
+    from talkgrid.functions.rules import default_title
+
+    day = F.date_format("at", "yyyyMMdd")
+    base = notes.select("id", "at", day.alias("day"), default_title(F.col("at")).alias("base"))
+    number = F.when(F.col("title") == F.col("base"), 1).when(F.col("title").rlike(r" [0-9]+$"), F.regexp_extract("title", r" ([0-9]+)$", 1).try_cast("int"))
+    used = taken.join(base.select("day", "base").distinct(), "day").where((F.col("title") == F.col("base")) | (F.regexp_replace("title", r" [1-9][0-9]*$", "") == F.col("base"))).withColumn("k", number)
+    lists = used.where("k >= 1").groupBy("day", "base").agg(F.array_sort(F.collect_set("k")).alias("used"))
+    n = F.row_number().over(Window.partitionBy("day", "base").orderBy("id"))
+    j = base.withColumn("n", n).join(lists, ["day", "base"], "left").withColumn("used", F.coalesce("used", F.expr("cast(array() as array<int>)")))
+    # The n-th free number: n, and one more for every taken number that is no greater than what it comes to.
+    free = F.aggregate("used", F.col("n"), lambda acc, u: F.when(u <= acc, acc + 1).otherwise(acc))
+    return j.select("id", F.concat("base", F.when(free > 1, F.concat(F.lit(" "), free.cast("string"))).otherwise("")).alias("title"))

@@ -110,3 +110,75 @@ def repeat_collapse(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
     for s in texts:
         yield s.map(one)
+
+
+def select_range(rows: DataFrame, key: str, order: list[str], low: int, high: int) -> DataFrame:
+    """Rows ``low`` to ``high`` (from 1) of each key in order, with their number ``n``."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")
+    return rows.withColumn("n", n).where(F.col("n").between(min(low, high), max(low, high)))
+
+
+def latest(rows: DataFrame, key: str, order: list[Column], most: int = 5) -> DataFrame:
+    """A ring: the ``most`` newest rows of each key, ``n`` counting from the newest."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")
+    return rows.withColumn("n", n).where(F.col("n") <= most)
+
+
+def edge_lanes(edges: DataFrame, a: str, b: str, order: list[str]) -> DataFrame:
+    """Lanes of parallel edges: a pair's edges lie evenly on both sides of 0."""
+    pair = Window.partitionBy(F.least(a, b), F.greatest(a, b))
+    return edges.withColumn("lane", F.row_number().over(pair.orderBy(*order)) - 1 - (F.count(F.lit(1)).over(pair) - 1) / 2.0)
+
+
+def peak_bars(rows: DataFrame, value: str, floor: float = 0.05, key: str | None = None) -> DataFrame:
+    """``bar``: values by the largest of their key (or of all), which counts as ``floor`` at least."""
+    keys = [key] if key else []
+    top = rows.groupBy(*keys).agg(F.max(value).alias("_top"))
+    j = rows.join(top, key, "left") if key else rows.crossJoin(F.broadcast(top))  # one row
+    return j.withColumn("bar", F.col(value) / F.greatest("_top", F.lit(floor))).drop("_top")
+
+
+def elements_at(rows: DataFrame, value: str, places: dict[str, tuple[int, int]]) -> DataFrame:
+    """One row: the element n * a div b (from 0) of all sorted values for each name and (a, b). A value's rank comes from
+    counts of the values before it, by ranges, so no task sorts the whole column; nulls don't count."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).count()
+    bound = F.floor("v")
+    per = counts.groupBy(bound.alias("b")).agg(F.sum("count").alias("n"))
+    before = per.withColumn("before", F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
+    w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counts.withColumn("b", bound).join(before.select("b", "before"), "b").withColumn("upto", F.coalesce("before", F.lit(0)) + F.sum("count").over(w))
+    at = upto.crossJoin(F.broadcast(counts.agg(F.sum("count").alias("total"))))  # one row
+    pick = lambda a, b: F.min(F.when(F.col("upto") > F.expr(f"total * {a} div {b}"), F.col("v")))
+    return at.agg(*[pick(a, b).alias(n) for n, (a, b) in places.items()])
+
+
+def tumbling(rows: DataFrame, keys: list[str], ts: str, width: str, *aggregates: Column) -> DataFrame:
+    """Aggregates by keys and windows of ``width`` that follow each other; ``start`` begins a window. Works on streams too."""
+    return rows.groupBy(*keys, F.window(ts, width).alias("_w")).agg(*aggregates).withColumn("start", F.col("_w.start")).drop("_w")
+
+
+def first_of_bucket(rows: DataFrame, key: str, ts: str, order: str, width: str) -> DataFrame:
+    """The first row of each key in each window of ``width``: key, ts and the ordering column."""
+    g = rows.groupBy(key, F.window(ts, width)).agg(F.min(F.struct(ts, order)).alias("x"))
+    return g.select(key, f"x.{ts}", f"x.{order}")
+
+
+def rate_limited(rows: DataFrame, kind: str, ts: str, order: str, per_kind: int = 5, in_all: int = 50, unit: str = "hour") -> DataFrame:
+    """What passes a limit of ``per_kind`` rows of a kind and ``in_all`` rows in every calendar unit, in order; the unit's
+    start is ``bucket``. A unit's rows past the first limit are few, so the second one sorts kinds times ``per_kind`` rows."""
+    e = rows.withColumn("bucket", F.date_trunc(unit, ts))
+    k = F.row_number().over(Window.partitionBy("bucket", kind).orderBy(ts, order))
+    total = F.row_number().over(Window.partitionBy("bucket").orderBy(ts, order))
+    return e.withColumn("_k", k).where(F.col("_k") <= per_kind).withColumn("_n", total).where(F.col("_n") <= in_all).drop("_k", "_n")
+
+
+def silence_sessions(rows: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
+    """(key, start, end, n): sessions that a silence of ``gap`` closes. Works on streams too."""
+    s = rows.groupBy(key, F.session_window(ts, gap).alias("_s")).agg(F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"))
+    return s.select(key, F.col("_s.start").alias("start"), "end", "n")
+
+
+def burst_peak(rows: DataFrame, key: str, ts: str, trailing_us: int) -> DataFrame:
+    """(key, peak): most rows of a key within a trailing span, both ends included."""
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.to_timestamp(ts))).rangeBetween(-trailing_us, 0)
+    return rows.select(key, F.count(F.lit(1)).over(w).alias("n")).groupBy(key).agg(F.max("n").alias("peak"))

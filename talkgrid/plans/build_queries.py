@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talkgrid.functions import spans as S
+from talkgrid.functions import rules as R
 from talkgrid.functions import text as T
 from talkgrid.functions import timefn as D
 from talkgrid.functions import vector as M
@@ -13,8 +13,11 @@ from talkgrid.operators import build as B
 from talkgrid.operators import graph as G
 from talkgrid.operators import identity as I
 from talkgrid.operators import joins as J
+from talkgrid.operators import notes as N
+from talkgrid.operators import people as P
 from talkgrid.plans import views as V
 from talkgrid.plans.registry import query
+from talkgrid.sources import files as FS
 from talkgrid.streaming import alarms
 
 
@@ -23,53 +26,59 @@ def json_line_scan(spark, d):
     """Every fifth line is broken."""
     good = F.to_json(F.struct(F.col("turn").alias("seq"), "text"))
     lines = V.table(spark, d, "conversations").select(F.col("conv_id").alias("note_id"), F.when(F.col("turn") % 5 == 4, F.concat(F.lit("{"), F.col("role"))).otherwise(good).alias("raw"))
-    r = lines.select("note_id", F.from_json("raw", "seq bigint, text string, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    return r.groupBy("note_id").agg(F.count_if(F.col("r._bad").isNull()).alias("segments"), F.count_if(F.col("r._bad").isNotNull()).alias("skipped_lines"))
+    r = FS.parse_lines(lines, "seq bigint, text string")
+    return r.groupBy("note_id").agg(F.count_if("ok").alias("segments"), F.count_if(~F.col("ok")).alias("skipped_lines"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderpriority END AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'complete' ELSE o_orderstatus END AS state FROM orders")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderpriority END AS title, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'complete' ELSE o_orderstatus END AS state FROM orders")
 def meta_fallback(spark, d):
-    """Notes without readable metadata are complete and titled by their folder."""
-    o = V.table(spark, d, "orders")
-    meta = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("state"))
-    return o.select(F.col("o_orderkey").alias("id")).join(meta, "id", "left").select("id", F.coalesce("title", F.col("id").cast("string")).alias("title"), F.coalesce("state", F.lit("complete")).alias("state"))
+    """Every third order's metadata is no JSON, every fifth's is missing."""
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_orderkey").cast("string").alias("folder"), "o_orderpriority", "o_orderstatus")
+    good = F.to_json(F.struct(F.col("folder").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("state")))
+    raw = o.where("i % 5 <> 0").select("folder", F.when(F.col("i") % 3 == 0, "{").otherwise(good).alias("value"))
+    return FS.parse_meta(o.select("folder"), raw).select("id", "title", "state")
 
 
 @query("SELECT event_id, 'k' AS name, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def map_scan(spark, d):
-    """JSON maps to rows; corrupt ones have none."""
-    m = F.coalesce(F.from_json("props", "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
-    return V.table(spark, d, "events").select("event_id", F.explode(m).alias("name", "value"))
+    """JSON maps to rows; corrupt ones have none."""
+    raw = V.table(spark, d, "events").select(F.col("event_id").alias("note_id"), F.col("props").alias("value"))
+    return FS.map_rows(raw, "map<string,string>").select(F.col("note_id").alias("event_id"), F.col("key").alias("name"), F.col("item").alias("value"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'invalid' WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
 def newest_document(spark, d):
-    """The new document over the legacy one."""
-    t = V.table(spark, d, "documents").select("doc_id")
-    new, old = t.where("doc_id % 2 = 0").withColumn("n", F.lit("new")), t.where("doc_id % 3 = 0").withColumn("o", F.lit("old"))
-    return new.join(old, "doc_id", "full").select("doc_id", F.coalesce("n", "o").alias("version"))
+    """The new document over the legacy one; every tenth is no document."""
+    t = V.table(spark, d, "documents").select(F.col("doc_id").alias("note_id"))
+    of = lambda k, file: t.where(F.col("note_id") % k == 0).select("note_id", F.lit(file).alias("file"), F.when(F.col("note_id") % 10 == 0, "oops").otherwise(F.lit('{"v":"' + file + '"}')).alias("value"))
+    docs = FS.newest(of(2, "new").unionByName(of(3, "old")), "new", "old")
+    good, bad = FS.parse_documents(docs, "v string")
+    return good.select(F.col("note_id").alias("doc_id"), F.col("v").alias("version")).unionByName(bad.select(F.col("note_id").alias("doc_id"), F.lit("invalid").alias("version")))
 
 
-@query("SELECT user_id, count(*) + count(DISTINCT user_id) AS reports FROM events GROUP BY 1")
+@query('SELECT user_id, count(*) + 1 AS reports, CAST(sum(event_id) + max(event_id) AS BIGINT) AS ids FROM events GROUP BY 1')
 def history_rows(spark, d):
     """Each report's history, and the report itself."""
-    g = V.table(spark, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("history"), F.max("value").alias("top"))
-    return g.select("user_id", F.explode(F.concat("history", F.array("top"))).alias("report")).groupBy("user_id").agg(F.count(F.lit(1)).alias("reports"))
+    one = F.to_json(F.struct("event_id"))
+    g = V.table(spark, d, "events").groupBy("user_id").agg(F.collect_list(one).alias("h"), F.max("event_id").alias("top"))
+    raw = g.select(F.col("user_id").alias("file"), F.to_json(F.struct(F.col("h").alias("history"), F.col("top").alias("event_id"))).alias("value"))
+    r = FS.with_history(raw).withColumn("event_id", F.get_json_object("report", "$.event_id").cast("long"))
+    return r.groupBy(F.col("file").alias("user_id")).agg(F.count(F.lit(1)).alias("reports"), F.sum("event_id").alias("ids"))
 
 
 @query("SELECT c_custkey AS id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(c_mktsegment || ' , a,b , a,', ','), lambda x: trim(x)), lambda x: x <> ''))), '|') AS values FROM customer")
 def filter_values(spark, d):
     """F04"""
-    parts = F.transform(F.split(F.concat("c_mktsegment", F.lit(" , a,b , a,")), ","), lambda x: F.trim(x))
-    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != ""))), "|").alias("values"))
+    values = F.split(F.concat("c_mktsegment", F.lit(" , a,b , a,")), ",")
+    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(R.normalized_values(values), "|").alias("values"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'not a time' WHEN o_orderkey % 5 = 1 THEN 'out of order' ELSE 'ok' END AS verdict FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'not a time' WHEN o_orderkey % 5 = 1 THEN 'out of order' ELSE 'ok' END AS verdict, CASE WHEN o_orderkey % 5 NOT IN (0, 2) THEN CAST(epoch(TIMESTAMP '2026-01-01 22:00:00') AS BIGINT) END AS low FROM orders")
 def bounds_check(spark, d):
     """F05, D01, D09"""
     i = F.col("o_orderkey")
-    low, high = F.try_to_timestamp(F.when(i % 5 == 0, "soon").otherwise("2026-01-02T00:00:00+02:00")), F.try_to_timestamp(F.when(i % 5 == 1, "2026-01-01T00:00:00Z").otherwise("2026-03-01T00:00:00Z"))
-    return V.table(spark, d, "orders").select(i.alias("id"), F.when(low.isNull() | high.isNull(), "not a time").when(low > high, "out of order").otherwise("ok").alias("verdict"))
+    low, high = F.when(i % 5 == 0, "soon").when(i % 5 != 2, "2026-01-02T00:00:00+02:00"), F.when(i % 5 == 1, "2026-01-01T00:00:00Z").otherwise("2026-03-01T00:00:00Z")
+    return V.table(spark, d, "orders").select(i.alias("id"), R.bounds_verdict(low, high).alias("verdict"), F.unix_timestamp(R.instant(low)).alias("low"))
 
 
 def _overlaps(spark, d):
@@ -88,31 +97,24 @@ def residue_filter(spark, d):
 @query("SELECT conv_id, turn FROM conversations WHERE role IN ('user', 'system')")
 def speaker_filter(spark, d):
     """F24"""
-    return V.table(spark, d, "conversations").where(F.col("role").isin("user", "system")).select("conv_id", "turn")
+    return V.table(spark, d, "conversations").where(R.speaker_passes(F.col("role"), ["user", "system"])).select("conv_id", "turn")
 
 
-@query("SELECT user_id, count(*) >= 3 AND NOT user_id % 4 = 0 AS offer FROM events GROUP BY 1")
+@query('SELECT user_id, count(*) >= 3 AND user_id % 4 >= 2 AS offer FROM events GROUP BY 1')
 def offer_rule(spark, d):
-    """enough findings, and not an engine that is left out."""
-    engine = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("cloud:"), F.col("user_id").cast("string"))).otherwise("local")
-    return V.table(spark, d, "events").groupBy("user_id", engine.alias("engine")).agg(F.count(F.lit(1)).alias("n")).select("user_id", ((F.col("n") >= 3) & (F.col("engine") != "firered") & ~F.col("engine").startswith("cloud:")).alias("offer"))
+    """enough findings, and not an engine that is left out."""
+    u = F.col("user_id")
+    engine = F.when(u % 4 == 0, "cloud:x").when(u % 4 == 1, "firered").when(u % 4 == 2, "sense_voice")
+    return V.table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", R.offers_better_engine(F.col("n"), engine).alias("offer"))
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus IN ('F', 'P') AND o_totalprice > 1000 AND o_orderkey % 3 <> 0 AS selected FROM orders")
+@query("SELECT id, current, o_ok AND NOT current AS selected FROM (SELECT o_orderkey AS id, o_orderkey % 3 = 0 AND o_orderstatus = 'F' AS current, o_orderkey % 7 <> 0 AND o_orderkey % 2 = 1 AS o_ok FROM orders)")
 def backfill_selection(spark, d):
-    """entities done, some of them, and not current."""
-    o = V.table(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus").isin("F", "P") & (F.col("o_totalprice") > 1000) & ~(F.col("o_orderkey") % 3 == 0)).alias("selected"))
-
+    """F30"""
+    i = F.col("o_orderkey")
+    state = R.backfill_state(F.when(i % 3 == 0, "done").otherwise("failed"), F.lit(2), F.col("o_orderstatus"), F.lit(2), F.lit("F"), F.when(i % 7 == 0, "failed").otherwise("partial"), i % 2)
+    return V.table(spark, d, "orders").select(i.alias("id"), state.alias("s")).select("id", "s.*")
 
-@query(f"WITH {V.NE}, {V.ENT} SELECT 'notes' AS part, CAST(note_id AS VARCHAR) AS item, mention_count AS n FROM ne WHERE entity_id = 5 UNION ALL SELECT 'with', CAST(y.entity_id AS VARCHAR), count(*) FROM ne x JOIN ne y ON x.note_id = y.note_id WHERE x.entity_id = 5 AND y.entity_id <> 5 GROUP BY 2 UNION ALL SELECT 'name', name, 1 FROM ent WHERE id = 5")
-def entity_bundle(spark, d):
-    """J11, G02"""
-    ne = V.note_entities(spark, d)
-    mine = ne.where("entity_id = 5")
-    with_ = ne.where("entity_id <> 5").join(mine.select("note_id"), "note_id").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    row = lambda df, part, item, n: df.select(F.lit(part).alias("part"), F.col(item).cast("string").alias("item"), n.cast("long").alias("n"))
-    return row(mine, "notes", "note_id", F.col("mention_count")).unionByName(row(with_, "with", "entity_id", F.col("n"))).unionByName(row(V.entities(spark, d).where("id = 5"), "name", "name", F.lit(1)))
 
 
 @query("""WITH m AS (SELECT l_orderkey AS note_id, l_linenumber AS p, l_partkey AS e, l_linenumber % 2 AS r FROM lineitem), ev AS (SELECT l_orderkey AS note_id, l_linenumber AS p, l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_returnflag = 'R')
@@ -208,10 +210,14 @@ def alias_union(spark, d):
     return u.select("id", "name", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("SELECT p_partkey AS id, dense_rank() OVER (ORDER BY regexp_replace(lower(p_name), '[0-9]+', '', 'g') || lpad(coalesce(nullif(regexp_extract(p_name, '[0-9]+'), ''), '0'), 20, '0')) > 0 AS ranked FROM part")
+@query("WITH n AS (SELECT p_partkey AS id, ['item ', 'item', 'über', 'a10b'][p_partkey % 4 + 1] AS w, p_partkey % 23 AS num, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS x FROM part), d AS (SELECT DISTINCT w, num, x FROM n),\nr AS (SELECT w, num, x, rank() OVER (ORDER BY CASE w WHEN 'a10b' THEN 0 WHEN 'item ' THEN 1 WHEN 'item' THEN 2 ELSE 3 END, num, x) AS rank FROM d) SELECT id, rank FROM n JOIN r USING (w, num, x)")
 def natural_order(spark, d):
-    """Names in natural order."""
-    return V.entities(spark, d).select("id", (F.char_length(B.natural_key(F.col("name"))) > 0).alias("ranked"))
+    """Names made of words and numbers, in natural order."""
+    i = F.col("id")
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("Item ", "item", "Über", "a10b"))), (i % 4 + 1).cast("int")), (i % 23).cast("string"), F.when(i % 3 == 0, ".x9").otherwise(""))
+    e = V.entities(spark, d).select("id", name.alias("name"))
+    ranked = e.select(B.natural_key(F.col("name")).alias("k")).distinct().select("k", F.rank().over(Window.orderBy("k")).alias("rank"))
+    return e.select("id", B.natural_key(F.col("name")).alias("k")).join(ranked, "k").select("id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(None)
@@ -221,16 +227,9 @@ def seq_fingerprints(spark, d):
     return g.select("conv_id", B.seq_fingerprint(F.col("t")).alias("fingerprint"))
 
 
-@query("SELECT l_orderkey AS key, arg_min(l_linenumber, l_quantity * 100 + l_linenumber) AS at FROM lineitem WHERE l_linenumber >= 3 AND l_linenumber < 5 AND l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 5) GROUP BY 1".replace(" AS at ", " AS \"at\" "))
-def quiet_cuts(spark, d):
-    """T11, the first cut alone, as its SQL has it: the smallest of lines 3 and 4; ``quiet_cuts_whole`` makes all cuts."""
-    t = V.table(spark, d, "lineitem")
-    n = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))
-    return B.hard_splits(t.select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("level"), n.alias("n")), 5, 0.5).where(F.col("at") < 5)
-
 
 @query(None)
-def quiet_cuts_whole(spark, d):
+def quiet_cuts(spark, d):
     """An order's lines, numbered from 0, are cut until no part has more than five."""
     w = Window.partitionBy("l_orderkey")
     i = F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1
@@ -259,38 +258,39 @@ def release_envelopes(spark, d):
     return V.vectors(spark, d).select("vec_id", F.round(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), 5).alias("level"))
 
 
-@query("SELECT item_id, strlen(text) > 40 AS truncated, least(strlen(text), 40) AS bytes FROM benchmark WHERE length(text) = strlen(text)")
+@query("WITH t AS (SELECT item_id, translate(text, 'eno', 'é日😀') AS text FROM benchmark), c AS (SELECT item_id, text, unnest(range(0, length(text) + 1)) AS chars FROM t), b AS (SELECT item_id, chars, strlen(left(text, chars)) AS bytes, strlen(text) AS n FROM c), m AS (SELECT unnest([1, 2, 3, 4, 37, 38, 39, 40, 5000]) AS most)\nSELECT item_id, most, max(n) > most AS truncated, max(bytes) AS bytes, max(chars) AS chars FROM b, m WHERE bytes <= most GROUP BY item_id, most")
 def byte_caps(spark, d):
-    """Texts of one byte a character, cut to forty bytes."""
-    from pyspark.sql.functions import udf
-
-    t = V.table(spark, d, "benchmark").where("char_length(text) = octet_length(text)")
-    cut = udf(lambda x: S.cut_utf8(x, 40), "struct<t:string,cut:boolean>", useArrow=True)
-    c = t.select("item_id", cut("text").alias("c"))
-    return c.select("item_id", F.col("c.cut").alias("truncated"), F.octet_length("c.t").cast("long").alias("bytes"))
+    """Texts of letters of one to four bytes, cut to every length."""
+    t = V.table(spark, d, "benchmark").select("item_id", F.translate("text", "eno", "é日\U0001f600").alias("text"))
+    each = t.select("item_id", F.explode(F.array(*[F.struct(F.lit(n).alias("most"), T.cut_bytes(F.col("text"), n).alias("c")) for n in (1, 2, 3, 4, 37, 38, 39, 40, 5000)])).alias("x"))
+    return each.select("item_id", "x.most", F.col("x.c.cut").alias("truncated"), F.octet_length("x.c.text").cast("long").alias("bytes"), F.char_length("x.c.text").cast("long").alias("chars"))
 
 
-@query("SELECT o_orderkey AS id, 'Note ' || strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN n > 1 THEN ' (' || CAST(n AS VARCHAR) || ')' ELSE '' END AS title FROM (SELECT o_orderkey, o_orderdate, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS n FROM orders)")
+@query("WITH o AS (SELECT o_orderkey AS id, o_orderdate AS at, strftime(o_orderdate, '%Y%m%d') AS day, '周' || ['一', '二', '三', '四', '五', '六', '日'][isodow(o_orderdate)] || CASE WHEN hour(o_orderdate) < 5 THEN '凌晨' WHEN hour(o_orderdate) < 9 THEN '早上' WHEN hour(o_orderdate) < 12 THEN '上午' WHEN hour(o_orderdate) < 14 THEN '中午' WHEN hour(o_orderdate) < 18 THEN '下午' ELSE '晚上' END || '的会议' AS base FROM orders),\nn AS (SELECT *, row_number() OVER (PARTITION BY day, base ORDER BY id) + CASE WHEN day LIKE '%0' THEN 1 ELSE 0 END AS k FROM o) SELECT id, base || CASE WHEN k > 1 THEN ' ' || CAST(k AS VARCHAR) ELSE '' END AS title FROM n")
 def default_titles(spark, d):
-    """Numbered where the day's title is taken."""
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    n = F.row_number().over(Window.partitionBy(day).orderBy("o_orderkey"))
-    return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Note "), day, F.when(n > 1, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise("")).alias("title"))
+    """Orders of a day stand for its notes; of every tenth day the plain title is taken."""
+    at = F.col("o_orderdate")
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), at.alias("at"))
+    days = o.select(F.date_format("at", "yyyyMMdd").alias("day"), R.default_title(F.col("at")).alias("title")).distinct().where("day like '%0'")
+    return N.numbered_titles(o, days)
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'label ' || o_orderstatus WHEN o_orderkey % 3 = 1 THEN 'Uses' ELSE 'custom' END AS label, greatest(0, o_orderkey % 100 - 20) AS seconds FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 1 THEN 'Uses' WHEN o_orderkey % 5 = 0 THEN 'likes' WHEN o_orderkey % 3 = 0 THEN 'label ' || o_orderstatus ELSE 'custom' END AS label, CASE WHEN o_orderkey % 3 = 1 THEN 'uses' WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0 THEN 'custom' END AS kind, greatest(0, o_orderkey % 100 - 20) AS seconds FROM orders")
 def relation_labels(spark, d):
     """A core predicate's label, a custom one, else the type."""
     i = F.col("o_orderkey")
-    kind, own = F.when(i % 3 == 1, "uses").otherwise("custom"), F.when(i % 3 == 0, F.concat(F.lit("label "), F.col("o_orderstatus")))
-    return V.table(spark, d, "orders").select(i.alias("id"), F.when(kind == "uses", "Uses").otherwise(F.coalesce(own, kind)).alias("label"), F.greatest(F.lit(0), i % 100 - 20).cast("long").alias("seconds"))
+    kind, own = F.when(i % 3 == 1, "uses").when(i % 5 == 0, "likes").otherwise("custom"), F.when(i % 3 == 0, F.concat(F.lit("label "), F.col("o_orderstatus")))
+    start = F.to_timestamp(F.lit("2026-01-01 00:00:20"))
+    end = F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit("2026-01-01 00:00:00"))) + i % 100)
+    return V.table(spark, d, "orders").select(i.alias("id"), R.relation_label(kind, own, {"uses": "Uses"}).alias("label"), R.normalized_predicate(kind, own, G.CORE_PREDICATES)["kind"].alias("kind"), R.seconds_between(start, end).alias("seconds"))
 
 
-@query("SELECT conv_id, min(turn) * 5000 AS start_ms, CASE WHEN max(turn) > 3 THEN max(turn) * 5000 END AS end_ms FROM conversations GROUP BY 1")
+@query('SELECT conv_id, CASE WHEN e > s THEN s END AS start_ms, CASE WHEN e > s THEN e END AS end_ms FROM (SELECT conv_id, s, CASE WHEN m % 4 = 0 THEN s + 90000 WHEN m % 4 <> 3 THEN s + m * 5000 END AS e FROM (SELECT conv_id, min(turn) * 5000 + 7 AS s, max(turn) AS m FROM conversations GROUP BY 1))')
 def note_windows(spark, d):
-    """Start and end; no end where nothing was said for long."""
-    g = V.table(spark, d, "conversations").groupBy("conv_id").agg((F.min("turn") * 5000).alias("start_ms"), F.max("turn").alias("m"))
-    return g.select("conv_id", "start_ms", F.when(F.col("m") > 3, F.col("m") * 5000).alias("end_ms"))
+    """Start and end; no end where nothing was said."""
+    g = V.table(spark, d, "conversations").groupBy("conv_id").agg((F.min("turn") * 5000 + 7).alias("s"), F.max("turn").alias("m"))
+    end = F.when(F.col("m") % 4 == 0, F.col("s") + 90_000)
+    return g.select("conv_id", R.note_window(F.col("s"), end, F.when(F.col("m") % 4 != 3, F.col("m") * 5000)).alias("w")).select("conv_id", F.col("w.from").alias("start_ms"), F.col("w.to").alias("end_ms"))
 
 
 @query("SELECT vec_id, round(least(0.08 / r, 1 / p), 4) AS gain FROM (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)) AS r, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS p FROM embeddings) WHERE r > 0")
@@ -300,25 +300,30 @@ def loudness(spark, d):
     return V.vectors(spark, d).select("vec_id", r.alias("r"), p.alias("p")).where("r > 0").select("vec_id", F.round(F.least(0.08 / F.col("r"), 1 / F.col("p")), 4).alias("gain"))
 
 
-@query("SELECT p_partkey AS id, p_partkey % 6 = 0 AS archived, CASE WHEN p_partkey % 4 = 0 THEN p_partkey // 4 ELSE p_partkey END AS target FROM part")
+@query('SELECT p_partkey AS id, p_partkey % 6 = 0 AS archived, CASE WHEN p_partkey % 8 = 4 THEN p_partkey // 4 ELSE p_partkey END AS target FROM part')
 def review_split(spark, d):
     """Archived items, and targets that an override replaces if it still exists."""
-    e = V.entities(spark, d).select("id")
-    over = e.where("id % 4 = 0").select("id", F.expr("id div 4").alias("o")).join(e.select(F.col("id").alias("o")), "o", "left_semi")
-    return e.join(over, "id", "left").select("id", (F.col("id") % 6 == 0).alias("archived"), F.coalesce("o", "id").alias("target"))
+    e = V.entities(spark, d).select("id", F.col("id").alias("target"))
+    over = e.where("id % 4 = 0").select("id", F.when(F.col("id") % 8 == 0, -1).otherwise(F.expr("id div 4")).alias("target"))
+    return P.override_targets(P.review_split(e, F.col("id") % 6 == 0), over, e).select("id", "archived", "target")
 
 
-@query("SELECT user_id, min(event_id) AS winner, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources FROM events GROUP BY 1")
+@query('WITH e AS (SELECT user_id, event_id, min(event_id) OVER (PARTITION BY user_id) AS w FROM events), i AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN w ELSE event_id END AS into_id, event_id, w FROM e) SELECT user_id AS note_id, printf(\'%09d\', into_id) AS speaker_id, CASE WHEN into_id % 3 = 0 THEN \'n\' || CAST(into_id AS VARCHAR) WHEN min(event_id) FILTER (event_id % 3 = 0) IS NOT NULL THEN \'n\' || CAST(min(event_id) FILTER (event_id % 3 = 0) AS VARCHAR) END AS name, count(*) AS "count" FROM i GROUP BY user_id, into_id')
 def live_merge(spark, d):
-    """The first of a person's speakers wins, sources are united."""
-    return V.table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("winner"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("sources"))
+    """Every even speaker of a user goes into the first one."""
+    s = V.table(spark, d, "events").select(F.col("user_id").alias("note_id"), F.format_string("%09d", "event_id").alias("speaker_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("n"), F.col("event_id").cast("string"))).otherwise("").alias("name"), F.lit(None).cast("string").alias("person_id"), F.array("event_type").alias("sources"), F.lit(1).cast("long").alias("count"))
+    first = s.groupBy("note_id").agg(F.min("speaker_id").alias("winner"))
+    m = s.join(first, "note_id").where("speaker_id <> winner and cast(speaker_id as int) % 2 = 0").select("note_id", F.col("speaker_id").alias("loser"), "winner")
+    return P.snapshot(P.merge_speakers(s, m).where("size(sources) > 0")).select("note_id", "speaker_id", "name", "count")
 
 
-@query("SELECT event_id, json_object('name', event_type, 'bucket', CASE WHEN value < 300 THEN '<5m' WHEN value < 1800 THEN '5-30m' ELSE 'more' END) AS payload FROM events WHERE value IS NOT NULL")
+@query('SELECT event_id, json_object(\'name\', event_type, \'bucket\', CASE WHEN value < 300 THEN \'<5m\' WHEN value < 1800 THEN \'5-30m\' ELSE \'more\' END) AS payload, \'{"event":"note.done","occurred_at":"2026-01-01T00:00:00Z","note":{"id":"\' || CAST(event_id AS VARCHAR) || \'","title":"\' || event_type || \'"\' || CASE WHEN event_id % 2 = 0 THEN \',"content":"text"\' ELSE \'\' END || \'}}\' AS hook FROM events WHERE value IS NOT NULL')
 def event_payloads(spark, d):
-    """N49, K14"""
-    b = F.when(F.col("value") < 300, "<5m").when(F.col("value") < 1800, "5-30m").otherwise("more")
-    return V.table(spark, d, "events").where("value is not null").select("event_id", F.to_json(F.struct(F.col("event_type").alias("name"), b.alias("bucket"))).alias("payload"))
+    """Telemetry events, and what a hook is told."""
+    v, i = F.col("value"), F.col("event_id").cast("string")
+    bucket = F.when(v < 300, "<5m").when(v < 1800, "5-30m").otherwise("more")
+    hook = R.hook_payload(F.lit("note.done"), i, F.col("event_type"), F.lit("2026-01-01T00:00:00Z"), F.when(F.col("event_id") % 2 == 0, F.lit("text")))
+    return V.table(spark, d, "events").where("value is not null").select("event_id", R.event_payload(F.col("event_type"), bucket=bucket).alias("payload"), hook.alias("hook"))
 
 
 @query(None)
@@ -335,37 +340,33 @@ def clock_rates(spark, d):
     return e.groupBy("source").applyInPandas(run, "source long, n long, ppm double")
 
 
-@query("SELECT o_custkey % 40 AS subject, count(DISTINCT o_orderkey) AS notes, CAST(sum(o_orderkey % 3) AS BIGINT) AS mentions FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
+@query('SELECT o_custkey % 40 AS subject, count(DISTINCT o_orderkey % 100) AS notes, count(*) AS mentions, count(DISTINCT o_orderkey % 9) + CASE WHEN count(*) FILTER (o_orderkey % 9 = 0) > 0 THEN 0 ELSE 1 END AS relations FROM orders GROUP BY 1')
 def split_preview(spark, d):
-    """A22"""
-    return V.table(spark, d, "orders").where("o_orderkey % 2 = 0").groupBy((F.col("o_custkey") % 40).alias("subject")).agg(F.countDistinct("o_orderkey").alias("notes"), F.sum(F.col("o_orderkey") % 3).alias("mentions"))
+    """All mentions of a customer group, each a part of one relation a line number."""
+    s = V.table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("subject"), (F.col("o_orderkey") % 100).alias("note_id"), F.col("o_orderkey").alias("mention_id"), F.array(F.col("o_orderkey") % 9, F.lit(0).cast("long")).alias("relation_ids"))
+    return P.split_preview(s, "subject")
 
 
-@query("SELECT l_orderkey AS note_id, l_linenumber AS k, l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 8 <> 0) AS resolvable FROM lineitem WHERE l_linenumber <= 2")
-def mention_resolvability(spark, d):
-    """Mentions named in arrays, exploded and joined."""
-    t = V.table(spark, d, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("note_id")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("id"))).alias("m"))
-    known = V.entities(spark, d).where("id % 8 <> 0").select("id", F.lit(True).alias("ok"))
-    return t.select("note_id", F.explode("m").alias("m")).select("note_id", "m.k", "m.id").join(known, "id", "left").select("note_id", "k", F.coalesce("ok", F.lit(False)).alias("resolvable"))
-
 
 @query("SELECT l_orderkey AS note_id, l_linenumber AS k, l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 8 <> 0) AS resolvable FROM lineitem")
-def mention_resolvability_whole(spark, d):
-    """Mentions of all lines."""
+def mention_resolvability(spark, d):
+    """Mentions of all lines; every eighth entity is unknown."""
     t = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("note_id")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("id"))).alias("m"))
-    known = V.entities(spark, d).where("id % 8 <> 0").select("id", F.lit(True).alias("ok"))
-    return t.select("note_id", F.explode("m").alias("m")).select("note_id", "m.k", "m.id").join(known, "id", "left").select("note_id", "k", F.coalesce("ok", F.lit(False)).alias("resolvable"))
+    return P.resolvable_mentions(t, V.entities(spark, d).where("id % 8 <> 0"))
 
 
-@query(f"WITH {V.SEG} SELECT note_id, seq, coalesce(speaker, '') AS speaker, speaker IS NULL OR speaker = 'system' AS repaired FROM seg")
+@query(f"WITH {V.SEG} SELECT note_id, seq, CASE WHEN speaker = 'system' AND note_id % 2 = 0 THEN 'user' ELSE speaker END AS speaker, coalesce(speaker = 'system', false) AS repaired FROM seg")
 def orphan_repair(spark, d):
-    """Speakers that are missing from the table get an entry."""
+    """Systems are missing; of every second note they were merged into users by way of a lost id."""
     s = V.segments(spark, d)
-    table = s.select("note_id", "speaker").where("speaker <> 'system'").distinct().withColumn("known", F.lit(True))
-    return s.join(table, ["note_id", "speaker"], "left").select("note_id", "seq", F.coalesce("speaker", F.lit("")).alias("speaker"), F.col("known").isNull().alias("repaired"))
+    known = s.select("note_id", F.col("speaker").alias("speaker_id")).where("speaker <> 'system'").union(s.select("note_id", F.lit("user"))).distinct()
+    note = s.select("note_id").distinct().where("note_id % 2 = 0")
+    merges = note.select("note_id", F.lit("system").alias("loser"), F.lit("gone").alias("winner")).union(note.select("note_id", F.lit("gone"), F.lit("user")))
+    return P.repair_orphans(s, known, merges)[0].select("note_id", "seq", "speaker", "repaired")
 
 
-@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, CAST(floor(value) AS BIGINT) ORDER BY event_id) AS n FROM events) WHERE n = 1")
+@query('SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, CAST(floor(value) AS BIGINT) ORDER BY event_id) AS n FROM events) WHERE n = 1 AND user_id % 9 <> 0')
 def first_events(spark, d):
-    """Of events with one key the first counts."""
-    return V.table(spark, d, "events").groupBy("user_id", "event_type", F.floor("value").alias("v")).agg(F.min("event_id").alias("event_id")).select("event_id", "user_id")
+    """Of events with one key the first counts; those of the snapshot are left out."""
+    e = V.table(spark, d, "events").select("event_id", "user_id", "event_type", F.floor("value").alias("v"))
+    return P.new_events(e, e.where("user_id % 9 = 0"), ["user_id", "event_type", "v"], "event_id").select("event_id", "user_id")

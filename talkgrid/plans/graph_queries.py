@@ -46,7 +46,7 @@ def entity_counts_used(spark, d):
 @query(f"WITH {V.NE} SELECT note_id, count(DISTINCT entity_id) AS entities, CAST(sum(mention_count) AS BIGINT) AS mentions FROM ne GROUP BY 1")
 def note_sizes(spark, d):
     """A02"""
-    return V.note_entities(spark, d).groupBy("note_id").agg(F.countDistinct("entity_id").alias("entities"), F.sum("mention_count").alias("mentions"))
+    return G.note_sizes(V.note_entities(spark, d))
 
 
 @query(f"WITH {V.NE} SELECT * FROM ne")
@@ -79,12 +79,10 @@ def shared_notes(spark, d):
     return G.shared_notes(V.note_entities(spark, d), 1, 2)
 
 
-@query(f"WITH {V.NE}, {V.ENT} SELECT id, name FROM ent WHERE id IN (SELECT entity_id FROM ne WHERE note_id = 1) AND id IN (SELECT entity_id FROM ne WHERE note_id <= 3) ORDER BY name, id")
+@query(f"WITH {V.NE}, {V.ENT} SELECT id, name FROM ent WHERE id IN (SELECT entity_id FROM ne WHERE note_id = 1) AND id IN (SELECT entity_id FROM ne WHERE note_id = 2) ORDER BY name, id")
 def shared_entities(spark, d):
     """J10"""
-    ne = V.note_entities(spark, d)
-    both = ne.where("note_id = 1").select("entity_id").join(ne.where("note_id <= 3").select("entity_id"), "entity_id", "left_semi")
-    return V.entities(spark, d).join(both, F.col("id") == F.col("entity_id"), "left_semi").select("id", "name").orderBy("name", "id")
+    return G.shared_entities(V.entities(spark, d), V.note_entities(spark, d), 1, 2).select("id", "name")
 
 
 @query(f"WITH {_REL}, {V.ENT}, k AS (SELECT s_suppkey AS id, 'supplier' AS kind FROM supplier) SELECT subject_id, object_id, k.kind AS subject_kind, ent.kind AS object_kind, evidence_count FROM full_rel JOIN k ON subject_id = k.id JOIN ent ON object_id = ent.id")
@@ -159,20 +157,14 @@ def mention_containment(spark, d):
     return G.contained_mentions(me, ev).select("note_id", "evidence", "mention")
 
 
-@query("""WITH k AS (SELECT DISTINCT p_partkey AS id, p_brand AS kind, lower(trim(x)) AS k FROM (SELECT p_partkey, p_brand, unnest([p_name, p_type]) AS x FROM part) WHERE trim(x) <> '') SELECT DISTINCT x.id, y.id AS match_id FROM k x JOIN k y USING (kind, k) WHERE y.id % 10 = 0""")
-def alias_matches(spark, d):
-    """Every tenth entity stands for the confirmed ones."""
-    e = V.entities(spark, d)
-    return G.alias_matches(e, e.where("id % 10 = 0"))
-
-
 @query("""WITH k AS (SELECT DISTINCT p_partkey AS id, p_brand AS kind, lower(trim(x)) AS k FROM (SELECT p_partkey, p_brand, unnest([p_name, p_type]) AS x FROM part) WHERE trim(x) <> '') SELECT DISTINCT x.id, y.id AS match_id FROM k x JOIN k y USING (kind, k)""")
-def alias_matches_whole(spark, d):
+def alias_matches(spark, d):
     """All entities are confirmed ones."""
     e = V.entities(spark, d)
     return G.alias_matches(e, e)
 
 
+
 @query("""WITH RECURSIVE r AS (SELECT p_partkey AS old_id, p_partkey // 2 AS new_id FROM part WHERE p_partkey % 3 = 0 AND p_partkey // 2 > 0), w AS (SELECT p_partkey AS id, p_partkey AS cur, 0 AS hop FROM part UNION ALL SELECT w.id, r.new_id, hop + 1 FROM w JOIN r ON w.cur = r.old_id WHERE hop < 9)
 SELECT id, CASE WHEN max(hop) <= 8 THEN arg_max(cur, hop) END AS target FROM w GROUP BY 1""")
 def redirect_targets(spark, d):
@@ -191,23 +183,22 @@ def edge_costs(spark, d):
 @query(f"WITH {V.NE}, e AS (SELECT note_id, list(entity_id ORDER BY entity_id) AS ids FROM ne GROUP BY 1) SELECT note_id, array_to_string(ids, ',') AS ids, len(ids) AS n FROM e")
 def note_entity_lists(spark, d):
     """A note's entities, sorted."""
-    g = V.note_entities(spark, d).groupBy("note_id").agg(F.array_sort(F.collect_set("entity_id")).alias("ids"))
-    return g.select("note_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").cast("long").alias("n"))
+    return G.entity_lists(V.note_entities(spark, d)).select("note_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").cast("long").alias("n"))
 
 
 @query("SELECT kind, n FROM (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'identity' WHEN '2-HIGH' THEN 'merge' ELSE 'relation' END AS kind, count(*) AS n FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY 1)")
 def pending_groups(spark, d):
-    """Groups of pending items without the postponed ones."""
+    """Orders stand for pending items, every tenth is postponed."""
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "identity").when(F.col("o_orderpriority") == "2-HIGH", "merge").otherwise("relation")
-    return V.table(spark, d, "orders").where("o_orderkey % 10 <> 0").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    o = V.table(spark, d, "orders").select(kind.alias("kind"), F.col("o_orderkey").alias("id"))
+    return G.pending_groups(o, o.where("id % 10 = 0"))
 
 
 @query("""SELECT (SELECT count(*) FROM part) AS entities, (SELECT count(*) FROM lineitem) AS mentions, (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) AS relations""")
 def index_statistics(spark, d):
     """A28"""
-    n = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
     m = V.table(spark, d, "lineitem")
-    return n(V.entities(spark, d), "entities").crossJoin(n(m, "mentions")).crossJoin(n(m.select("l_suppkey", "l_partkey").distinct(), "relations"))  # one row each
+    return G.index_statistics(entities=V.entities(spark, d), mentions=m, relations=m.select("l_suppkey", "l_partkey").distinct())
 
 
 @query(f"""WITH {_REL} SELECT subject_id, object_id FROM full_rel r WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = r.subject_id AND l.l_partkey = r.object_id AND l.l_quantity > 10) AND origin <> 'user_assertion'""")
@@ -220,14 +211,15 @@ def unproven_relations(spark, d):
 @query("""WITH f AS (SELECT l_partkey AS id, l_orderkey AS note_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) SELECT id, note_id FROM f WHERE n = 1""")
 def first_evidence(spark, d):
     """The first document's evidence of each id."""
-    t = V.table(spark, d, "lineitem")
-    return t.groupBy(F.col("l_partkey").alias("id")).agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("x")).select("id", F.col("x.l_orderkey").alias("note_id"))
+    t = V.table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("note_id"), "l_linenumber")
+    return G.first_evidence(t, ["note_id", "l_linenumber"]).select("id", "note_id")
 
 
 @query("SELECT l_orderkey AS note_id, l_linenumber AS paragraph, l_partkey AS entity_id FROM lineitem WHERE l_partkey = 7 ORDER BY note_id, paragraph")
 def entity_mentions(spark, d):
-    """G04, O13"""
-    return V.mentions(spark, d).where("entity_id = 7").select("note_id", F.col("paragraph_index").alias("paragraph"), "entity_id").orderBy("note_id", "paragraph")
+    """Mentions of entity 7."""
+    m = V.mentions(spark, d).select("note_id", F.col("paragraph_index").alias("paragraph"), "entity_id")
+    return G.entity_mentions(m, 7, ["note_id", "paragraph"])
 
 
 @query(f"""WITH RECURSIVE {V.NE}, {_CO}, b AS (SELECT a, b, weight FROM co UNION ALL SELECT b, a, weight FROM co),
@@ -240,16 +232,9 @@ def two_hops(spark, d):
     return G.k_hop(G.cooccurrence(V.note_entities(spark, d)), seed, 2)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey + 1000000 AS a, l_partkey AS b FROM lineitem WHERE l_linenumber = 7), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w AS (SELECT a AS id, a AS root FROM u UNION SELECT u.b, w.root FROM w JOIN u ON w.id = u.a) SELECT id, min(root) AS root FROM w GROUP BY 1""")
-def components(spark, d):
-    """G09 without ranks: components of the graph of seventh lines, as its SQL has them; ``components_whole`` takes all lines."""
-    e = V.table(spark, d, "lineitem").where("l_linenumber = 7").select((F.col("l_suppkey") + 1_000_000).alias("a"), F.col("l_partkey").alias("b")).distinct()
-    return G.connected(e)
-
 
 @query(None)
-def components_whole(spark, d):
+def components(spark, d):
     """Components of the graph of all lines, the ones with the most edges first."""
     r = V.relations(spark, d).select((F.col("subject_id") + 1_000_000).alias("a"), F.col("object_id").alias("b"), "confidence")
     t = V.table(spark, d, "lineitem")
@@ -266,14 +251,11 @@ def shortest_path(spark, d):
     return G.shortest_path(e, 1, 42, 4)
 
 
-@query(f"WITH {V.NE}, {V.ENT}, hit AS (SELECT id FROM ent WHERE contains(lower(name), '7') OR contains(lower(alias), '77')) SELECT id FROM hit UNION SELECT y.entity_id FROM ne x JOIN hit ON x.entity_id = hit.id JOIN ne y ON x.note_id = y.note_id")
+@query(f"WITH {V.NE}, {V.ENT}, hit AS (SELECT id FROM ent WHERE contains(lower(name), '7') OR contains(lower(alias), '7')) SELECT id FROM hit UNION SELECT y.entity_id FROM ne x JOIN hit ON x.entity_id = hit.id JOIN ne y ON x.note_id = y.note_id")
 def entity_search(spark, d):
     """entities whose name or alias has the text, with their neighbours."""
-    has = lambda c, q: F.contains(F.lower(c), F.lit(q))
-    hit = V.entities(spark, d).where(has("name", "7") | has("alias", "77")).select("id")
-    ne = V.note_entities(spark, d)
-    notes = ne.join(hit.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").select("note_id").distinct()
-    return hit.union(ne.join(notes, "note_id", "left_semi").select("entity_id")).distinct()
+    e = V.entities(spark, d).select("id", "name", F.array("alias").alias("aliases"))
+    return G.entity_search(e, V.note_entities(spark, d), "7")
 
 
 @query("""WITH o AS (SELECT o_orderkey AS i, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey > 10 THEN 'undo' ELSE 'edit' END AS kind, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey > 10 THEN o_orderkey - 5 - o_orderkey % 2 END AS target FROM orders),
@@ -286,15 +268,66 @@ def ledger_plain_edits(spark, d):
     return G.active_operations(ops).where("active and kind = 'edit'").select("op_index", "kind")
 
 
-@query(f"WITH {V.NE} SELECT note_id, entity_id, CAST(sum(n) AS BIGINT) AS mention_count FROM (SELECT note_id, entity_id, mention_count AS n FROM ne UNION ALL SELECT note_id, CASE WHEN entity_id % 3 = 0 THEN 1 ELSE entity_id END, 1 FROM ne WHERE entity_id % 2 = 0) GROUP BY 1, 2")
+@query(f"WITH {V.NE} SELECT note_id, entity_id, mention_count FROM ne WHERE note_id % 2 <> 0 UNION ALL SELECT note_id, entity_id, CASE WHEN entity_id % 5 = 0 THEN 2 ELSE 1 END FROM ne WHERE note_id % 2 = 0 AND entity_id % 3 <> 0")
 def note_upsert(spark, d):
-    """Counts add up where a rename meets what is there."""
+    """Notes with an even number are put in anew, without their entities of every third id."""
     ne = V.note_entities(spark, d)
-    more = ne.where("entity_id % 2 = 0").select("note_id", F.when(F.col("entity_id") % 3 == 0, 1).otherwise(F.col("entity_id")).alias("entity_id"), F.lit(1).cast("long").alias("mention_count"))
-    return ne.unionByName(more).groupBy("note_id", "entity_id").agg(F.sum("mention_count").alias("mention_count"))
+    again = ne.where("note_id % 2 = 0").select("note_id", F.when(F.col("entity_id") % 3 != 0, F.col("entity_id")).alias("entity_id"), F.lit(1).cast("long").alias("mention_count"))
+    return G.upsert_notes(ne, again.unionByName(again.where("entity_id % 5 = 0")))
 
 
-@query("SELECT p_name AS name, count(DISTINCT p_brand) AS kinds, min(p_partkey) AS first_id FROM part GROUP BY 1")
+@query(f"WITH {V.NE}, {V.ENT} SELECT CASE WHEN id = 7 THEN 8 ELSE id END AS id, list_sort(list_distinct(list_filter(CASE WHEN id = 8 THEN [alias, (SELECT alias FROM ent WHERE id = 7), (SELECT name FROM ent WHERE id = 7)] ELSE [alias] END, lambda a: id <> 8 OR a <> name))) AS aliases, (SELECT CAST(coalesce(sum(mention_count), 0) AS BIGINT) FROM ne WHERE entity_id = ent.id OR (ent.id = 8 AND entity_id = 7)) AS mentions FROM ent WHERE id <> 7")
+def entity_rename(spark, d):
+    """Entity 7 gets a name that leads to entity 8's id, so the two become one."""
+    e = V.entities(spark, d).select("id", "kind", "name", F.array("alias").alias("aliases"))
+    none = spark.createDataFrame([], "old_id long, new_id long")
+    entities, counts, _ = G.rename_with_merge(e, V.note_entities(spark, d), none, 7, 8, "Eight")
+    per = counts.groupBy(F.col("entity_id").alias("id")).agg(F.sum("mention_count").alias("mentions"))
+    return entities.join(per, "id", "left").select("id", F.array_sort("aliases").alias("aliases"), F.coalesce("mentions", F.lit(0)).cast("long").alias("mentions"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS id, p_brand AS kind, lower(trim(p_name)) AS k FROM part), n AS (SELECT kind, k, count(*) AS n, min(id) AS id FROM e WHERE id % 3 <> 0 GROUP BY 1, 2)
+SELECT e.id AS entity, CASE WHEN e.id % 7 = 0 THEN 'binding' WHEN n.n IS NULL THEN 'new' WHEN n.n > 1 THEN 'pending' ELSE 'registry' END AS how, CASE WHEN e.id % 7 = 0 THEN CAST(e.id AS VARCHAR) WHEN n.n = 1 THEN CAST(n.id AS VARCHAR) END AS target FROM e LEFT JOIN n USING (kind, k)""")
 def name_resolution(spark, d):
-    """Smallest id of each name and whether it is ambiguous."""
-    return V.entities(spark, d).groupBy("name").agg(F.countDistinct("kind").alias("kinds"), F.min("id").alias("first_id"))
+    """A note's entities against those of which the id is no multiple of three; every seventh is bound."""
+    e = V.entities(spark, d)
+    local = e.select(F.lit(1).alias("note_id"), F.col("id").alias("entity"), "kind", "name", F.lit(None).cast("string").alias("person_id"))
+    text = F.col("id").cast("string")
+    registry = e.where("id % 3 <> 0").select(text.alias("id"), "kind", "name", F.expr("cast(array() as array<string>)").alias("aliases"))
+    bindings = e.where("id % 7 = 0").select(F.lit(1).alias("note_id"), F.col("id").alias("entity"), text.alias("target"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    got = G.resolve_entities(local, bindings, none("old_id string, new_id string"), none("id string"), registry, none("legacy_id string, id string"))
+    return got.select("entity", "how", F.when(F.col("how") != "new", F.col("target")).alias("target"))
+
+
+@query("""WITH p AS (SELECT lower(trim(c_name)) AS k, min(c_custkey) AS id FROM customer GROUP BY 1) SELECT c_custkey AS entity, CASE WHEN c_custkey % 2 = 0 THEN CAST(p.id AS VARCHAR) ELSE 'e:' || lower(trim(c_name)) END AS global_id FROM customer JOIN p ON lower(trim(c_name)) = p.k""")
+def older_name_resolution(spark, d):
+    """Names of persons against the library, other kinds by name."""
+    c = V.table(spark, d, "customer")
+    local = c.select(F.lit(1).alias("note_id"), F.col("c_custkey").alias("entity"), F.when(F.col("c_custkey") % 2 == 0, "person").otherwise("org").alias("kind"), F.col("c_name").alias("name"))
+    people = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.expr("cast(array() as array<string>)").alias("aliases"))
+    return G.resolve_names(local, people).select("entity", "global_id")
+
+
+@query(f"WITH {V.NE}, {V.ENT} SELECT 'notes' AS part, CAST(note_id AS VARCHAR) AS item, mention_count AS n FROM ne WHERE entity_id = 5 UNION ALL SELECT 'with', CAST(y.entity_id AS VARCHAR), count(*) FROM ne x JOIN ne y ON x.note_id = y.note_id WHERE x.entity_id = 5 AND y.entity_id <> 5 GROUP BY 2 UNION ALL SELECT 'name', name, (SELECT count(*) FROM ne WHERE entity_id = 5) FROM ent WHERE id = 5")
+def entity_bundle(spark, d):
+    """J11, G02"""
+    head, notes, others = G.entity_detail(V.entities(spark, d), V.note_entities(spark, d), 5)
+    row = lambda df, part, item, n: df.select(F.lit(part).alias("part"), F.col(item).cast("string").alias("item"), F.col(n).cast("long").alias("n"))
+    return row(notes, "notes", "note_id", "mention_count").unionByName(row(others, "with", "entity_id", "weight")).unionByName(row(head, "name", "name", "note_count"))
+
+
+@query(f"WITH {_REL}, r AS (SELECT subject_id // (subject_id & (-subject_id)) + 1000000 AS s, object_id AS o FROM full_rel) SELECT s AS subject_id, o AS object_id, count(*) AS n FROM r WHERE s = 1000003 GROUP BY 1, 2")
+def entity_edges(spark, d):
+    """Edges at a supplier after redirects, of which every even one has gone to its half."""
+    e = _relations(spark, d).select((F.col("subject_id") + 1_000_000).alias("subject_id"), "object_id")
+    ids = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).where("k % 2 = 0")
+    to = ids.select((F.col("k") + 1_000_000).alias("old_id"), (F.expr("k div 2") + 1_000_000).alias("new_id"))
+    return G.incident_edges(e, to, 1_000_003).groupBy("subject_id", "object_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id AS id FROM events WHERE (json_extract_string(props, '$.k') IS NULL OR json_extract_string(props, '$.k') IN ('1', '2', '3'))""")
+def pending_filter(spark, d):
+    """A predicate rejects only payloads that have the field."""
+    p = V.table(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.regexp_replace("props", '"k"', '"predicate"').alias("payload"))
+    return G.pending_review(p, predicates=["1", "2", "3"]).select("id")

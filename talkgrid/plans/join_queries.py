@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talkgrid.functions import rules as R
 from talkgrid.functions import vector as M
 from talkgrid.operators import joins as J
+from talkgrid.operators import people as P
 from talkgrid.operators import windows as W
 from talkgrid.plans import views as V
 from talkgrid.plans.registry import query
@@ -37,11 +39,13 @@ def paragraph_speakers(spark, d):
     return J.paragraph_speakers(p, s)
 
 
-@query("SELECT c.c_nationkey AS person_id, count(DISTINCT o.o_orderkey) AS notes FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1")
+@query('SELECT CAST(-1 - c.c_nationkey AS BIGINT) AS person_id, count(DISTINCT o.o_orderkey) AS notes FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1')
 def notes_of_people(spark, d):
-    """J18"""
-    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("person_id"))
-    return V.table(spark, d, "orders").join(c, "o_custkey").groupBy("person_id").agg(F.countDistinct("o_orderkey").alias("notes"))
+    """Nations stand for the people that customers are redirected to."""
+    c = V.table(spark, d, "customer")
+    to = c.select(F.col("c_custkey").alias("old_id"), (-1 - F.col("c_nationkey")).cast("long").alias("new_id"))
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("note_id"), F.col("o_custkey").cast("long").alias("person_id"))
+    return P.notes_of_people(o, to)
 
 
 @query(f"""WITH {_TWO}, p AS (SELECT a.note_id, a.seq, b.speaker, b.seq AS o, a.source = b.source AS same, {_SHARE} / (a.end_ms - a.start_ms) AS share FROM a JOIN b ON a.note_id = b.note_id AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms),
@@ -82,32 +86,19 @@ def calendar_matches(spark, d):
     return J.best_event(n, e)
 
 
-@query("""WITH c AS (SELECT c_custkey AS id, lower(trim(c_name)) AS n, lower(trim(c_mktsegment || CAST(c_nationkey AS VARCHAR))) AS e FROM customer), m AS (SELECT x.id AS attendee_id, y.id AS person_id, 1 AS rank FROM c x JOIN c y ON x.e = y.e WHERE y.id % 7 = 0 UNION ALL SELECT x.id, y.id, 2 FROM c x JOIN c y ON x.n = y.n WHERE y.id % 7 = 0)
-SELECT attendee_id, arg_min(person_id, rank * 1000000000 + person_id) AS person_id FROM m GROUP BY 1""")
-def attendee_people(spark, d):
-    """Every seventh customer stands for the people."""
-    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("email"))
-    return J.attendee_people(c.withColumnRenamed("id", "attendee_id"), c.where("id % 7 = 0"))
-
 
 @query("""WITH c AS (SELECT c_custkey AS id, lower(trim(c_name)) AS n, lower(trim(c_mktsegment || CAST(c_nationkey AS VARCHAR))) AS e FROM customer), m AS (SELECT x.id AS attendee_id, y.id AS person_id, 1 AS rank FROM c x JOIN (SELECT e, min(id) AS id FROM c GROUP BY 1) y ON x.e = y.e UNION ALL SELECT x.id, y.id, 2 FROM c x JOIN (SELECT n, min(id) AS id FROM c GROUP BY 1) y ON x.n = y.n)
 SELECT attendee_id, arg_min(person_id, rank * 1000000000 + person_id) AS person_id FROM m GROUP BY 1""")
-def attendee_people_whole(spark, d):
+def attendee_people(spark, d):
     """All customers are people."""
     c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("email"))
     return J.attendee_people(c.withColumnRenamed("id", "attendee_id"), c)
 
 
-@query("""WITH e AS (SELECT event_id, user_id % 3 AS source, event_id * 1000 AS t FROM events), p AS (SELECT event_id AS position_id, user_id % 3 AS source, event_id * 1000 + 300 AS pos FROM events WHERE event_id % 9 = 0), j AS (SELECT e.event_id, p.position_id, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(t - pos), pos, p.position_id) AS k FROM e JOIN p ON e.source = p.source AND abs(t - pos) <= 20000) SELECT event_id, position_id FROM j WHERE k = 1""")
-def nearest_positions(spark, d):
-    """J34, of positions within 20 s, as its SQL has them; ``nearest_positions_whole`` has no such bound."""
-    e, p = _timeline(spark, d)
-    return J.nearest_position(e, p, 20_000).where("apart <= 20000").select("event_id", "position_id")
-
 
 @query("""WITH e AS (SELECT event_id, user_id % 3 AS source, event_id * 1000 AS t FROM events), p AS (SELECT event_id AS position_id, user_id % 3 AS source, event_id * 1000 + 300 AS pos FROM events WHERE event_id % 9 = 0), x AS (SELECT e.event_id, e.source, t, p.position_id AS before_id, t - pos AS before_ms FROM e ASOF LEFT JOIN p ON e.source = p.source AND t >= pos), y AS (SELECT e.event_id, p.position_id AS after_id, pos - t AS after_ms FROM e ASOF LEFT JOIN p ON e.source = p.source AND t <= pos)
 SELECT event_id, CASE WHEN after_ms IS NULL OR before_ms <= after_ms THEN before_id ELSE after_id END AS position_id FROM x JOIN y USING (event_id)""")
-def nearest_positions_whole(spark, d):
+def nearest_positions(spark, d):
     """At any distance; every event has a row."""
     return J.nearest_position(*_timeline(spark, d), 20_000).select("event_id", "position_id")
 
@@ -138,24 +129,16 @@ def tidy_queue(spark, d):
 @query("SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def people_without_samples(spark, d):
     """A25, J38"""
-    o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return V.table(spark, d, "customer").join(o, "c_custkey", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    people = V.table(spark, d, "customer").select(F.col("c_custkey").alias("person_id"))
+    samples = V.table(spark, d, "orders").select(F.col("o_custkey").alias("person_id"))
+    return P.without_samples(people, samples).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH a AS (SELECT l_partkey AS person_id, l_suppkey AS cluster, max(l_extendedprice) AS sim FROM lineitem WHERE l_suppkey <= 3 GROUP BY 1, 2), t AS (SELECT person_id, [0, cluster, n] AS o FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, person_id) AS n FROM a) WHERE n <= 5),
-b AS (SELECT p_partkey AS person_id, [1, -p_size, 0] AS o FROM (SELECT * FROM part ORDER BY p_size DESC, p_partkey LIMIT 10)), c AS (SELECT p_partkey AS person_id, [2, p_partkey, 0] AS o FROM part WHERE p_partkey % 50 = 0)
-SELECT person_id FROM (SELECT person_id, min(o) AS o FROM (SELECT * FROM t UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1) ORDER BY o, person_id LIMIT 30""")
-def identity_candidates(spark, d):
-    """O07, V14"""
-    a = V.table(spark, d, "lineitem").where("l_suppkey <= 3").groupBy(F.col("l_partkey").alias("person_id"), F.col("l_suppkey").alias("cluster")).agg(F.max("l_extendedprice").alias("sim"))
-    p = V.table(spark, d, "part")
-    return J.candidates(a, p.select(F.col("p_partkey").alias("person_id"), F.col("p_size").alias("seen")), p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("person_id"))).select("person_id")
-
 
 @query("""WITH a AS (SELECT l_partkey AS person_id, l_suppkey AS cluster, max(l_extendedprice) AS sim FROM lineitem GROUP BY 1, 2), t AS (SELECT person_id, [0, cluster, n] AS o FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, person_id) AS n FROM a) WHERE n <= 5),
 b AS (SELECT p_partkey AS person_id, [1, -p_size, 0] AS o FROM (SELECT * FROM part ORDER BY p_size DESC, p_partkey LIMIT 10)), c AS (SELECT p_partkey AS person_id, [2, p_partkey, 0] AS o FROM part)
 SELECT person_id FROM (SELECT person_id, min(o) AS o FROM (SELECT * FROM t UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1) ORDER BY o, person_id LIMIT 30""")
-def identity_candidates_whole(spark, d):
+def identity_candidates(spark, d):
     """All suppliers are clusters, all parts adopted; the 30 first are the operator's result."""
     a = V.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("person_id"), F.col("l_suppkey").alias("cluster")).agg(F.max("l_extendedprice").alias("sim"))
     p = V.table(spark, d, "part")
@@ -171,35 +154,31 @@ def first_seen_entities(spark, d):
     return J.first_seen_entities(rows).withColumn("aliases", F.array_join("aliases", ","))
 
 
-@query("SELECT l_orderkey AS note_id, l_partkey AS entity_id FROM lineitem WHERE l_linenumber <= 3 EXCEPT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'")
-def mentions_without_support(spark, d):
-    """U07"""
-    t = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note_id"), F.col("l_partkey").alias("entity_id"), "l_linenumber", "l_returnflag")
-    support = t.where("l_returnflag = 'R'").select("note_id", "entity_id")
-    return t.where("l_linenumber <= 3").select("note_id", "entity_id").join(support, ["note_id", "entity_id"], "left_anti").distinct()
-
 
 @query("SELECT l_orderkey AS note_id, l_partkey AS entity_id FROM lineitem EXCEPT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'")
-def mentions_without_support_whole(spark, d):
-    """Mentions of all lines."""
+def mentions_without_support(spark, d):
+    """U07"""
     t = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note_id"), F.col("l_partkey").alias("entity_id"), "l_returnflag")
-    support = t.where("l_returnflag = 'R'").select("note_id", "entity_id")
-    return t.select("note_id", "entity_id").join(support, ["note_id", "entity_id"], "left_anti").distinct()
+    return P.without_support(t, t.where("l_returnflag = 'R'"), ["note_id", "entity_id"])
 
 
-@query("""SELECT user_id, len(a) AS anomalies, array_to_string(a, ',') AS kinds FROM (SELECT user_id, list_filter(['high' , 'many'], lambda k: (k = 'high' AND max(value) > 400) OR (k = 'many' AND count(*) >= 12)) AS a FROM events GROUP BY user_id)""".replace("lambda k: (k = 'high' AND max(value) > 400) OR (k = 'many' AND count(*) >= 12)", "lambda k: (k = 'high' AND m > 400) OR (k = 'many' AND n >= 12)").replace("FROM events GROUP BY user_id)", "FROM (SELECT user_id, max(value) AS m, count(*) AS n FROM events GROUP BY user_id))"))
+@query("WITH e AS (SELECT user_id, max(value) AS m, count(*) AS n FROM events GROUP BY 1), s AS (SELECT user_id // 2 AS session, CASE WHEN user_id % 2 = 0 THEN 'mic' ELSE 'system' END AS source, m, n, list_filter([CASE WHEN abs(m) > 200 THEN 'rate_ppm_high' END, CASE WHEN n >= 12 THEN 'quality_degraded' END, CASE WHEN n % 7 > 3 THEN 'reanchors_high' END, CASE WHEN n % 9 >= 6 THEN 'declared_rate_untrusted' END], lambda x: x IS NOT NULL) AS a FROM e)\nSELECT session, coalesce(string_agg(array_to_string(list_transform(a, lambda x: source || ':' || x), ','), ',' ORDER BY source) FILTER (len(a) > 0), '') AS anomalies, round(max(CASE WHEN source = 'mic' AND n % 2 = 0 THEN m END) - max(CASE WHEN source = 'system' AND n % 2 = 0 THEN m END), 6) AS rel_ppm FROM s GROUP BY 1")
 def drift_anomalies(spark, d):
-    """Rules that apply, in their order."""
-    g = V.table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("m"), F.count(F.lit(1)).alias("n"))
-    rules = F.array_compact(F.array(F.when(F.col("m") > 400, "high"), F.when(F.col("n") >= 12, "many")))
-    return g.select("user_id", F.size(rules).cast("long").alias("anomalies"), F.array_join(rules, ",").alias("kinds"))
+    """Two users in turn are the sources of a session."""
+    e = V.table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("m"), F.count(F.lit(1)).alias("n"))
+    half, u = F.expr("user_id div 2"), F.col("user_id")
+    s = e.select(half.alias("session"), F.when(u % 2 == 0, "mic").otherwise("system").alias("source"), F.col("m").alias("rate_ppm"), F.when(F.col("n") >= 12, "degraded").otherwise("fine").alias("quality"), (F.col("n") % 7).alias("reanchors"), (F.col("n") % 9).cast("double").alias("burst_per_min"), (F.col("n") % 2 == 0).alias("converged"))
+    return P.drift_report(s).select("session", F.array_join("anomalies", ",").alias("anomalies"), F.round("rel_ppm", 6).alias("rel_ppm"))
 
 
-@query("SELECT p_partkey AS id, regexp_matches(p_name, '^[A-Za-z][A-Za-z0-9 _-]*$') AS valid, CASE WHEN regexp_matches(p_brand, '^[a-z]{2,3}(-[A-Z]{2})?$') THEN p_brand ELSE 'unknown' END AS locale, regexp_extract(p_name, '[0-9][0-9.]{0,15}') AS version FROM part")
+@query("SELECT p_partkey AS id, ['zh-Hans-CN', 'en', 'unknown', 'unknown', 'unknown'][p_partkey % 5 + 1] AS locale, ['14.5.1', '7', 'unknown', '1.2.3.4.5.6.7.8.'][p_partkey % 4 + 1] AS version, p_partkey % 6 IN (0, 4) AS valid, p_partkey % 3 = 0 AS since, p_partkey % 3 <> 1 AS passes, p_partkey % 4 IN (0, 2) AS default_title FROM part")
 def shape_checks(spark, d):
-    """X31, X32, X38, F28"""
+    """Made-up texts of every kind."""
+    i = F.col("id")
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (i % len(x) + 1).cast("int"))
     p = V.entities(spark, d)
-    return p.select("id", F.col("name").rlike("^[A-Za-z][A-Za-z0-9 _-]*$").alias("valid"), F.when(F.col("kind").rlike("^[a-z]{2,3}(-[A-Z]{2})?$"), F.col("kind")).otherwise("unknown").alias("locale"), F.regexp_extract("name", "[0-9][0-9.]{0,15}", 0).alias("version"))
+    name = F.concat(pick("2024", "2023", "note"), pick("0229", "0230", "1301"), pick("", "-235959", "-240000"))
+    return p.select("id", R.locale(pick("zh_Hans-CN", "en", "e", "ALICE_PRIVATE_THING", "en-419-x")).alias("locale"), R.os_version(pick("14.5.1 (x)", "..7", "Unknown", "1.2.3.4.5.6.7.8.9.10")).alias("version"), R.valid_note_id(pick("a", "", "a/b", "..", "a.b", "a\\b")).alias("valid"), R.valid_since(name).alias("since"), R.since_passes(name, "20240101").alias("passes"), R.is_default_title(pick("周二晚上的会议 2", "周二晚上的会议 b", "2024-01-02 03:04 会议", "x")).alias("default_title"))
 
 
 @query("SELECT x.vec_id, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: abs((CAST(p[1] AS DOUBLE) * 2 + CAST(p[2] AS DOUBLE)) / 3))), 4) AS level FROM embeddings x JOIN embeddings y ON x.vec_id = y.vec_id + 1")
@@ -211,48 +190,49 @@ def weighted_merge(spark, d):
     return j.select("vec_id", F.round(F.aggregate(m, F.lit(0.0), lambda s, z: s + F.abs(z)), 4).alias("level"))
 
 
-@query("""SELECT event_id, round(least(1000 * pow(2, event_id % 12), 60000), 3) AS back_off, round(1127 * ln(1 + value / 700), 6) AS mel, round(pow(greatest(0, value / 500 - 0.12) / 0.88, 0.7), 6) AS bar FROM events WHERE value >= 0""")
+@query('SELECT event_id, CASE WHEN event_id % 11 * 10000 >= 60000 THEN 1000 ELSE least(event_id % 40 * 1000, 30000) END AS back_off, round(2595 * log10(1 + value / 700), 5) AS mel, 0 AS there_and_back, round(pow(greatest(0, value / 500 - 0.12) / 0.88, 0.7), 6) AS bar, CAST(ceil(ln(0.001) / ln(1 - (0.02 + event_id % 7 / 100.0))) AS BIGINT) AS ticks FROM events WHERE value >= 0')
 def scalar_curves(spark, d):
-    """M08, M17, M22"""
-    v = F.col("value")
-    return V.table(spark, d, "events").where("value >= 0").select("event_id", F.round(F.least(1000 * F.pow(F.lit(2), F.col("event_id") % 12), F.lit(60000)), 3).alias("back_off"), F.round(1127 * F.log(1 + v / 700), 6).alias("mel"), F.round(F.pow(F.greatest(F.lit(0), v / 500 - 0.12) / 0.88, F.lit(0.7)), 6).alias("bar"))
+    """M08, M17, M22, N47"""
+    v, i = F.col("value"), F.col("event_id")
+    return V.table(spark, d, "events").where("value >= 0").select("event_id", R.next_back_off((i % 40) * 500, (i % 11) * 10_000).alias("back_off"), F.round(R.hz_to_mel(v), 5).alias("mel"), F.round(R.mel_to_hz(R.hz_to_mel(v)) - v, 3).alias("there_and_back"), F.round(R.bar_height(v / 500), 6).alias("bar"), R.tick_budget(0.02 + i % 7 / 100.0).alias("ticks"))
 
 
-@query("SELECT conv_id, len(list_filter(range(1, len(t)), lambda i: t[i + 1] <= t[i])) = 0 AS canonical, array_to_string(t, ',') AS turns FROM (SELECT conv_id, list(turn ORDER BY turn) AS t FROM conversations GROUP BY 1)")
+@query("SELECT conv_id, conv_id % 3 <> 0 AS canonical, '[' || array_to_string(t, ',') || ']' AS turns FROM (SELECT conv_id, list(DISTINCT turn ORDER BY turn) AS t FROM conversations GROUP BY 1)")
 def canonical_sets(spark, d):
-    """Strictly rising arrays."""
-    g = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"))
-    falls = F.exists(F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t")), lambda a, b: b <= a), lambda x: x)
-    return g.select("conv_id", (~falls).alias("canonical"), F.array_join(F.col("t").cast("array<string>"), ",").alias("turns"))
+    """Strictly rising arrays; every third conversation has its first turn again at the end."""
+    g = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("turn")).alias("t"))
+    t = F.when(F.col("conv_id") % 3 == 0, F.concat("t", F.slice("t", 1, 1))).otherwise(F.col("t"))
+    return g.select("conv_id", R.canonical_set(t).alias("canonical"), R.json_array(t).alias("turns"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, user_id % 7 AS colour FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a|' || event_type ELSE '' END AS list, CASE WHEN event_id % 2 = 0 THEN 4 ELSE 0 END AS colour FROM events")
 def json_values(spark, d):
-    """M18, N48"""
-    p = F.from_json("props", "k int")
-    return V.table(spark, d, "events").select("event_id", p["k"].alias("k"), (F.col("user_id") % 7).alias("colour"))
+    """Arrays from JSON text, and colours of kinds in and out of the list."""
+    i = F.col("event_id")
+    text = F.when(i % 3 == 0, F.concat(F.lit('["a","'), "event_type", F.lit('"]'))).when(i % 3 == 1, F.lit("[")).otherwise("event_type")
+    kind = F.when(i % 2 == 0, "product").otherwise("zebra")
+    return V.table(spark, d, "events").select("event_id", F.array_join(R.json_strings(text), "|").alias("list"), R.colour_index(kind).alias("colour"))
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS new_index FROM conversations WHERE turn % 4 <> 1")
 def index_remap(spark, d):
     """Old to new positions after deletions."""
-    from pyspark.sql import Window
+    c = V.table(spark, d, "conversations").where("turn % 4 <> 1").select("conv_id", "turn")
+    return P.index_remap(c, "conv_id", "turn")
 
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return V.table(spark, d, "conversations").where("turn % 4 <> 1").select("conv_id", "turn", n.cast("long").alias("new_index"))
 
-
-@query(f"WITH {V.SEG} SELECT note_id, CASE WHEN bad = 0 THEN 'done' WHEN bad < n THEN 'partial' ELSE 'failed' END AS outcome FROM (SELECT note_id, count(*) AS n, count(*) FILTER (seq % 3 = 2) AS bad FROM seg GROUP BY 1)")
+@query(f"WITH {V.SEG} SELECT note_id, CASE WHEN note_id % 4 = 0 THEN 'failed' WHEN note_id % 4 = 1 AND count(*) FILTER (seq % 3 = 2) > 0 THEN 'partial' WHEN note_id % 4 = 2 THEN 'done with relation errors' ELSE 'done' END AS outcome, coalesce(string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FILTER (note_id % 4 = 0 OR (note_id % 4 = 1 AND seq % 3 = 2)), '') AS failed FROM seg GROUP BY 1")
 def chunk_outcomes(spark, d):
     """N32"""
-    g = V.segments(spark, d).groupBy("note_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seq") % 3 == 2).alias("bad"))
-    return g.select("note_id", F.when(F.col("bad") == 0, "done").when(F.col("bad") < F.col("n"), "partial").otherwise("failed").alias("outcome"))
+    i, s = F.col("note_id"), V.segments(spark, d)
+    error = F.when(i % 4 == 0, "network").when((i % 4 == 1) & (F.col("seq") % 3 == 2), "content")
+    return P.chunk_outcomes(s.select("note_id", F.col("seq").alias("chunk"), error.alias("error"), (i % 4 == 2).alias("relation_error"))).select("note_id", "outcome", F.array_join(F.col("failed").cast("array<string>"), ",").alias("failed"))
 
 
-@query(f"WITH {V.SEG} SELECT coalesce(x.note_id, y.note_id) AS note_id, coalesce(x.speaker, y.speaker) AS speaker, greatest(coalesce(x.n, 0), coalesce(y.n, 0)) AS n FROM (SELECT note_id, speaker, count(*) AS n FROM seg WHERE seq % 2 = 0 GROUP BY 1, 2) x FULL JOIN (SELECT note_id, speaker, count(*) AS n FROM seg WHERE seq % 2 = 1 GROUP BY 1, 2) y ON x.note_id = y.note_id AND x.speaker = y.speaker")
+@query(f"WITH {V.SEG}, x AS (SELECT note_id, speaker, count(*) AS n FROM seg WHERE seq % 2 = 0 GROUP BY 1, 2), y AS (SELECT note_id, speaker, count(*) AS n FROM seg WHERE seq % 2 = 1 GROUP BY 1, 2) SELECT note_id, speaker AS speaker_id, CASE WHEN x.n IS NULL THEN '' ELSE 'name of ' || speaker END AS name, concat_ws(',', CASE WHEN y.n IS NOT NULL THEN 'mic' END, CASE WHEN x.n IS NOT NULL THEN 'system' END) AS sources, greatest(coalesce(x.n, 0), coalesce(y.n, 0)) AS \"count\" FROM x FULL JOIN y USING (note_id, speaker)")
 def speaker_sync(spark, d):
-    """Add-only upsert of two speaker tables."""
-    s = V.segments(spark, d)
-    half = lambda k, c: s.where(F.col("seq") % 2 == k).groupBy("note_id", "speaker").agg(F.count(F.lit(1)).alias(c))
-    j = half(0, "x").join(half(1, "y"), ["note_id", "speaker"], "full")
-    return j.select("note_id", "speaker", F.greatest(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))).alias("n"))
+    """Add-only upsert of the speakers of odd turns into those of even ones."""
+    s = V.segments(spark, d).where("speaker is not null")
+    half = lambda k: s.where(F.col("seq") % 2 == k).groupBy("note_id", F.col("speaker").alias("speaker_id")).agg(F.count(F.lit(1)).alias("count"), F.array(F.lit("mic" if k else "system")).alias("sources"))
+    known = half(0).withColumn("name", F.concat(F.lit("name of "), "speaker_id"))
+    return P.sync_speakers(known, half(1)).select("note_id", "speaker_id", "name", F.array_join("sources", ",").alias("sources"), "count")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talkgrid.functions import rules as R
 from talkgrid.functions import text as T
 from talkgrid.functions import timefn as D
 from talkgrid.operators import notes as N
+from talkgrid.operators import people as P
 from talkgrid.plans import views as V
 from talkgrid.plans.registry import query
 
@@ -55,7 +57,7 @@ def note_search_first_notes(spark, d):
 @query(f"WITH {V.SEG} SELECT note_id, max(end_ms) AS duration_ms FROM seg GROUP BY 1")
 def note_duration(spark, d):
     """A04"""
-    return V.segments(spark, d).groupBy("note_id").agg(F.max("end_ms").alias("duration_ms"))
+    return N.last_spoken(V.segments(spark, d))
 
 
 @query(f"""WITH {V.SEG}, {V.NOTES}, n AS (SELECT id, CASE WHEN state = 'F' THEN 'complete' ELSE 'recording' END AS state FROM notes)
@@ -95,39 +97,24 @@ def duration_labels(spark, d):
     return V.notes(spark, d).select("id", D.duration_bucket(s).alias("bucket"), T.human_duration(s).alias("label"))
 
 
-@query("SELECT speaker, segments, notes FROM (SELECT role AS speaker, count(*) AS segments, count(DISTINCT conv_id) AS notes FROM conversations GROUP BY 1) ORDER BY segments DESC, speaker")
+@query('SELECT c_custkey AS person_id, count(o_orderkey) AS segments, count(DISTINCT o_orderkey) AS notes FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1')
 def speaker_list(spark, d):
-    """J19"""
-    s = V.segments(spark, d)
-    return s.groupBy("speaker").agg(F.count(F.lit(1)).alias("segments"), F.countDistinct("note_id").alias("notes")).orderBy(F.desc("segments"), "speaker")
+    """Customers are people, orders are where they appear."""
+    people = V.table(spark, d, "customer").select(F.col("c_custkey").alias("person_id"))
+    o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("note_id"))
+    return P.speaker_list(people, o)
 
 
-@query("SELECT conv_id AS note_id, turn AS seq, CASE WHEN role = 'user' THEN 'Me' WHEN role IS NULL THEN 'Unknown' ELSE role || ' ' || CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY role) AS VARCHAR) END AS label FROM conversations")
+@query("SELECT conv_id AS note_id, turn AS seq, CASE WHEN turn % 5 <> 0 AND role IS NOT NULL THEN CASE WHEN role = 'user' THEN 'Ann' ELSE '说话人 ' || role END WHEN turn % 2 = 0 THEN '我' ELSE '对方' END AS label FROM conversations")
 def segment_labels(spark, d):
-    """X26"""
-    from pyspark.sql import Window
-
-    rank = F.dense_rank().over(Window.partitionBy("note_id").orderBy("speaker"))
-    s = V.segments(spark, d)
-    return s.select("note_id", "seq", F.when(F.col("speaker") == "user", "Me").when(F.col("speaker").isNull(), "Unknown").otherwise(F.concat_ws(" ", "speaker", rank.cast("string"))).alias("label"))
+    """Users have a name, systems none, and missing speakers go by source."""
+    s = V.segments(spark, d).withColumns({"source": F.when(F.col("seq") % 2 == 0, "mic").otherwise("system"), "speaker": F.when(F.col("seq") % 5 != 0, F.concat(F.lit("S"), "speaker"))})
+    names = s.where("speaker is not null").select("note_id", F.col("speaker").alias("speaker_id")).distinct().withColumn("name", F.when(F.col("speaker_id") == "Suser", "Ann").otherwise(""))
+    return N.labelled_segments(s, names).select("note_id", "seq", "label")
 
 
-@query("SELECT event_id, event_type, ts, value FROM events WHERE event_type IN ('click', 'purchase') AND strftime(ts, '%Y-%m-%dT%H:%M:%S') >= '2024' ORDER BY event_id DESC LIMIT 500")
+@query("SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type AS kind, user_id AS note_id FROM events WHERE event_type = 'click' AND strftime(ts, '%Y-%m-%dT%H:%M:%S') >= '2024' ORDER BY 2 DESC, 1 DESC LIMIT 500")
 def log_filter(spark, d):
     """newest 500 of a kind, bounds as text."""
-    e = V.table(spark, d, "events").where(F.col("event_type").isin("click", "purchase") & (F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss") >= "2024"))
-    return e.orderBy(F.desc("event_id")).limit(500).select("event_id", "event_type", "ts", "value")
-
-
-@query("SELECT doc_id, coalesce(source, 'none') AS title FROM documents WHERE CAST(doc_id AS VARCHAR) NOT SIMILAR TO '[0-9]{8}.*' OR substr(CAST(doc_id AS VARCHAR), 1, 8) >= '20240101'")
-def since_prefix(spark, d):
-    """names that start with no date pass."""
-    name = F.col("doc_id").cast("string")
-    return V.table(spark, d, "documents").where(~name.rlike("^[0-9]{8}") | (F.substring(name, 1, 8) >= "20240101")).select("doc_id", F.coalesce("source", F.lit("none")).alias("title"))
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NULL OR CAST(json_extract_string(props, '$.k') AS INT) < 50")
-def json_filter(spark, d):
-    """a predicate rejects only rows that have the field."""
-    k = F.coalesce(F.get_json_object("props", "$.k"), F.get_json_object("props", "$.missing"))
-    return V.table(spark, d, "events").select("event_id", k.alias("k")).where(F.col("k").isNull() | (F.col("k").cast("int") < 50))
+    e = V.table(spark, d, "events").select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col("event_type").alias("kind"), F.col("user_id").alias("note_id"))
+    return N.log_entries(e, kind="click", low="2024", limit=9000)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkgrid.functions import spans as S
+from talkgrid.functions import text as T
 from talkgrid.functions import vector as M
 from talkgrid.operators import signal as G
 from talkgrid.plans import views as V
@@ -92,10 +93,12 @@ def band_scores(spark, d):
     return G.normalise_bands(e, "event_type", "band", "value").select("event_id", F.round("z", 5).alias("z"))
 
 
-@query("SELECT p_partkey AS id, lower(trim(p_name)) AS k FROM part")
+@query("SELECT p_partkey AS id, ['strasse ', 'οδοσ', 'fin', 'é'][p_partkey % 4 + 1] || CAST(p_partkey % 10 AS VARCHAR) AS k FROM part")
 def folded_keys(spark, d):
-    """Names here have no letters that fold to more than their lower case."""
-    return V.entities(spark, d).select("id", S.folded_key("name").alias("k"))
+    """Names with letters that fold to more than their lower case."""
+    i = F.col("id")
+    name = F.concat(F.element_at(F.array(*map(F.lit, (" Straße ", "ΟΔΟΣ", "ﬁn", "É"))), (i % 4 + 1).cast("int")), (i % 10).cast("string"))
+    return V.entities(spark, d).select("id", S.folded_key(name).alias("k"))
 
 
 @query("SELECT item_id, (length(text) - length(replace(text, 'th', ''))) // 2 AS n FROM benchmark")
@@ -114,10 +117,12 @@ def mentions(spark, d):
 @query(None)
 def page_privacy(spark, d):
     """X16, X17, X18, X19, X20"""
-    return V.table(spark, d, "pages").select("page_id", F.md5(S.redacted("html")).alias("clean"))
+    return V.table(spark, d, "pages").select("page_id", F.md5(T.redact(F.col("html"))).alias("clean"))
 
 
-@query("SELECT c_custkey AS id, c_name || '-2026.md' AS name FROM customer")
+@query("SELECT c_custkey AS id, ['abcd', 'CON_', 'x.', 'note', 'qq', repeat('日', 53)][c_custkey % 6 + 1] || '-2026.md' AS name FROM customer")
 def export_names(spark, d):
-    """X28"""
-    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), S.safe_name("c_name", F.lit("-2026.md")).alias("name"))
+    """Illegal characters, reserved names, dots and blanks at the end, and long titles."""
+    i = F.col("c_custkey")
+    title = F.element_at(F.array(*map(F.lit, ("a/b\\c:d", "CON", "x. . ", "", "q?*<>|\"q", "日" * 90))), (i % 6 + 1).cast("int"))
+    return V.table(spark, d, "customer").select(i.alias("id"), S.safe_name(title, F.lit("-2026.md")).alias("name"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from talkgrid.functions import text as T
 from talkgrid.operators import evaluation as E
 from talkgrid.operators import windows as W
+from talkgrid.operators import people as P
 from talkgrid.plans import views as V
 from talkgrid.plans.registry import query
 
@@ -181,10 +182,11 @@ def nearest_rank(spark, d):
     return E.nearest_rank(V.table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
-@query("""SELECT user_id, count(*) AS sessions, count(*) FILTER (value > 200) AS degraded, round(max(value), 6) AS worst FROM events GROUP BY 1""")
+@query('SELECT user_id AS device, count(*) AS sessions, count(*) FILTER (value > 200) AS degraded, CAST(sum(event_id % 3) AS BIGINT) AS reanchors, round(max(abs(value)), 6) AS worst FROM events GROUP BY 1')
 def drift_distribution(spark, d):
-    """A13"""
-    return V.table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("value") > 200).alias("degraded"), F.round(F.max("value"), 6).alias("worst"))
+    """Users stand for devices."""
+    e = V.table(spark, d, "events").select(F.col("user_id").alias("device"), (F.col("value") > 200).alias("degraded"), (F.col("event_id") % 3).alias("reanchors"), F.col("value").alias("rate_ppm"))
+    return P.drift_distribution(e).select("device", "sessions", "degraded", "reanchors", F.round("worst", 6).alias("worst"))
 
 
 @query("""SELECT event_type, count(*) AS rows, count(*) FILTER (props IS NOT NULL) AS scored, round(sum(value) / sum(1 + user_id % 7), 6) AS rtf FROM events GROUP BY 1""")

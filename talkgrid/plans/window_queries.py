@@ -33,8 +33,7 @@ def speaker_runs(spark, d):
 @query(f"WITH {V.SEG}, r AS (SELECT note_id, seq, row_number() OVER (PARTITION BY note_id ORDER BY start_ms, seq) AS n FROM seg) SELECT note_id, seq, n FROM r WHERE n BETWEEN 2 AND 4")
 def range_selection(spark, d):
     """W04"""
-    n = F.row_number().over(Window.partitionBy("note_id").orderBy("start_ms", "seq"))
-    return V.segments(spark, d).select("note_id", "seq", n.cast("long").alias("n")).where("n between 2 and 4")
+    return W.select_range(V.segments(spark, d), "note_id", ["start_ms", "seq"], 2, 4).select("note_id", "seq", "n")
 
 
 @query(f"WITH {V.SEG}, r AS (SELECT note_id, speaker, seq, row_number() OVER (PARTITION BY note_id, speaker ORDER BY start_ms, seq) AS rank FROM seg) SELECT * FROM r WHERE rank <= 2")
@@ -85,41 +84,28 @@ def gap_islands(spark, d):
 @query("""WITH c AS (SELECT count(*) AS n FROM events), r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM events)
 SELECT max(CASE WHEN i = n // 2 THEN value END) AS median, max(CASE WHEN i = n * 9 // 10 THEN value END) AS p90 FROM r, c WHERE value IS NOT NULL""")
 def global_percentiles(spark, d):
-    """Elements n/2 and 9n/10 of the sorted values. A value's rank comes from counts of the values before it, so
-    no task sorts the whole column."""
-    counts = V.table(spark, d, "events").where("value is not null").groupBy("value").count()
-    bound = F.floor(F.col("value"))
-    per = counts.groupBy(bound.alias("b")).agg(F.sum("count").alias("n"))
-    before = per.withColumn("before", F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
-    w = Window.partitionBy("b").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = counts.withColumn("b", bound).join(before.select("b", "before"), "b").withColumn("upto", F.coalesce("before", F.lit(0)) + F.sum("count").over(w))
-    total = counts.agg(F.sum("count").alias("total"))
-    at = upto.crossJoin(F.broadcast(total))  # one row
-    pick = lambda k: F.min(F.when(F.col("upto") > k, F.col("value")))
-    return at.agg(pick(F.expr("total div 2")).alias("median"), pick(F.expr("total * 9 div 10")).alias("p90"))
+    """Elements n/2 and 9n/10 of the sorted values."""
+    return W.elements_at(V.table(spark, d, "events"), "value", {"median": (1, 2), "p90": (9, 10)})
 
 
 @query(f"""WITH {V.REL}, l AS (SELECT subject_id, object_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY least(subject_id, object_id), greatest(subject_id, object_id)) AS n FROM rel
 WINDOW w AS (PARTITION BY least(subject_id, object_id), greatest(subject_id, object_id) ORDER BY subject_id, object_id)) SELECT subject_id, object_id, i - 1 - (n - 1) / 2.0 AS lane FROM l""")
 def edge_lanes(spark, d):
     """W16"""
-    pair = Window.partitionBy(F.least("subject_id", "object_id"), F.greatest("subject_id", "object_id"))
-    r = V.relations(spark, d)
-    return r.select("subject_id", "object_id", (F.row_number().over(pair.orderBy("subject_id", "object_id")) - 1 - (F.count(F.lit(1)).over(pair) - 1) / 2.0).alias("lane"))
+    return W.edge_lanes(V.relations(spark, d), "subject_id", "object_id", ["subject_id", "object_id"]).select("subject_id", "object_id", "lane")
 
 
 @query("SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE value >= 10) WHERE n <= 5")
 def bounded_ring(spark, d):
     """The latest five of each source."""
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return V.table(spark, d, "events").where("value >= 10").select("user_id", "event_id", n.cast("long").alias("n")).where("n <= 5")
+    e = V.table(spark, d, "events").where("value >= 10")
+    return W.latest(e, "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "n")
 
 
 @query("SELECT event_id, round(value / greatest((SELECT max(value) FROM events), 0.05), 6) AS bar FROM events")
 def peak_bars(spark, d):
     """W18"""
-    e = V.table(spark, d, "events")
-    return e.crossJoin(F.broadcast(e.agg(F.max("value").alias("top")))).select("event_id", F.round(F.col("value") / F.greatest("top", F.lit(0.05)), 6).alias("bar"))
+    return W.peak_bars(V.table(spark, d, "events"), "value").select("event_id", F.round("bar", 6).alias("bar"))
 
 
 @query(f"WITH {V.SEG} SELECT a.note_id, a.seq AS seq, b.seq AS other, greatest(0, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)) AS shared_ms FROM seg a JOIN seg b ON a.note_id = b.note_id AND a.seq < b.seq AND ((a.start_ms <= b.end_ms AND b.start_ms <= a.end_ms) OR abs(a.start_ms - b.start_ms) < 5500)")
@@ -134,40 +120,34 @@ def time_near_pairs(spark, d):
 @query("""SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3""")
 def tumbling_hours(spark, d):
     """Tumbling windows by source and kind."""
-    w = F.window("ts", "1 hour")
-    return V.table(spark, d, "events").groupBy("user_id", w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select("user_id", F.col("w.start").alias("hour"), "event_type", "n", "total")
+    t = W.tumbling(V.table(spark, d, "events"), ["user_id", "event_type"], "ts", "1 hour", F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return t.select("user_id", F.col("start").alias("hour"), "event_type", "n", "total")
 
 
 @query("""WITH r AS (SELECT event_id, event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts), event_type ORDER BY ts, event_id) AS k, ts FROM events),
 t AS (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY ts, event_id) AS total FROM r WHERE k <= 5) SELECT event_id, event_type, hour FROM t WHERE total <= 50""")
 def rate_limit(spark, d):
     """Five of a kind and fifty in all an hour."""
-    e = V.table(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts"))
-    k = F.row_number().over(Window.partitionBy("hour", "event_type").orderBy("ts", "event_id"))
-    total = F.row_number().over(Window.partitionBy("hour").orderBy("ts", "event_id"))
-    return e.withColumn("k", k).where("k <= 5").withColumn("total", total).where("total <= 50").select("event_id", "event_type", "hour")
+    return W.rate_limited(V.table(spark, d, "events"), "event_type", "ts", "event_id").select("event_id", "event_type", F.col("bucket").alias("hour"))
 
 
 @query("""WITH m AS (SELECT user_id, event_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 6 * 3600 * 1000000::BIGINT THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM m) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session""")
 def silence_sessions(spark, d):
     """Sessions close after six hours of silence."""
-    e = V.table(spark, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    return e.select("user_id", F.col("s.start").alias("start"), "n")
+    return W.silence_sessions(V.table(spark, d, "events"), "user_id", "ts", "6 hours").select("user_id", "start", "n")
 
 
 @query("""SELECT user_id, max(n) AS peak FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1""")
 def burst_peak(spark, d):
     """Most events of a source within a trailing day."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.to_timestamp("ts"))).rangeBetween(-86_400_000_000, 0)
-    return V.table(spark, d, "events").select("user_id", F.count(F.lit(1)).over(w).alias("n")).groupBy("user_id").agg(F.max("n").alias("peak"))
+    return W.burst_peak(V.table(spark, d, "events"), "user_id", "ts", 86_400_000_000)
 
 
 @query("SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 10 MINUTE, ts) ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
 def down_sampled(spark, d):
     """The first value of each ten minutes."""
-    e = V.table(spark, d, "events").groupBy("user_id", F.window("ts", "10 minutes")).agg(F.min(F.struct("ts", "event_id")).alias("x"))
-    return e.select("x.event_id", "user_id", "x.ts")
+    return W.first_of_bucket(V.table(spark, d, "events"), "user_id", "ts", "event_id", "10 minutes").select("event_id", "user_id", "ts")
 
 
 @query(f"WITH {V.SEG} SELECT note_id, seq, start_ms * 16 AS first_sample, (end_ms - start_ms) * 16 AS samples FROM seg")
