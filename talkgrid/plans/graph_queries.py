@@ -317,7 +317,7 @@ def entity_bundle(spark, d):
     return row(notes, "notes", "note_id", "mention_count").unionByName(row(others, "with", "entity_id", "weight")).unionByName(row(head, "name", "name", "note_count"))
 
 
-@query(f"WITH {_REL}, r AS (SELECT subject_id // (subject_id & (-subject_id)) + 1000000 AS s, object_id AS o FROM full_rel) SELECT s AS subject_id, o AS object_id, count(*) AS n FROM r WHERE s = 1000003 GROUP BY 1, 2")
+@query(f"WITH {_REL}, r AS (SELECT CASE WHEN subject_id = 0 THEN 0 ELSE subject_id // (subject_id & (-subject_id)) END + 1000000 AS s, object_id AS o FROM full_rel) SELECT s AS subject_id, o AS object_id, count(*) AS n FROM r WHERE s = 1000003 GROUP BY 1, 2")
 def entity_edges(spark, d):
     """Edges at a supplier after redirects, of which every even one has gone to its half."""
     e = _relations(spark, d).select((F.col("subject_id") + 1_000_000).alias("subject_id"), "object_id")
