@@ -138,8 +138,8 @@ class Model:
 
 def _put(uri: str, parts: tuple, arrays: dict[str, np.ndarray]) -> None:
     """One file: the sizes of the arrays, then the arrays."""
-    raw = [np.ascontiguousarray(arrays[name], t).tobytes() for name, t in parts]
-    put_bytes(uri, np.asarray(list(map(len, raw)), np.int64).tobytes(), *raw)
+    flat = [np.ascontiguousarray(arrays[name], t).reshape(-1) for name, t in parts]
+    put_bytes(uri, np.asarray([a.nbytes for a in flat], np.int64).tobytes(), *[memoryview(a).cast("B") for a in flat if a.size])  # no copies
 
 
 def _find(a: np.ndarray, x: np.ndarray) -> np.ndarray:
