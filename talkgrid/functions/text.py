@@ -152,3 +152,14 @@ def redact(t: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(redact_paths(t), r"(?U)[\s\x1c-\x1f]+", " ")), " ")
     key = lambda w: w.rlike(r"sk-|phc_|phx_|A-SH-|[0-9a-fA-F]{32,}")
     return drop_cjk_runs(F.array_join(F.transform(words, lambda w: F.when(key(w), "<REDACTED>").otherwise(w)), " "))
+
+
+def source_hash(rows: Column) -> Column:
+    """SHA-256 over the number of paragraphs and each one's segment numbers and text, in order. rows: array of (index, seqs, text)."""
+    lines = F.transform(F.array_sort(rows), lambda r: F.concat_ws(":", r["seqs"], r["text"]))
+    return F.sha2(F.concat_ws("\n", F.size(rows).cast("string"), F.array_join(lines, "\n")), 256)
+
+
+def source_hash_lines(index: str, seqs: str, text: str) -> Column:
+    """:func:`source_hash` as an aggregate over the rows of one document."""
+    return source_hash(F.collect_list(F.struct(F.col(index).alias("index"), F.col(seqs).alias("seqs"), F.coalesce(F.col(text), F.lit("")).alias("text"))))

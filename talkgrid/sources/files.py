@@ -127,30 +127,6 @@ def folder_bytes(spark: SparkSession, root: str, pattern: str = "*.m4a") -> Data
     return files.groupBy(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("note_id")).agg(F.sum("length").alias("bytes"))
 
 
-def publish(df: DataFrame, root: str, build_id: str, keep: int = 2) -> str:
-    """Writes an immutable version and then moves the pointer to it; versions but the newest ``keep`` + 1 go."""
-    spark = df.sparkSession
-    path = f"{root}/v={build_id}"
-    df.write.mode("errorifexists").parquet(path)
-    pointer = spark.createDataFrame([(build_id, path)], "build_id string, path string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{root}/pointer.next")
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    store = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    new, now = (jvm.org.apache.hadoop.fs.Path(f"{root}/{n}") for n in ("pointer.next", "pointer"))
-    store.delete(now, True)
-    store.rename(new, now)
-    versions = sorted((s.getModificationTime(), s.getPath().toString()) for s in store.listStatus(base) if s.getPath().getName().startswith("v="))
-    for _, old in versions[: -(keep + 1)]:
-        store.delete(jvm.org.apache.hadoop.fs.Path(old), True)
-    return path
-
-
-def published(spark: SparkSession, root: str) -> DataFrame:
-    """The version that the pointer names."""
-    return spark.read.parquet(spark.read.json(f"{root}/pointer").first()["path"])
-
-
 def export_lines(df: DataFrame, path: str, order: str = "id") -> int:
     """JSON lines in ascending order; the number of lines."""
     df.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").json(path)

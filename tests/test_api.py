@@ -20,3 +20,38 @@ def test_tools_and_command_line(spark, tmp_path, capsys):
     assert store.list_speakers()[0]["name"] == "Ann"
     assert api.main(["--root", str(tmp_path), "--json", "search", "plan"]) == 0
     assert len(json.loads(capsys.readouterr().out)) == 2
+
+
+def test_tools_that_write_back(spark, tmp_path):
+    import pytest
+
+    d = tmp_path / "n1"
+    d.mkdir()
+    doc = {"revision": 3, "paragraphs": [{"text": "Ann builds Atlas with Bo.", "source_seqs": [0, 1], "speaker": "S1", "mentions": [{"id": "x"}, {"id": "y"}]}, {"text": "Bo left.", "source_seqs": [2]}], "graph_support_mentions": ["x"], "stages": {"text": "done"}}
+    (d / "aing.json").write_text(json.dumps(doc))
+    (d / "identify.json").write_text('{"revision":3,"clusters":[]}')
+    store = api.Store(spark, f"file://{tmp_path}")
+    context = store.get_aing_context("n1")
+    assert [m["id"] for m in context["paragraphs"][0]["mentions"]] == ["y"] and context["contract_version"] == api.CONTRACT and len(context["source_hash"]) == 64
+    assert not store.identify_speakers("n1")["stale"]
+    for bad in ([{"index": 2, "text": "a"}], [{"index": 0, "text": " "}], [{"index": 0, "text": "a"}, {"index": 0, "text": "b"}]):
+        with pytest.raises(ValueError):
+            store.apply_refined_texts("n1", bad)
+    assert json.loads((d / "aing.json").read_text()) == doc
+    got = store.apply_refined_texts("n1", [{"index": 1, "text": "Bo left Atlas."}], "m")
+    assert got["updated"] == 1 and got["revision"] == 4 and got["source_hash"] != context["source_hash"] and store.identify_speakers("n1")["stale"]
+    entities = [{"kind": "person", "name": "Ann"}, {"kind": "person", "name": "Bo", "aliases": ["Bob"]}, {"kind": "project", "name": "Atlas"}]
+    relation = {"subject": "ann", "object": "Atlas", "predicate": "responsible_for", "confidence": 0.9, "evidence": [{"paragraph": 0, "quote": "Ann builds Atlas"}]}
+    for change in ({"predicate": "likes"}, {"object": "Nobody"}, {"evidence": []}, {"evidence": [{"paragraph": 1, "quote": "Ann"}]}, {"confidence": 2.0}):
+        with pytest.raises(ValueError):
+            store.apply_aing_graph("n1", entities, [relation | change], api.CONTRACT, "m")
+    with pytest.raises(ValueError, match="contract"):
+        store.apply_aing_graph("n1", entities, [relation], 1, "m")
+    made = store.apply_aing_graph("n1", entities, [relation], api.CONTRACT, "m")
+    assert (made["entities"], made["relations"], made["mentions"]) == (3, 1, 5)
+    now = json.loads((d / "aing.json").read_text())
+    assert now["evidence"][0]["quote"] == "Ann builds Atlas" and len(now["evidence"][0]["mentions"]) == 2 and now["stages"]["relations"] == "done"
+    assert store.recording_status() == {"state": "not_running"} and api.Store(spark, "x", lambda op, a: {"op": op} | a).get_live_transcript(9) == {"op": "live", "tail": 9}
+    for note in ("../n1", "", "none"):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            store.get_aing_context(note)

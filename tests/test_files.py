@@ -47,10 +47,15 @@ def test_ledger_log_and_drift(spark, tmp_path):
     assert S.scan_drift(spark, str(tmp_path / "drift.json")).count() == 3
 
 
-def test_publication(spark, tmp_path):
-    root = str(tmp_path / "graph")
-    for i in range(5):
-        S.publish(spark.range(i + 1), root, f"b{i}")
-    assert S.published(spark, root).count() == 5
-    assert len([p for p in (tmp_path / "graph").iterdir() if p.name.startswith("v=")]) == 3
+def test_export(spark, tmp_path):
     assert S.export_lines(spark.range(7), str(tmp_path / "out")) == 7
+
+
+def test_people_and_documents(spark, tmp_path):
+    (tmp_path / "people.json").write_text('{"people":{"P1":{"name":"Ann","aliases":["A"]},"P2":{"name":"Bo"}}}')
+    assert sorted((r.id, r.name) for r in S.scan_people(spark, str(tmp_path / "people.json")).collect()) == [("P1", "Ann"), ("P2", "Bo")]
+    (tmp_path / "broken.json").write_text("{")
+    assert S.scan_people(spark, str(tmp_path / "broken.json")).count() == 0
+    docs = spark.createDataFrame([("a", '{"v":1}'), ("b", "[1]"), ("c", "x"), ("d", None)], "note_id string, doc string")
+    good, bad = S.parse_documents(docs, "v int")
+    assert [tuple(r) for r in good.collect()] == [("a", 1)] and sorted(r.note_id for r in bad.collect()) == ["b", "c", "d"]
