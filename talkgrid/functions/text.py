@@ -23,11 +23,23 @@ def effective(t: Column) -> Column:
     return F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
 
 
-def similarity(a: Column, b: Column, contains_min: int = 4) -> Column:
-    """1 - distance / longer length, or 1 where the shorter has ``contains_min`` characters and lies in the longer; 0 if one is empty."""
+def similarity(a: Column, b: Column, contains_min: int = 4, distance: Column | None = None) -> Column:
+    """1 - distance / longer length, or 1 where the shorter has ``contains_min`` characters and lies in the longer; 0 if one is empty.
+    ``distance``: the edit distance, where it is there already."""
     la, lb = F.char_length(a), F.char_length(b)
     inside = (F.least(la, lb) >= contains_min) & (F.contains(a, b) | F.contains(b, a))
-    return F.when((la == 0) | (lb == 0), 0.0).when(inside, 1.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(la, lb))
+    return F.when((la == 0) | (lb == 0), 0.0).when(inside, 1.0).otherwise(1 - (F.levenshtein(a, b) if distance is None else distance) / F.greatest(la, lb))
+
+
+def alike(a: Column, b: Column, least: float, contains_min: int = 4) -> Column:
+    """Whether :func:`similarity` is ``least`` at least; the distance is only counted as far as that needs."""
+    la, lb = F.char_length(a), F.char_length(b)
+    inside = (F.least(la, lb) >= contains_min) & (F.contains(a, b) | F.contains(b, a))
+    long = F.greatest(la, lb)
+    most = F.floor((1 - least) * long + 1e-9).cast("int")
+    # One threshold a call: lengths apart by more than it can't be alike, and the rest is compared up to the text's own bound.
+    close = (F.abs(la - lb) <= most) & (F.levenshtein(a, b) <= most)
+    return F.when((la == 0) | (lb == 0), F.lit(least <= 0)).otherwise(inside | close)
 
 
 def name_key(t: Column) -> Column:

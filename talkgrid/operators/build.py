@@ -224,23 +224,43 @@ def valleys(frames: DataFrame, least: float = 0.55) -> DataFrame:
 
 
 def ransac_line(points: DataFrame, tol: float, share: float = 0.4, slopes: tuple[float, float] = (0.80, 1.25)) -> DataFrame:
-    """(key, slope, inliers): the line through two of a key's knots (a short list) with the most knots near it, refitted to
-    those; none under the share. points: key, x, y."""
-    a, b, c = (points.select("key", F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y")) for s in "abc")
-    lines = a.join(b, "key").where("ax < bx").withColumn("m", (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))).where(F.col("m").between(*slopes))
-    near = lines.join(c, "key").where(F.abs(F.col("cy") - F.col("ay") - F.col("m") * (F.col("cx") - F.col("ax"))) <= tol)
-    fit = near.groupBy("key", "ax", "bx").agg(F.count(F.lit(1)).alias("inliers"), F.regr_slope("cy", "cx").alias("slope"))
-    total = points.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    best = fit.groupBy("key").agg(F.max_by(F.struct("slope", "inliers"), F.struct("inliers", -F.col("ax"), -F.col("bx"))).alias("x"))
-    return best.join(total, "key").where(F.col("x.inliers") >= share * F.col("n")).select("key", F.col("x.slope").alias("slope"), F.col("x.inliers").alias("inliers"))
+    """(key, slope, inliers): the line through two of a key's knots with the most knots near it (the first of a tie by its
+    knots), refitted to those; none under the share. Every pair is tried, within one key's task; the knots of one alignment
+    are some hundreds. points: key, x, y."""
+
+    def best(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.dropna(subset=["x", "y"]).sort_values(["x", "y"])
+        x, y = g["x"].to_numpy(float), g["y"].to_numpy(float)
+        top = (0, None)
+        for i in range(len(x)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                m = (y - y[i]) / (x - x[i])
+            ends = np.flatnonzero((x > x[i]) & (m >= slopes[0]) & (m <= slopes[1]))
+            for e in ends.tolist():
+                near = np.abs(y - y[i] - m[e] * (x - x[i])) <= tol
+                if near.sum() > top[0]:
+                    top = (int(near.sum()), near)
+        n, near = top
+        if near is None or n < share * len(g):
+            return pd.DataFrame({"key": [], "slope": [], "inliers": []})
+        dx = x[near] - x[near].mean()
+        return pd.DataFrame({"key": [key[0]], "slope": [float(dx @ (y[near] - y[near].mean()) / (dx @ dx))], "inliers": [n]})
+
+    return points.groupBy("key").applyInPandas(best, f"key {points.schema['key'].dataType.simpleString()}, slope double, inliers long")
 
 
 def release_envelope(values: Column, factor: float = 0.7) -> Column:
-    """max(sample, previous x factor) along an ordered array."""
-    zero = F.expr("named_struct('last', cast(0 as double), 'all', cast(array() as array<double>))")
-
-    def step(s: Column, x: Column) -> Column:
-        v = F.greatest(x, s["last"] * factor)
-        return F.struct(v.alias("last"), F.concat(s["all"], F.array(v)).alias("all"))
-
-    return F.aggregate(values.cast("array<double>"), zero, step)["all"]
+    """max(sample, previous x factor) along an ordered array, in one pass over each; null for a null array."""
+
+    @F.pandas_udf("array<double>")
+    def run(arrays: pd.Series) -> pd.Series:
+        out = []
+        for a in arrays:
+            last, env = 0.0, []
+            for x in a if a is not None else ():
+                last = max(float(x), last * factor)
+                env.append(last)
+            out.append(None if a is None else env)
+        return pd.Series(out)
+
+    return run(values.cast("array<double>"))

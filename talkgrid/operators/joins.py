@@ -51,7 +51,7 @@ def inherit_speakers(new: DataFrame, old: DataFrame, least: float = 0.3) -> Data
 def echoes(mic: DataFrame, system: DataFrame, least: float = 0.5, alike: float = 0.75) -> DataFrame:
     """Microphone segments (note_id, seq) that a system segment covers and resembles."""
     p = _shares(overlapping(mic, system)).where(F.col("share") >= least)
-    hit = p.where(T.similarity(T.echo_key(F.col("a_text")), T.echo_key(F.col("b_text"))) >= alike)
+    hit = p.where(T.alike(T.echo_key(F.col("a_text")), T.echo_key(F.col("b_text")), alike))
     return hit.select(F.col("a_note_id").alias("note_id"), F.col("a_seq").alias("seq")).distinct()
 
 

@@ -28,10 +28,10 @@ _PAIR = r"""WITH p AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z0
 @query(_PAIR + """ SELECT conv_id, turn, CAST(levenshtein(a, b) AS BIGINT) AS distance, round(CASE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 WHEN least(length(a), length(b)) >= 4 AND (contains(a, b) OR contains(b, a)) THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS sim FROM p WHERE b IS NOT NULL""")
 def turn_similarity(spark, d):
     """X02, X03"""
-    ascii_key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     w = Window.partitionBy("conv_id").orderBy("turn")
-    p = V.table(spark, d, "conversations").select("conv_id", "turn", ascii_key(F.col("text")).alias("a"), ascii_key(F.lag("text").over(w)).alias("b")).where("b is not null")
-    return p.select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(T.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+    p = V.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower("text"), "[^a-z0-9]", "").alias("a"))
+    p = p.withColumn("b", F.lag("a").over(w)).where("b is not null").withColumn("distance", F.levenshtein("a", "b").cast("long"))
+    return p.select("conv_id", "turn", "distance", F.round(T.similarity(F.col("a"), F.col("b"), distance=F.col("distance")), 6).alias("sim"))
 
 
 @query("SELECT p_partkey AS id, lower(trim(p_name)) AS k FROM part")
@@ -155,10 +155,9 @@ def repeat_collapse(spark, d):
 @query(_PAIR + """, s AS (SELECT conv_id, a AS reference, b AS hypothesis FROM p WHERE b IS NOT NULL) SELECT conv_id, CAST(sum(levenshtein(reference, hypothesis)) AS BIGINT) AS errors, CAST(sum(length(reference)) AS BIGINT) AS chars, round(sum(levenshtein(reference, hypothesis)) / sum(length(reference)), 6) AS cer FROM s GROUP BY 1 HAVING sum(length(reference)) > 0""")
 def character_error_rate(spark, d):
     """A16"""
-    ascii_key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     w = Window.partitionBy("conv_id").orderBy("turn")
-    p = V.table(spark, d, "conversations").select("conv_id", ascii_key(F.col("text")).alias("reference"), ascii_key(F.lag("text").over(w)).alias("hypothesis")).where("hypothesis is not null")
-    return E.error_rate(p, "conv_id")
+    p = V.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower("text"), "[^a-z0-9]", "").alias("reference"))
+    return E.error_rate(p.withColumn("hypothesis", F.lag("reference").over(w)).where("hypothesis is not null"), "conv_id")
 
 
 @query("""SELECT count(*) AS labeled, count(*) FILTER (toxic = quality) AS correct, round(count(*) FILTER (toxic = quality) / greatest(1, count(*) FILTER (quality IS NOT NULL)), 6) AS precision, round(count(*) FILTER (toxic = quality) / greatest(1, count(*)), 6) AS recall FROM labels""")
