@@ -107,3 +107,20 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op2_jaccard_join"] = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, unnest(s) AS x FROM s),
+l AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM e x JOIN e y ON x.x = y.x AND x.doc_id <> y.doc_id GROUP BY 1, 2) p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.k >= 90 * (x.n + y.n - p.k)),
+r AS (SELECT doc_id AS id, doc_id AS root FROM n UNION SELECT l.b, r.root FROM r JOIN l ON r.id = l.a),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY 1), d AS (SELECT a, count(*) AS links FROM l GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, coalesce(d.links, 0) AS n_links FROM n JOIN c ON c.id = n.doc_id LEFT JOIN d ON d.a = n.doc_id"""
+
+#: SHA-1 as bare base32: five bits of the digest at a time.
+ORACLES["op4_warc"] = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages),
+b AS (SELECT *, unhex(sha1(html))::BIT::VARCHAR AS bits FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, CAST(i * 5 + j + 1 AS BIGINT), 1) AS INT) * CAST(pow(2, 4 - j) AS INT)))::BIGINT, 1)), '') AS payload_digest,
+CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM b"""
