@@ -168,7 +168,7 @@ def redact(t: Column) -> Column:
 
 def source_hash(rows: Column) -> Column:
     """SHA-256 over the number of paragraphs and each one's segment numbers and text, in order. rows: array of (index, seqs, text)."""
-    lines = F.transform(F.array_sort(rows), lambda r: F.concat_ws(":", r["seqs"], r["text"]))
+    lines = F.transform(F.array_sort(rows), lambda r: F.concat_ws(":", r["seqs"].cast("string"), r["text"]))
     return F.sha2(F.concat_ws("\n", F.size(rows).cast("string"), F.array_join(lines, "\n")), 256)
 
 

@@ -19,4 +19,4 @@ def query(sql: str | None = None):
     return add
 
 
-from talkgrid.plans import build_queries, graph_queries, identity_queries, join_queries, ledger_queries, note_queries, review_queries, session_queries, signal_queries, stream_queries, text_queries, window_queries  # noqa: E402, F401
+from talkgrid.plans import build_queries, canon_queries, graph_queries, identity_queries, join_queries, ledger_queries, note_queries, review_queries, session_queries, signal_queries, stream_queries, text_queries, window_queries  # noqa: E402, F401

@@ -53,12 +53,11 @@ def stable_ids(spark, d):
     return V.entities(spark, d).select("id", T.stable_id("kg_", F.col("kind"), F.col("name")).alias("kg"))
 
 
-@query("SELECT conv_id, sha256(string_agg(CAST(turn AS VARCHAR) || ':' || text, chr(10) ORDER BY turn)) AS source_hash FROM conversations GROUP BY 1")
+@query("SELECT conv_id, sha256(CAST(count(*) AS VARCHAR) || chr(10) || string_agg(CAST(turn AS VARCHAR) || ':' || text, chr(10) ORDER BY turn)) AS source_hash FROM conversations GROUP BY 1")
 def source_hashes(spark, d):
     """X14"""
-    line = F.concat(F.col("turn").cast("string"), F.lit(":"), F.col("text"))
-    lines = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x"))
-    return lines.select("conv_id", F.sha2(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), 256).alias("source_hash"))
+    c = V.table(spark, d, "conversations")
+    return c.groupBy("conv_id").agg(T.source_hash_lines("turn", "turn", "text").alias("source_hash"))
 
 
 @query(r"""SELECT doc_id, md5(array_to_string(list_transform(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: CASE WHEN regexp_matches(w, 'sk-|phc_|phx_|A-SH-|[0-9a-fA-F]{32,}') THEN '<REDACTED>' ELSE w END), ' ')) AS clean FROM documents""")
