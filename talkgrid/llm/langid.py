@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +67,23 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "word": list(c), "n": list(c.values())})
 
 
+def hashed(words) -> np.ndarray:
+    """64-bit hashes of words or n-grams."""
+    words = list(words)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def _places(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Positions of hashes among sorted keys, -1 where they aren't there."""
+    if not len(keys):
+        return np.full(len(h), -1)
+    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[i] == h, i, -1)
+
+
 class Model:
-    """Log frequencies of words and n-grams: dictionaries to rows of a matrix with one column a language.
+    """Log frequencies of words and n-grams: sorted hashes and a matrix with one column a language. A worker holds it once, as
+    plain arrays.
 
     words, gram_counts: for each language a mapping to counts; n-grams are counted from the words if not given.
     """
@@ -80,22 +96,18 @@ class Model:
                 for w, n in c.items():
                     for g in grams(w):
                         gram_counts[lang][g] += n
-        self.words, self.word_logs = self._logs(words, alpha)
-        #: Whether a word occurs in a language.
-        self.word_known = np.zeros(self.word_logs.shape, bool)
-        for k, lang in enumerate(langs):
-            c = words.get(lang, {})
-            self.word_known[np.fromiter(map(self.words.__getitem__, c), np.int64, len(c)), k] = True
-        self.grams, self.gram_logs, parts = {}, np.zeros((0, len(langs))), []
-        for n in ORDERS:  # frequencies are those among n-grams of one length
-            names, logs = self._logs({lang: {g: k for g, k in c.items() if len(g) == n} for lang, c in gram_counts.items()}, alpha)
-            start = sum(map(len, parts))
-            self.grams.update({g: start + i for g, i in names.items()})
-            parts.append(logs)
-        if parts:
-            self.gram_logs = np.concatenate(parts)
-
-    def _logs(self, counts: dict[str, dict], alpha: float) -> tuple[dict[str, int], np.ndarray]:
+        #: word_known: whether a word occurs in a language.
+        self.word_keys, self.word_logs, self.word_known = self._table(words, alpha)
+        # Frequencies are those among n-grams of one length.
+        parts = [self._table({lang: {g: k for g, k in c.items() if len(g) == n} for lang, c in gram_counts.items()}, alpha)[:2] for n in ORDERS]
+        keys, logs = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.argsort(keys)
+        self.gram_keys, self.gram_logs = keys[order], logs[order]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_shared"}
+
+    def _table(self, counts: dict[str, dict], alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         names: dict[str, int] = {}
         for c in counts.values():
             for w in c:
@@ -104,14 +116,20 @@ class Model:
         for k, lang in enumerate(self.langs):
             c = counts.get(lang, {})
             m[np.fromiter(map(names.__getitem__, c), np.int64, len(c)), k] = np.fromiter(c.values(), float, len(c))
-        return names, np.log((m + alpha) / (m.sum(0) + alpha * max(1, len(m))))
+        keys = hashed(names)
+        order = np.argsort(keys)
+        return keys[order], np.log((m + alpha) / (m.sum(0) + alpha * max(1, len(m))))[order], (m > 0)[order]
 
     def unseen(self, word: str) -> np.ndarray:
+        """The sum over the longest known n-grams that cover a word from left to right; what none covers adds nothing."""
         w, at, total = f"^{word}$", 0, np.zeros(len(self.langs))
+        longest = ORDERS[0]
+        every = [w[i : i + n] for i in range(len(w)) for n in ORDERS]
+        place = _places(self.gram_keys, hashed(every)).tolist()
         while at < len(w):
-            for n in ORDERS:
-                i = self.grams.get(w[at : at + n]) if at + n <= len(w) else None
-                if i is not None:
+            for k, n in enumerate(ORDERS):
+                i = place[at * longest + k] if at + n <= len(w) else -1
+                if i >= 0:
                     total += self.gram_logs[i]
                     at += n
                     break
@@ -121,44 +139,45 @@ class Model:
 
 
 class _Scorer(dict):
-    """Word to row of ``rows``; unseen words are scored once and kept until ``limit``."""
-
-    def __init__(self, model: Model, limit: int = 300_000):
-        super().__init__(model.words)
-        self.model, self.base, self.limit = model, len(model.words), limit
-        self.rows = np.zeros((self.base + 1024, len(model.langs)))
-        self.rows[: self.base] = model.word_logs
-
-    def known(self, ids: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        """Whether the words occur in the languages of these numbers."""
-        out = ids < self.base
-        out[out] = self.model.word_known[ids[out], lang[out]]
-        return out
+    """Words met to rows of ``rows`` (their logs) and ``known``; forgets everything beyond ``limit`` words."""
 
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.model.unseen(word)
-        self[word] = i
-        return i
+    def __init__(self, model: Model, limit: int = 150_000):
+        super().__init__()
+        self.model, self.limit = model, limit
+        self.rows = np.zeros((4096, len(model.langs)))
+        self.known = np.zeros(self.rows.shape, bool)
 
-    def trim(self) -> None:
-        if len(self) > self.base + self.limit:
+    def learn(self, words: set[str]) -> None:
+        m = self.model
+        if len(self) + len(words) > self.limit:
             self.clear()
-            self.update(self.model.words)
+        first, new = len(self), list(words)
+        while first + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        at = np.arange(first, first + len(new))
+        place = _places(m.word_keys, hashed(new))
+        hit = place >= 0
+        self.rows[at[hit]], self.known[at[hit]] = m.word_logs[place[hit]], m.word_known[place[hit]]
+        self.known[at[~hit]] = False
+        for i in np.flatnonzero(~hit).tolist():
+            self.rows[first + i] = m.unseen(new[i])
+        self.update(zip(new, at.tolist(), strict=True))
 
 
 def predict(model: Model, texts: list[str | None], scorer: _Scorer | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages and posteriors of whole texts, and the smoothed share of their words that the language is known to have:
     (known + 1) / (words + 1), 0 without words."""
     scorer = scorer if scorer is not None else _Scorer(model)
-    scorer.trim()
     lists = [WORD.findall(t.lower()) if t else [] for t in texts]
     sums = np.zeros((len(texts), len(model.langs)))
     # What counts as a word character may still be no letter (superscripts, say).
     full = [i for i, x in enumerate(lists) if any(w.isalpha() or any(map(str.isalpha, w)) for w in x)]
     if full and model.langs:
+        if new := {w for i in full for w in lists[i] if w not in scorer}:
+            scorer.learn(new)
+            if missing := {w for i in full for w in lists[i] if w not in scorer}:  # forgotten to make room
+                scorer.learn(missing)
         ids = np.fromiter(map(scorer.__getitem__, (w for i in full for w in lists[i])), np.int64)
         starts = np.concatenate([[0], np.cumsum([len(lists[i]) for i in full])[:-1]])
         sums[full] = np.add.reduceat(scorer.rows[ids], starts, axis=0)
@@ -169,7 +188,7 @@ def predict(model: Model, texts: list[str | None], scorer: _Scorer | None = None
         p /= p.sum(1, keepdims=True)
         best, n = p.argmax(1), np.asarray([len(lists[i]) for i in full])
         score[full] = p.max(1)
-        known[full] = (np.add.reduceat(scorer.known(ids, np.repeat(best, n)), starts, dtype=np.int64) + 1) / (n + 1)
+        known[full] = (np.add.reduceat(scorer.known[ids, np.repeat(best, n)], starts, dtype=np.int64) + 1) / (n + 1)
         for i, k in zip(full, best.tolist(), strict=True):
             out[i] = model.langs[k]
     return out, score, known
@@ -216,12 +235,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
     """``docs`` with language and score under ``names``, and the share of known words where there is a third name; columns
     of these names are replaced."""
     kept = [c for c in docs.columns if c not in names]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = model.__dict__.pop("_shared", None) or docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    model._shared = shared  # one copy for all that the model is used for
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = _Scorer(m)
-        for b in steps(batches, text):
+        for b in steps(batches, text, 1 << 20):
             langs, *numbers = predict(m, column(b, text).to_pylist(), scorer)
             added = [pa.array(langs, pa.string()), *map(pa.array, numbers)][: len(names)]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *names])

@@ -105,12 +105,12 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 200_000]), own if k else none, none if k else own], schema=_COUNTS)
             held[k].clear()
 
-    for b in steps(batches, limit=1 << 20):
+    for b in steps(batches, limit=1 << 18):
         y = np.asarray(column(b, "toxic"), np.int64)
         rows, grams = presence(column(b, "text").to_pylist())
         for k in (1, 0):
             held[k] += [grams[(y == k)[rows]], np.full(int((y == k).sum()), -1, np.int64)]
-        if sum(map(len, held[1] + held[0])) > 6_000_000:
+        if sum(map(len, held[1] + held[0])) > 3_000_000:
             yield from flush()
     yield from flush()
     give_back()
@@ -177,7 +177,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Features(shared.value)
-        for x in steps(batches, limit=1 << 20):
+        for x in steps(batches, limit=1 << 19):
             r, k = presence(column(x, "text").to_pylist(), mine)
             yield pa.RecordBatch.from_pydict({"toxic": [column(x, "toxic").to_pylist()], "rows": [r.astype(np.int32).tobytes()], "cols": [k.astype(np.int32).tobytes()]}, pa.schema([("toxic", pa.list_(pa.int32())), ("rows", pa.binary()), ("cols", pa.binary())]))
         give_back()
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior, best, weights, bias = pickle.loads(shared.value)
         m = Model(prior, None if best is None else Features(best), weights, bias)
-        for b in steps(batches, text, 1 << 20):
+        for b in steps(batches, text, 1 << 19):
             s = m.scores(column(b, text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, *names])
         give_back()
