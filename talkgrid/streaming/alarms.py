@@ -15,13 +15,15 @@ class GapAlarm:
 
     def __init__(self, window_s: float = 60.0, share: float = 0.05):
         self.window, self.share, self.gaps, self.first, self.on = window_s, share, deque(), None, False
+        self.total_ns = 0  # whole nanoseconds, so that a running sum stays exact
 
     def push(self, t: float, gap_s: float) -> str | None:
         self.first = t if self.first is None else self.first
-        self.gaps.append((t, gap_s))
+        self.gaps.append((t, round(gap_s * 1e9)))
+        self.total_ns += self.gaps[-1][1]
         while self.gaps and self.gaps[0][0] <= t - self.window:
-            self.gaps.popleft()
-        high = t - self.first >= self.window and sum(g for _, g in self.gaps) / self.window > self.share
+            self.total_ns -= self.gaps.popleft()[1]
+        high = t - self.first >= self.window and self.total_ns / 1e9 / self.window > self.share
         if high != self.on:
             self.on = high
             return "fired" if high else "recovered"
