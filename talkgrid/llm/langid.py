@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, give_back, steps
+from .common import column, cut, give_back, mix, steps
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -68,11 +68,26 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hashed(words) -> np.ndarray:
-    """64-bit hashes of words or n-grams."""
+    """64-bit hashes of words."""
     words = list(words)
     return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
+def gram_hashes(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order the hash of the n-gram that begins at each character of the texts in turn (some reach into the next
+    text), and where texts begin and end."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    end = np.cumsum(size)
+    by_order, h = {}, np.zeros(len(code), np.uint64)
+    for n in range(1, max(ORDERS) + 1):
+        nxt = np.zeros(len(code), np.uint64)
+        nxt[: len(code) - n + 1] = code[n - 1 :] if n <= len(code) else 0
+        h = h * np.uint64(1_000_003) + nxt + np.uint64(1)
+        by_order[n] = mix(h + np.uint64(n << 58))
+    return [by_order[n] for n in ORDERS], end - size, end
+
+
 def _places(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Positions of hashes among sorted keys, -1 where they aren't there."""
     if not len(keys):
@@ -99,7 +114,7 @@ class Model:
         #: word_known: whether a word occurs in a language.
         self.word_keys, self.word_logs, self.word_known = self._table(words, alpha)
         # Frequencies are those among n-grams of one length.
-        parts = [self._table({lang: {g: k for g, k in c.items() if len(g) == n} for lang, c in gram_counts.items()}, alpha)[:2] for n in ORDERS]
+        parts = [self._table({lang: {g: k for g, k in c.items() if len(g) == n} for lang, c in gram_counts.items()}, alpha, n)[:2] for n in ORDERS]
         keys, logs = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         order = np.argsort(keys)
         self.gram_keys, self.gram_logs = keys[order], logs[order]
@@ -107,7 +122,7 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_shared"}
 
-    def _table(self, counts: dict[str, dict], alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _table(self, counts: dict[str, dict], alpha: float, order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         names: dict[str, int] = {}
         for c in counts.values():
             for w in c:
@@ -116,32 +131,42 @@ class Model:
         for k, lang in enumerate(self.langs):
             c = counts.get(lang, {})
             m[np.fromiter(map(names.__getitem__, c), np.int64, len(c)), k] = np.fromiter(c.values(), float, len(c))
-        keys = hashed(names)
-        order = np.argsort(keys)
-        return keys[order], np.log((m + alpha) / (m.sum(0) + alpha * max(1, len(m))))[order], (m > 0)[order]
-
-    def unseen(self, word: str) -> np.ndarray:
-        """The sum over the longest known n-grams that cover a word from left to right; what none covers adds nothing."""
-        w, at, total = f"^{word}$", 0, np.zeros(len(self.langs))
-        longest = ORDERS[0]
-        every = [w[i : i + n] for i in range(len(w)) for n in ORDERS]
-        place = _places(self.gram_keys, hashed(every)).tolist()
-        while at < len(w):
-            for k, n in enumerate(ORDERS):
-                i = place[at * longest + k] if at + n <= len(w) else -1
-                if i >= 0:
-                    total += self.gram_logs[i]
-                    at += n
-                    break
-            else:
-                at += 1
+        if order:
+            hashes, start, _ = gram_hashes(list(names))
+            keys = hashes[ORDERS.index(order)][start]
+        else:
+            keys = hashed(names)
+        by = np.argsort(keys)
+        return keys[by], np.log((m + alpha) / (m.sum(0) + alpha * max(1, len(m))))[by], (m > 0)[by]
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """For each word the sum over the longest known n-grams that cover it from left to right; what none covers adds nothing.
+        All words go forward together."""
+        total = np.zeros((len(words), len(self.langs)))
+        if not words:
+            return total
+        hashes, at, end = gram_hashes([f"^{w}$" for w in words])
+        left = np.repeat(end, end - at) - np.arange(end[-1])
+        place, step = np.full(len(left), -1), np.ones(len(left), np.int64)
+        for n, h in zip(ORDERS, hashes, strict=True):
+            open_ = np.flatnonzero((place < 0) & (left >= n))
+            found = _places(self.gram_keys, h[open_])
+            hit = found >= 0
+            place[open_[hit]], step[open_[hit]] = found[hit], n
+        live = np.arange(len(words))
+        while len(live):
+            i = at[live]
+            some = place[i] >= 0
+            total[live[some]] += self.gram_logs[place[i[some]]]
+            at[live] += step[i]
+            live = live[at[live] < end[live]]
         return total
 
 
 class _Scorer(dict):
     """Words met to rows of ``rows`` (their logs) and ``known``; forgets everything beyond ``limit`` words."""
 
-    def __init__(self, model: Model, limit: int = 150_000):
+    def __init__(self, model: Model, limit: int = 400_000):
         super().__init__()
         self.model, self.limit = model, limit
         self.rows = np.zeros((4096, len(model.langs)))
@@ -160,8 +185,8 @@ class _Scorer(dict):
         hit = place >= 0
         self.rows[at[hit]], self.known[at[hit]] = m.word_logs[place[hit]], m.word_known[place[hit]]
         self.known[at[~hit]] = False
-        for i in np.flatnonzero(~hit).tolist():
-            self.rows[first + i] = m.unseen(new[i])
+        lost = np.flatnonzero(~hit)
+        self.rows[at[lost]] = m.unseen([new[i] for i in lost.tolist()])
         self.update(zip(new, at.tolist(), strict=True))
 
 

@@ -50,7 +50,7 @@ PIVOTS = 16
 #: Sets of one key that are compared where the key is gathered; of more, blocks of so many are dealt to tasks in pairs.
 HOT = 1024
 #: Shingles of all rows for each shard of keys, bytes of sketches and rows of labels for each file.
-SHARD_SHINGLES, SHARD_BYTES, SHARD_LABELS = 3_000_000, 64 << 20, 1 << 21
+SHARD_SHINGLES, SHARD_BYTES, SHARD_LABELS = 1_500_000, 32 << 20, 1 << 21
 #: Files that a worker keeps mapped at once.
 OPEN_FILES = 2048
 #: Keys gathered before a worker hands them on.
@@ -649,7 +649,7 @@ def _verify(docs: DataFrame, members: DataFrame, every: bool, k: int, percent: i
     placed = found.select("k1", "k2", "text").join(members, ["k1", "k2"]).withColumn("other", other)
     p, q = (F.least("side", "other"), F.greatest("side", "other")) if every else (F.col("other"), F.col("other"))
     times = F.col("blocks") if every else F.lit(1)
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((members.agg(F.sum(F.col("n_shingles") * times).alias("n")).first()["n"] or 0) / SHARD_SHINGLES))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((members.agg(F.sum(F.col("n_shingles") * times).alias("n")).first()["n"] or 0) / (2 * SHARD_SHINGLES)))
     return cut(verified(placed.select(F.col("component").alias("cluster"), p.alias("p"), q.alias("q"), "side", "node", "copies", "text"), k, percent, tasks))
 
 
