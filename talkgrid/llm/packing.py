@@ -92,7 +92,7 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         ids, stop = self.ids, np.asarray([_STOP], "<u2").tobytes()
-        words = {c for c in new if c.isalpha()}
+        words = set(filter(str.isalpha, new))
         pairs, other = [], []
         for c in new - words:
             w = c.rstrip(self.MARKS)
@@ -101,7 +101,7 @@ class Encoder:
             else:
                 other.append(c)
         words.update([w for _, w, _ in pairs])
-        words = [w for w in words if w not in ids]
+        words = words.difference(ids)
         # Small ASCII letters need none of the tokenizer's normalising and splitting.
         self._learn_words([w for w in words if w.isascii() and w.islower()], self.bare)
         self._learn_words([w for w in words if not (w.isascii() and w.islower())], self.tok)
@@ -122,13 +122,9 @@ class Encoder:
             chunks.append(None)
         if len(self.ids) > self.limit:
             self._clear()
-        got = list(map(self.ids.get, chunks))
-        missing = [i for i, x in enumerate(got) if x is None]
-        if missing:
-            self._learn({chunks[i] for i in missing})
-            for i in missing:
-                got[i] = self.ids[chunks[i]]
-        raw = np.frombuffer(b"".join(got), "<u2")
+        if new := set(chunks).difference(self.ids):
+            self._learn(new)
+        raw = np.frombuffer(b"".join(map(self.ids.__getitem__, chunks)), "<u2")
         stop, done = raw == _STOP, raw == _DONE
         real = ~(stop | done)
         ids, at = raw[real].astype("<u4"), np.cumsum(real)
