@@ -173,25 +173,25 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     told = counted.where((F.col("hash") >= 0) & (a + b >= LEAST_TEXTS) & (a + b < t0 + t1)).where(chi > CHI_SQUARE).orderBy("hash")
     best, ta, tb = (np.asarray(told.toArrow().column(c)) for c in ("hash", "a", "b"))  # bounded by the sample
     ratio = np.log((ta + 1) / (n[1] + 2)) - np.log((tb + 1) / (n[0] + 2))
-    shared = labelled.sparkSession.sparkContext.broadcast(best)
+    shared, kind = labelled.sparkSession.sparkContext.broadcast(best), np.uint16 if len(best) <= 1 << 16 else np.uint32
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Features(shared.value)
         for x in steps(batches, limit=1 << 19):
             r, k = presence(column(x, "text").to_pylist(), mine)
-            yield pa.RecordBatch.from_pydict({"toxic": [column(x, "toxic").to_pylist()], "rows": [r.astype(np.int32).tobytes()], "cols": [k.astype(np.int32).tobytes()]}, pa.schema([("toxic", pa.list_(pa.int32())), ("rows", pa.binary()), ("cols", pa.binary())]))
+            held = np.bincount(r, minlength=x.num_rows).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"toxic": [column(x, "toxic").to_pylist()], "held": [held.tobytes()], "cols": [k.astype(kind).tobytes()]}, pa.schema([("toxic", pa.list_(pa.int32())), ("held", pa.binary()), ("cols", pa.binary())]))
         give_back()
 
-    y, rs, cs, at = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
-    got = sample.mapInArrow(gather, "toxic array<int>, rows binary, cols binary").toArrow().to_batches()
+    y, held, cols = [], [np.zeros(0, np.int32)], [np.zeros(0, kind)]
+    got = sample.mapInArrow(gather, "toxic array<int>, held binary, cols binary").toArrow().to_batches()
     while got:
         for g in got.pop(0).to_pylist():
-            rs.append(np.frombuffer(g["rows"], np.int32) + np.int32(at))
-            cs.append(np.frombuffer(g["cols"], np.int32))
+            held.append(np.frombuffer(g["held"], np.int32))  # features of each text
+            cols.append(np.frombuffer(g["cols"], kind))
             y += g["toxic"]
-            at = len(y)
-    rows, cols = np.concatenate(rs), np.concatenate(cs)
-    del rs, cs
+    held, cols = np.concatenate(held), np.concatenate(cols).astype(np.int32)
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), held)
     w, bias = logistic(rows, cols, ratio, np.asarray(y, float))
     return Model(prior, Features(best), w * ratio, bias)
 
