@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, cut, give_back, mix, steps
@@ -245,15 +245,19 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     return Model(langs, known(counted), known(in_words))
 
 
-def least_known(labelled: DataFrame, model: Model, max_rows: int = 8 * PER_LANG) -> float:
+def least_known(labelled: DataFrame, model: Model) -> float:
     """A share of known words that no text of the model's languages should fall under: half of the lowest two in a
-    thousand among labelled rows, which the model has not learned from. Of those about ``max_rows`` are looked at, chosen by hash;
+    thousand among labelled rows, which the model has not learned from. All of them count, and the place among them is exact;
     0 where there is none."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, max_rows / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    got = identify(some, model, names=("lang_pred", "score", "known")).where("lang_pred <> 'und'").agg(F.percentile_approx("known", 0.002, 10_000).alias("k")).first()["k"]
-    return 0.5 * (got or 0.0)
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text")
+    found = identify(rows, model, names=("lang_pred", "score", "known")).where("lang_pred <> 'und'")
+    values = cut(found.groupBy("known").count())
+    n = values.agg(F.sum("count").alias("n")).first()["n"]
+    if not n:
+        return 0.0
+    place = -(-n // 500)  # so many rows have the value looked for or a lower one, so it is among as many lowest values
+    upto = F.sum("count").over(Window.orderBy("known"))
+    return 0.5 * values.orderBy("known").limit(place).withColumn("n", upto).where(F.col("n") >= place).agg(F.min("known").alias("k")).first()["k"]
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:

@@ -113,3 +113,13 @@ def test_run_is_its_stages_one_by_one(spark):
             assert p.start == at and p.ids_crc32 == zlib.crc32(ids[at : at + p.length]) and p.doc_tokens == len(ids), json.dumps(clean[i][:300])
             at += p.length
         assert at == len(ids)
+
+
+def test_least_known_counts_all_labelled_rows(spark):
+    """The lowest 120 of 60,000 rows have shares of their own; a sample of 12,000 would find another of them."""
+    text = F.expr("case when id < 120 then concat(repeat('known ', int(id)), repeat('zzq ', 200 - int(id))) else 'known' end")
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    model = langid.Model(["en"], {"en": {"known": 5}})
+    assert langid.least_known(docs, model) == 0.5 * 120 / 201
+    assert langid.least_known(docs.where("doc_id < 3"), model) == 0.5 / 201
+    assert langid.least_known(docs.where("false"), model) == 0
