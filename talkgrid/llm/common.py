@@ -145,6 +145,7 @@ def give_back() -> None:
     """Returns a worker's freed memory to the system, where the C library can; workers are used again and would keep it."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

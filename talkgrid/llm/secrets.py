@@ -39,6 +39,9 @@ _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Rows that training looks at, at most (expected number; chosen by hash), and tokens of a window.
 MAX_ROWS = 20_000
 WINDOW = 40
+#: Bytes of text that a scan takes on at once (its arrays take some thirty times as much), and tokens whose classes it keeps.
+SCAN_BYTES = 1 << 20
+MAX_SHAPES = 100_000
 B, I, O = 0, 1, 2  # noqa: E741
 
 
@@ -109,7 +112,7 @@ class Shapes(dict):
         self.wide = len(self.words) + 1
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > MAX_SHAPES:
             self.clear()
         c = self[w] = shape(w) * self.wide + (self.words.get(word(w), 0) if self.words else 0)
         return c
@@ -284,7 +287,7 @@ def places(hits: list[int], back: int) -> list[int]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shapes, first = Shapes(), np.zeros(1, np.int64)
     kind = lambda c: int(file_kinds(c, first)[0])
-    for b in steps(batches):
+    for b in steps(batches, limit=SCAN_BYTES):
         rows = []
         for h, text in zip(column(b, "h").to_pylist(), column(b, "text").to_pylist(), strict=True):
             tokens, labels = token_labels(text)
@@ -303,6 +306,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             d, x, v, y = zip(*rows, strict=True)
             yield pa.RecordBatch.from_pydict({"d": d, "x": x, "v": v, "y": y}, pa.schema([("d", pa.int32()), ("x", pa.list_(pa.int32())), ("v", pa.list_(pa.string())), ("y", pa.list_(pa.int32()))]))
+    del shapes
+    give_back()
 
 
 def fit(docs: DataFrame, text: str = "text", max_rows: int = MAX_ROWS) -> dict | None:
@@ -382,7 +387,7 @@ def scan(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, shapes = shared.value, Shapes(shared.value)
-        for b in steps(batches, text):
+        for b in steps(batches, text, SCAN_BYTES):
             every = scan_texts(m, [t or "" for t in column(b, text).to_pylist()], shapes)
             base = [[s for s in x if s[2] != "crf"] for x in every]
             cols = [pa.array([sum(s[2] == k for s in x) for x in base], pa.int64()) for k in KINDS[:3]]
@@ -403,7 +408,7 @@ def redact(docs: DataFrame, model: dict | None, text: str = "text", mark: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, shapes = shared.value, Shapes(shared.value)
-        for b in steps(batches, text):
+        for b in steps(batches, text, SCAN_BYTES):
             texts, out = column(b, text).to_pylist(), []
             for t, spans in zip(texts, scan_texts(m, [t or "" for t in texts], shapes), strict=True):
                 if spans:
