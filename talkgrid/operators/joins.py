@@ -79,8 +79,10 @@ def best_event(notes: DataFrame, events: DataFrame, tie_ms: int = 1000) -> DataF
 
 
 def attendee_people(attendees: DataFrame, people: DataFrame) -> DataFrame:
-    """(attendee_id, person_id): by e-mail, else by name; the smallest person of the better kind."""
-    by = lambda c, rank: attendees.select("attendee_id", T.name_key(F.col(c)).alias("k")).where("k <> ''").join(people.select(F.col("id").alias("person_id"), T.name_key(F.col(c)).alias("k")), "k").select("attendee_id", "person_id", F.lit(rank).alias("rank"))
+    """(attendee_id, person_id): by e-mail, else by name; the smallest person of the better kind. People of one key are one row
+    before they meet attendees."""
+    first = lambda c: people.select(F.col("id").alias("person_id"), T.name_key(F.col(c)).alias("k")).where("k <> ''").groupBy("k").agg(F.min("person_id").alias("person_id"))
+    by = lambda c, rank: attendees.select("attendee_id", T.name_key(F.col(c)).alias("k")).join(first(c), "k").select("attendee_id", F.lit(rank).alias("rank"), "person_id")
     both = by("email", 1).unionByName(by("name", 2))
     return both.groupBy("attendee_id").agg(F.min(F.struct("rank", "person_id")).alias("x")).select("attendee_id", "x.person_id")
 

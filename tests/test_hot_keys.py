@@ -31,6 +31,12 @@ def produced(df):
     return max(walk(df._jdf.queryExecution().executedPlan()))
 
 
+def test_people_of_one_key_are_one_row(spark, tmp_path):
+    rows = [(i, f" Name{i % 7}" if i % 3 else None, "SEG", i % 4 if i % 5 else None) for i in range(2000)]
+    df = both(spark, tmp_path, "attendee_people", "customer", rows, "c_custkey long, c_name string, c_mktsegment string, c_nationkey int")
+    assert produced(df) <= 4 * len(rows)
+
+
 def test_alias_pairs_are_not_shuffled(spark, tmp_path):
     rows = [(i, f"b{i % 2}" if i % 9 else None, ("big", "Small ", "", None)[i % 4], ("big", "small", "x", " ")[i % 5 % 4]) for i in range(300)] + [(7, "b0", "big", "other"), (7, "b1", "x", None)]
     df = both(spark, tmp_path, "alias_matches", "part", rows, "p_partkey long, p_brand string, p_name string, p_type string")
