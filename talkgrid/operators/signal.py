@@ -79,10 +79,20 @@ def best_lag(a: Column, b: Column, most: int) -> Column:
     return F.struct(F.round(top["r"], 6).alias("r"), (-top["neg"]).alias("lag"))
 
 
-def gap_fill(df: DataFrame, key: str, index: str, value: str) -> DataFrame:
-    """Missing indices between a key's first and last get 0; each row fills the gap before its successor."""
+def gap_runs(df: DataFrame, key: str, index: str, value: str) -> DataFrame:
+    """(key, index, value, n): each row with the number of places that it fills: its own and the gap of zeros before the next
+    index. Of rows with one index only the last fills any. A null index has a null n."""
     nxt = F.lead(index).over(Window.partitionBy(key).orderBy(index))
-    return df.withColumn("_to", F.coalesce(nxt - 1, F.col(index))).select(key, F.explode(F.sequence(F.col(index), F.col("_to"))).alias("i"), F.col(index).alias("_i"), F.col(value).alias("_v")).select(key, F.col("i").alias(index), F.when(F.col("i") == F.col("_i"), F.col("_v")).otherwise(0.0).alias(value))
+    n = F.when(F.col(index).isNotNull(), F.coalesce(nxt - F.col(index), F.lit(1)))
+    return df.select(key, index, value, n.cast("long").alias("n"))
+
+
+def gap_fill(df: DataFrame, key: str, index: str, value: str) -> DataFrame:
+    """Missing indices between a key's first and last get 0; each row fills the gap before its successor. As many rows as there
+    are places; sums and counts of them come from ``gap_runs`` without expanding them."""
+    i = F.explode(F.sequence(F.col(index), F.col(index) + F.greatest(F.col("n"), F.lit(1)) - 1))
+    each = gap_runs(df, key, index, value).select(key, i.alias("i"), F.col(index).alias("_i"), F.col(value).alias("_v"))
+    return each.select(key, F.col("i").alias(index), F.when(F.col("i") == F.col("_i"), F.col("_v")).otherwise(0.0).alias(value))
 
 
 def normalise_bands(df: DataFrame, key: str, band: str, value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from talkgrid.operators import signal as G
 from talkgrid.plans.registry import ORACLES, QUERIES
 
 
@@ -37,6 +38,15 @@ def test_people_of_one_key_are_one_row(spark, tmp_path):
     assert produced(df) <= 4 * len(rows)
 
 
+def test_gaps_stay_runs(spark, tmp_path):
+    rows = [(0, 1, 1.5), (10_000_000_000, 1, 2.0), (5, 2, 3.0), (5, 2, 4.0), (9, 2, None), (7, None, 1.0), (None, 3, 2.5), (4, 3, 0.5), (6, 4, None)]
+    both(spark, tmp_path, "gap_filled", "events", rows, "event_id long, user_id long, value double")
+    few = spark.createDataFrame([(i, u, v) for i, u, v in rows if u == 2], "event_id long, user_id long, value double")
+    got = sorted((r.event_id, r.value) for r in G.gap_fill(few.where("value is null or value < 4"), "user_id", "event_id", "value").collect() if r.value is not None)
+    assert got == [(5, 3.0), (6, 0.0), (7, 0.0), (8, 0.0)]
+    assert G.gap_fill(few, "user_id", "event_id", "value").count() == 6  # both rows of 5, and the rest
+
+
 def test_alias_pairs_are_not_shuffled(spark, tmp_path):
     rows = [(i, f"b{i % 2}" if i % 9 else None, ("big", "Small ", "", None)[i % 4], ("big", "small", "x", " ")[i % 5 % 4]) for i in range(300)] + [(7, "b0", "big", "other"), (7, "b1", "x", None)]
     df = both(spark, tmp_path, "alias_matches", "part", rows, "p_partkey long, p_brand string, p_name string, p_type string")
