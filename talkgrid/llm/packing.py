@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import column, steps
+from .common import column, give_back, steps
 
 SIZE = 2048
 END_ID = 1
@@ -54,8 +54,9 @@ class Encoder:
     """
 
     MARKS = ".,!?;:"
+    END = "\n"  # stands for a document's end: no chunk has a line end
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import Split
@@ -68,13 +69,14 @@ class Encoder:
         self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer, self.bare.pre_tokenizer = None, Split(" ", "removed")
-        self.ids: dict = {}
+        self.ids: dict[str, bytes] = {}
         self.limit = limit
         self._clear()
 
     def _clear(self) -> None:
         self.ids.clear()
-        self.ids[None] = np.asarray([END_ID, _DONE], "<u2").tobytes()  # ends a document
+        give_back()
+        self.ids[self.END] = np.asarray([END_ID, _DONE], "<u2").tobytes()
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -119,7 +121,7 @@ class Encoder:
         chunks: list = []
         for t in texts:
             chunks += t.replace("\n", " ").split(" ")
-            chunks.append(None)
+            chunks.append(self.END)
         if len(self.ids) > self.limit:
             self._clear()
         if new := set(chunks).difference(self.ids):
@@ -250,6 +252,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, text:
             import public_tokenizers
 
             path = str(public_tokenizers.path("word_bpe_49k.json"))
+        give_back()  # what earlier stages left in this worker
         own = encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 40, size)
 
@@ -263,7 +266,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, text:
                 rows += packer.add(doc_id, tokens, ends)
             if rows:
                 yield batch(rows)
+            give_back()
         if rows := list(packer.pack(final=True)):
             yield batch(rows)
+        give_back()
 
     return docs.select("doc_id", text).mapInArrow(run, PIECES)

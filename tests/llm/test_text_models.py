@@ -4,8 +4,11 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -47,6 +50,41 @@ def test_packing_holds_every_id_once(spark, documents):
     assert (packing.SIZE * len(size) - size.n.sum()) / size.n.sum() < 0.1
 
 
+def test_packing_keeps_little_of_many_words():
+    """A worker that has met 800,000 different words keeps few of them, and gives the memory of the others back."""
+    code = """
+import itertools, re, sys
+import pyarrow as pa
+from talkgrid.llm import packing
+
+class Task:
+    get = classmethod(lambda cls: cls())
+    partitionId = lambda self: 0
+
+class Table:
+    select = lambda self, *names: self
+    mapInArrow = lambda self, run, schema: run
+
+def anon():
+    return sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches(n):
+    words = map("".join, itertools.product("abcdefghij", repeat=6))
+    for i in range(0, n, 100_000):
+        yield pa.RecordBatch.from_pydict({"doc_id": [i], "text": [" ".join(itertools.islice(words, 100_000))]})
+
+packing.TaskContext = Task
+run = packing.pack(Table())
+list(run(batches(100_000)))
+before = anon()
+list(run(batches(800_000)))
+print(anon() - before)
+"""
+    root = Path(__file__).parents[2]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 60
+
+
 def test_cuts_are_the_cheapest():
     r = random.Random(4)
     for _ in range(40):
