@@ -65,14 +65,18 @@ def _entropy(w: str) -> float:
 
 
 _KEY = re.compile(r"(?i)pass(word|wd|phrase)?|secret|token|api|key|auth|credential|bearer|private")
+_STEMS = ("pass", "secret", "token", "api", "key", "auth", "credential", "bearer", "private")
 _LENGTHS = (1, 3, 7, 11, 15, 19, 23, 31, 47)
+#: Marks around a token, and the entropy in bits that evenly spread characters exceed (a little over 3, for sums that round).
+_EDGES = "\"'`()[]{}<>,;.!?"
+_SPREAD = 3.0 + 1e-9
 _FORMS = 14
 CLASSES = _FORMS * (len(_LENGTHS) + 1) * 2
 
 
 def shape(w: str) -> int:
     """Shape class of a token: form, length bucket, whether its characters are evenly spread."""
-    body = w.strip("\"'`()[]{}<>,;.!?")
+    body = w.strip(_EDGES)
     if not body:
         form = 0
     elif body in ("=", ":", ":=", "=>"):
@@ -94,28 +98,164 @@ def shape(w: str) -> int:
     if form <= 4:  # marks and keywords are told apart by what they are, not by how long
         return form * (len(_LENGTHS) + 1) * 2
     size = sum(len(body) > x for x in _LENGTHS)
-    return (form * (len(_LENGTHS) + 1) + size) * 2 + int(len(body) >= 8 and _entropy(body) > 3.0)
+    return (form * (len(_LENGTHS) + 1) + size) * 2 + int(len(body) >= 8 and _entropy(body) > _SPREAD)
 
 
 def word(w: str) -> str:
     """A token as a neighbouring word: its letters in small, without marks around them; empty if it is none."""
-    body = w.strip("\"'`()[]{}<>,;.!?:=")
+    body = w.strip(_EDGES + ":=")
     return body.lower() if len(body) <= 24 and body.replace("_", "").replace("-", "").isalpha() else ""
 
 
-class Shapes(dict):
-    """Token to its class times ``wide`` plus the number of its word (0 for other words), computed once; bounded."""
+#: What a character tells of its token, as bits: its case, ASCII digits, marks of assignment, then what it keeps a token from
+#: being (digits only, small hex, capital hex, capitals and digits, characters of codes), marks around tokens, wrong case for a title.
+_LOWER, _UPPER, _TITLE, _DIGIT, _ASSIGN, _NOT_DIGITS, _NOT_HEX, _NOT_HEX_UP, _NOT_CAPITALS, _NOT_CODE, _EDGE, _UNTITLED, _KNOWN = (1 << i for i in range(13))
+_CASED = _LOWER | _UPPER | _TITLE
+#: Tokens that one array step classifies, and the length from which a token goes by itself, so that the arrays stay small.
+_BLOCK = 4096
+_LONG = 256
+
+
+def _traits(ch: str) -> int:
+    up, code = ch.isupper(), ch.isascii() and ch.isalnum()
+    has = (
+        (_LOWER, ch.islower()),
+        (_UPPER, up),
+        (_TITLE, ch.istitle() and not up),
+        (_DIGIT, ch in "0123456789"),
+        (_ASSIGN, ch in "=:"),
+        (_NOT_DIGITS, not ch.isdigit()),
+        (_NOT_HEX, ch not in "0123456789abcdef"),
+        (_NOT_HEX_UP, ch not in "0123456789ABCDEF"),
+        (_NOT_CAPITALS, not (code and (up or ch.isdigit()))),
+        (_NOT_CODE, not (code or ch in "+/_=-")),
+        (_EDGE, ch in _EDGES or ch == "\n"),
+    )
+    return sum(bit for bit, yes in has if yes) | _KNOWN
+
+
+class _Traits:
+    """Bits of code points; those of a code point are found when it first comes up."""
+
+    def __init__(self) -> None:
+        self.of = np.zeros(0x110000, np.uint16)
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        bits = self.of.take(points)
+        if not bits.all():
+            for x in np.unique(points[bits == 0]).tolist():
+                self.of[x] = _traits(chr(x))
+            bits = self.of.take(points)
+        return bits
+
+
+def _keys(text: str) -> list[int]:
+    """Where ``_KEY`` is found. Its stems are sought in small letters, but with letters that ignoring case takes for others."""
+    if any(c in text for c in "\u0130\u0131\u017f\u212a"):
+        return [m.start() for m in _KEY.finditer(text)]
+    out, low = [], text.lower()
+    for stem in _STEMS:
+        i = low.find(stem)
+        while i >= 0:
+            out.append(i)
+            i = low.find(stem, i + 1)
+    return out
+
+
+def _classes(tokens: list[str], traits: _Traits) -> np.ndarray:
+    """``shape`` of tokens without white space, all in the same array steps."""
+    text = "\n".join([*tokens, ""])
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    stop = np.flatnonzero(points == ord("\n"))
+    start = np.append(0, stop[:-1] + 1)
+    bits = traits(points)
+    cased = bits & _CASED != 0
+    after = np.zeros(len(bits), bool)  # whether a character follows a cased one
+    after[1:] = cased[:-1]
+    bits |= (cased & ((bits & _LOWER != 0) != after)) * np.uint16(_UNTITLED)
+    inner = bits & _EDGE == 0
+    count, spots = np.cumsum(inner), np.append(np.flatnonzero(inner), 0)
+    head, tail = count[start] - inner[start], count[stop]
+    some = tail > head
+    s, e = np.where(some, spots[head], start), np.where(some, spots[tail - 1], start) + 1
+    size = e - s
+    has = np.bitwise_or.reduceat(bits, np.stack([s, e], 1).ravel())[::2]
+    lacks = lambda bit: has & bit == 0
+    form = np.full(len(tokens), 13)
+    form[lacks(_NOT_CODE)] = 12
+    form[lacks(_NOT_CAPITALS)] = 11
+    form[lacks(_NOT_HEX) | lacks(_NOT_HEX_UP)] = 10
+    case = np.where(lacks(_CASED) | ~lacks(_UNTITLED), 9, 8)
+    case[~lacks(_UPPER) & lacks(_LOWER | _TITLE)] = 7
+    case[~lacks(_LOWER) & lacks(_UPPER | _TITLE)] = 6
+    form = np.where(lacks(_DIGIT), case, form)
+    form[lacks(_NOT_DIGITS)] = 5
+    key = np.zeros(len(tokens), bool)
+    key[np.searchsorted(stop, _keys(text))] = True
+    key &= size <= 24
+    ends = (points[e - 1] == ord("=")) | (points[e - 1] == ord(":"))
+    form[key] = np.where(ends, 3, np.where(lacks(_ASSIGN), 2, 4))[key]
+    form[(size == 1) & ends | (size == 2) & (points[s] == ord(":")) & (points[e - 1] == ord("="))] = 1
+    form[~some] = 0
+    spread = np.zeros(len(tokens), np.int64)
+    if len(rows := np.flatnonzero((form > 4) & (size > 8))):  # eight characters have three bits at most
+        m = size[rows]
+        own = np.repeat(np.arange(len(rows)), m)
+        pairs = own << 21 | points[np.repeat(s[rows] - np.cumsum(m) + m, m) + np.arange(len(own))]
+        pairs.sort()
+        runs = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        c = np.diff(np.append(runs, len(pairs)))
+        spread[rows] = np.log2(m) - np.bincount(pairs[runs] >> 21, c * np.log2(c)) / m > _SPREAD
+    per = len(_LENGTHS) + 1
+    return np.where(form <= 4, form * per * 2, (form * per + np.searchsorted(_LENGTHS, size)) * 2 + spread)
+
+
+class Shapes:
+    """Tokens to their classes times ``wide`` plus the number of their word (0 for other words). Those of tokens are kept,
+    bounded; new ones are found many at once."""
 
     def __init__(self, model: dict | None = None):
-        super().__init__()
         self.words = {} if model is None else {w: i + 1 for i, w in enumerate(model["words"])}
         self.wide = len(self.words) + 1
-
-    def __missing__(self, w: str) -> int:
-        if len(self) > MAX_SHAPES:
-            self.clear()
-        c = self[w] = shape(w) * self.wide + (self.words.get(word(w), 0) if self.words else 0)
-        return c
+        self.kept: dict[str, int] = {}
+        self.traits = _Traits()
+
+    def _found(self, tokens: list[str]) -> list[int]:
+        long = np.flatnonzero(np.fromiter(map(len, tokens), np.int64, len(tokens)) > _LONG).tolist()
+        short = tokens
+        if long:
+            short = tokens.copy()
+            for i in long:
+                short[i] = "."
+        out = np.concatenate([_classes(short[i : i + _BLOCK], self.traits) for i in range(0, len(short), _BLOCK)])
+        for i in long:
+            out[i] = shape(tokens[i])
+        out *= self.wide
+        if self.words:
+            number, marks = self.words.get, _EDGES + ":="
+            v = np.fromiter([number(w.strip(marks).lower(), 0) for w in tokens], np.int64, len(tokens))
+            for i in np.flatnonzero(v).tolist():
+                if not tokens[i].isascii() and not word(tokens[i]):  # small letters of a word, but itself none
+                    v[i] = 0
+            out += v
+        return out.tolist()
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        parts, most = [np.zeros(0, np.int64)], MAX_SHAPES // 2
+        for i in range(0, len(tokens), most):
+            some = tokens[i : i + most]
+            got = list(map(self.kept.get, some))
+            if None in got:
+                gaps = [j for j, c in enumerate(got) if c is None]
+                new = list({some[j] for j in gaps})
+                if len(self.kept) + len(new) > MAX_SHAPES:
+                    self.kept.clear()
+                fresh = dict(zip(new, self._found(new), strict=True))
+                for j in gaps:
+                    got[j] = fresh[some[j]]
+                self.kept.update(fresh)
+            parts.append(np.array(got, np.int64))
+        return np.concatenate(parts)
 
 
 #: Kinds of files that are told apart.
@@ -139,8 +279,6 @@ def neighbour(x: np.ndarray, k: int, start: np.ndarray, outside: int) -> np.ndar
         for j in range(-k):
             s = start + j
             out[s[s < len(x)]] = outside
-        own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(x))))
-        out[own != np.roll(own, -k)] = outside
     else:
         out[:-k] = x[k:]
         out[(start - 1)[start > 0]] = outside
@@ -154,11 +292,11 @@ def emissions(model: dict, cls: np.ndarray, words: np.ndarray, files: np.ndarray
     return shapes + w[0][neighbour(words, -1, start, 0)] + w[1][neighbour(words, 1, start, 0)] + model["d"][files]
 
 
-def viterbi(e: np.ndarray, trans: np.ndarray, begin: np.ndarray, start: np.ndarray, width: int = 64) -> np.ndarray:
+def viterbi(e: np.ndarray, trans: np.ndarray, begin: np.ndarray, start: np.ndarray, width: int = 256) -> np.ndarray:
     """Best labels of a stream of sequences that begin at ``start``.
 
     The stream is cut into chunks; each is solved for every label it may be entered with, all chunks at once, then the
-    chunks are chained and traced back. Exact, with the work of one array step for each position of a chunk.
+    chunks are chained and traced back. Exact, with the work of a few array steps for each position of a chunk.
     """
     n, k = e.shape
     c = -(-n // width)
@@ -167,16 +305,19 @@ def viterbi(e: np.ndarray, trans: np.ndarray, begin: np.ndarray, start: np.ndarr
     first = np.zeros(c * width, bool)
     first[start] = True
     first[n:] = True  # what fills up the last chunk is a sequence of its own
-    pad, first = pad.reshape(c, width, k), first.reshape(c, width)
-    score = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None].repeat(c, 0)  # chunk, entered with, label before
-    back = np.zeros((width, c, k, k), np.int8)
+    pad, first = np.ascontiguousarray(pad.reshape(c, width, k).transpose(1, 2, 0)), first.reshape(c, width)
+    score = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[:, :, None].repeat(c, 2)  # label before, entered with, chunk
+    back = np.zeros((width, k, k, c), np.int8)  # label, entered with, chunk
     for t in range(width):
-        free = score[:, :, :, None] + trans
-        f = first[:, t]
-        if f.any():
-            free[f] = score[f][:, :, :, None] + begin
-        back[t] = free.argmax(2)
-        score = free.max(2) + pad[:, t, None, :]
+        free = score[:, None] + trans[:, :, None, None]
+        if len(f := np.flatnonzero(first[:, t])):
+            free[..., f] = score[:, None, :, f] + begin[:, None, None]
+        top, best = free[0], back[t]
+        for i in range(1, k):  # of equal ones the first
+            np.copyto(best, i, where=free[i] > top, casting="unsafe")
+            top = np.maximum(top, free[i])
+        score = top + pad[t, :, None]
+    score = score.transpose(2, 1, 0).copy()
     enter, total = np.zeros(c, np.int64), np.zeros(k)
     came = np.zeros((c, k), np.int64)
     for i in range(c):
@@ -192,7 +333,7 @@ def viterbi(e: np.ndarray, trans: np.ndarray, begin: np.ndarray, start: np.ndarr
     out, label, rows = np.zeros((c, width), np.int8), leave, np.arange(c)
     for t in range(width - 1, -1, -1):
         out[:, t] = label
-        label = back[t, rows, enter, label].astype(np.int64)
+        label = back[t, label, enter, rows].astype(np.int64)
     return out.reshape(-1)[:n]
 
 
@@ -293,7 +434,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, labels = token_labels(text)
             if not tokens:
                 continue
-            cls = np.fromiter(map(shapes.__getitem__, tokens), np.int64, len(tokens))
+            cls = shapes.of(tokens)
             hits = [i for i, y in enumerate(labels) if y == B]
             spots = places(hits, h % 20) or ([h % len(tokens)] if h % 8 == 0 else [])
             for i in spots:
@@ -352,7 +493,7 @@ def scan_texts(model: dict | None, texts: list[str], shapes: Shapes) -> list[lis
     full = [i for i, x in enumerate(lists) if x]
     if not full:
         return found
-    cls, words = np.divmod(np.fromiter(map(shapes.__getitem__, (w for i in full for w in lists[i])), np.int64), shapes.wide)
+    cls, words = np.divmod(shapes.of([w for i in full for w in lists[i]]), shapes.wide)
     n = np.asarray([len(lists[i]) for i in full])
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
     best = viterbi(emissions(model, cls, words, np.repeat(file_kinds(cls, start), n), start), model["t"], model["b"], start)

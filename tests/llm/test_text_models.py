@@ -239,6 +239,54 @@ def test_windows_hold_every_hit():
         assert all(any(s <= i < s + secrets.WINDOW for s in spots) for i in hits) and len(spots) <= len(hits)
 
 
+def test_classes_of_many_tokens_are_found_at_once(monkeypatch):
+    """A scan classifies new tokens in array steps, not one by one, with the classes and words of the plain functions."""
+    r = random.Random(9)
+    letters = ("abcdefghij", "aeéüßñÉÜ", "ABCXYZ0189", "0123456789abcdef", "abcXYZ0189+/_=-", "=:>\"'().,!", "²٣ǅǆſK\u0130ı漢\u0345", "Aa")
+    words = ["password", "TOKEN", "api_key", "Key:", "apı", "ſecret", "İapi", "passphrase=", ":=", "=>", "=", "Élan", "McAdam", "x" * 300, "q1" * 200]
+    some = lambda: "".join(r.choice(r.choice(letters)) for _ in range(r.randrange(12)))
+    one = lambda: "".join(r.choices(r.choice(letters), k=r.randrange(1, 40)))
+    tokens = [w for w in (x for _ in range(8000) for x in (some(), one(), some() + r.choice(words) + some())) if w]
+    field = {"words": sorted({secrets.word(w) for w in tokens[::3]} - {""})}
+    shapes = secrets.Shapes(field)
+    want = [secrets.shape(w) * shapes.wide + shapes.words.get(secrets.word(w), 0) for w in tokens]
+    assert len({x // shapes.wide // 20 for x in want}) == secrets._FORMS
+    calls, plain = [], secrets.shape
+    monkeypatch.setattr(secrets, "shape", lambda w: calls.append(w) or plain(w))
+    zero = {"u": np.zeros((4, secrets.CLASSES + 1, 3)), "w": np.zeros((2, len(field["words"]) + 1, 3)), "d": np.zeros((secrets.FILES, 3)), "t": np.zeros((3, 3)), "b": np.array([0.0, 0.0, 1.0])}
+    secrets.scan_texts(field | zero, [" ".join(tokens)], shapes)
+    assert all(len(w) > 256 for w in calls)
+    monkeypatch.setattr(secrets, "MAX_SHAPES", 1000)  # what is kept is dropped on the way
+    for kept in (shapes, secrets.Shapes(field)):
+        assert kept.of(tokens).tolist() == want
+    assert secrets.Shapes().of([]).tolist() == []
+
+
+def test_neighbours_do_not_cross_documents():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        n = r.integers(1, 5, r.integers(1, 9))
+        docs = [r.integers(0, 100, m).tolist() for m in n]
+        x, start = np.concatenate(docs), np.concatenate([[0], np.cumsum(n)[:-1]])
+        for k in (-2, -1, 1):
+            want = [d[i + k] if 0 <= i + k < len(d) else -7 for d in docs for i in range(len(d))]
+            assert secrets.neighbour(x, k, start, -7).tolist() == want
+
+
+def test_viterbi_over_long_sequences_is_the_plain_one():
+    """Sequences over several chunks, and sequences that end and begin in one."""
+    r = np.random.default_rng(4)
+    for n in ([1], [700], [3, 1, 600, 2, 255, 256, 257], r.integers(1, 40, 60)):
+        start = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(int)
+        e, t, b = r.integers(-3, 4, (int(np.sum(n)), 3)) / 4, r.integers(-3, 4, (3, 3)) / 4, r.integers(-3, 4, 3) / 4  # exact sums, many ties
+        got = secrets.viterbi(e, t, b, start)
+        for s, m in zip(start, n, strict=True):
+            total, value = b + e[s], b[got[s]] + e[s, got[s]]
+            for i in range(s + 1, s + m):
+                total, value = (total[:, None] + t).max(0) + e[i], value + t[got[i - 1], got[i]] + e[i, got[i]]
+            assert value == total.max()
+
+
 def plain_scan(text):
     """Counts, digest input and spans of the base patterns, by a scan of every place."""
     found = []
